@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from keyclock.functions.timeunits import floor_div
 
+#: beyond this overlap a row's windows are handled as one array instead of a list of expressions
+MAX_LISTED = 16
 WINDOW_TYPE = "array<struct<window_start:bigint,window_end:bigint>>"
 
 
@@ -28,8 +30,13 @@ class WindowAssigner:
     on_grid = True
 
     def windows(self, ts: Column) -> Column:
+        """All windows of a row as one array."""
         raise NotImplementedError
 
+    def candidates(self, ts: Column) -> list[tuple[Column, Column]] | None:
+        """The same as a fixed list of (window, does the row belong to it), which stays inside generated code."""
+        return None
+
     def covers_every_row(self) -> bool:
         """Every row lies inside at least one of its own windows."""
         return True
@@ -64,6 +71,9 @@ class Tumbling(WindowAssigner):
     def windows(self, ts: Column) -> Column:
         return F.array(_span(self.start(ts), self.size_ms))
 
+    def candidates(self, ts: Column):
+        return [(_span(self.start(ts), self.size_ms), F.lit(True))]
+
     def end_reached(self, wm: Column) -> Column:
         off = F.lit(self.offset_ms).cast("bigint")
         return floor_div(wm + 1 - off, self.size_ms) * self.size_ms + off
@@ -87,12 +97,21 @@ class Sliding(WindowAssigner):
     def covers_every_row(self) -> bool:
         return self.slide_ms <= self.size_ms
 
-    def windows(self, ts: Column) -> Column:
+    def _spans(self, ts: Column) -> list[Column]:
         slide = F.lit(self.slide_ms).cast("bigint")
         newest = ts - F.pmod(ts - F.lit(self.offset_ms).cast("bigint"), slide)
-        overlap = -(-self.size_ms // self.slide_ms)
-        spans = F.array(*[_span(newest - slide * i, self.size_ms) for i in range(overlap)])
-        return F.filter(spans, lambda w: w["window_end"] > ts)
+        return [_span(newest - slide * i, self.size_ms) for i in range(-(-self.size_ms // self.slide_ms))]
+
+    def windows(self, ts: Column) -> Column:
+        return F.filter(F.array(*self._spans(ts)), lambda w: w["window_end"] > ts)
+
+    def candidates(self, ts: Column):
+        spans = self._spans(ts)
+        if len(spans) > MAX_LISTED:
+            return None
+        if self.size_ms % self.slide_ms == 0:
+            return [(w, F.lit(True)) for w in spans]
+        return [(w, w["window_end"] > ts) for w in spans]
 
     def end_reached(self, wm: Column) -> Column:
         phase = F.lit((self.offset_ms + self.size_ms) % self.slide_ms).cast("bigint")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,17 +73,38 @@ def assign_windows(ks: KeyedStream, assigner: WindowAssigner) -> DataFrame:
 
 
 def windowed(ks: KeyedStream, strategy: WatermarkStrategy, assigner: WindowAssigner) -> DataFrame:
-    """Clocked rows with their windows in ``__wins``."""
+    """Clocked rows, with their windows in ``__wins`` where the assigner only gives an array."""
     if not assigner.event_time:
         raise ValueError("arrival-clock windows have no watermark; use window_aggregate")
-    return clocked_rows(ks, strategy).withColumn("__wins", assigner.windows(F.col(ks.ts)))
+    rows = clocked_rows(ks, strategy)
+    if assigner.candidates(F.col(ks.ts)) is None:
+        rows = rows.withColumn("__wins", assigner.windows(F.col(ks.ts)))
+    return rows
 
 
-def element_late(ks: KeyedStream, lateness_ms: int) -> Column:
+def _items(ks, assigner, keep: Callable[[Column], Column], make: Callable[[Column], Column]) -> Column:
+    """Array of ``make(w)`` for the row's windows with ``keep(w)``; elements may be null and are to be skipped."""
+    listed = assigner.candidates(F.col(ks.ts))
+    if listed is None:
+        return F.transform(F.filter("__wins", keep), make)
+    return F.array(*[F.when(mine & keep(w), make(w)) for w, mine in listed])
+
+
+def _spread(rows: DataFrame, items: Column, *columns) -> DataFrame:
+    """One row per non-null item, the item's fields next to ``columns``."""
+    return rows.select(*columns, F.explode(items).alias("__i")).where(F.col("__i").isNotNull()).select("*", "__i.*").drop("__i")
+
+
+def element_late(ks: KeyedStream, assigner: WindowAssigner, lateness_ms: int) -> Column:
     """No window takes the row, and its own time has passed as well."""
     wm = F.col("__wm")
-    skipped = F.forall("__wins", lambda w: passed(wm, _last(w), lateness_ms))
-    return skipped & passed(wm, F.col(ks.ts), lateness_ms)
+    own = passed(wm, F.col(ks.ts), lateness_ms)
+    listed = assigner.candidates(F.col(ks.ts))
+    if listed is None:
+        return own & F.forall("__wins", lambda w: passed(wm, _last(w), lateness_ms))
+    for w, mine in listed:
+        own = own & (~mine | passed(wm, _last(w), lateness_ms))
+    return own
 
 
 def classify_lateness(
@@ -90,8 +112,8 @@ def classify_lateness(
 ) -> DataFrame:
     """One row per (row, window): ``window_status`` is ``on_time``, ``allowed`` or ``late``; plus ``element_late``."""
     _check_lateness(lateness_ms)
-    rows = windowed(ks, strategy, assigner).withColumn("element_late", element_late(ks, lateness_ms))
-    rows = rows.select("*", F.inline("__wins"))
+    rows = windowed(ks, strategy, assigner).withColumn("element_late", element_late(ks, assigner, lateness_ms))
+    rows = _spread(rows, _items(ks, assigner, lambda w: F.lit(True), lambda w: w), "*")
     last, wm = F.col("window_end") - 1, F.col("__wm")
     status = (
         F.when(passed(wm, last, lateness_ms), "late").when(passed(wm, last, 0), "allowed").otherwise("on_time")
@@ -108,7 +130,7 @@ def late_rows(ks: KeyedStream, strategy: WatermarkStrategy, assigner: WindowAssi
     _check_lateness(lateness_ms)
     return (
         windowed(ks, strategy, assigner)
-        .where(element_late(ks, lateness_ms))
+        .where(element_late(ks, assigner, lateness_ms))
         .withColumn("wm_before", F.col("__wm"))
         .drop("__wins", "__wm", "__cand")
     )
@@ -117,7 +139,7 @@ def late_rows(ks: KeyedStream, strategy: WatermarkStrategy, assigner: WindowAssi
 def late_counts(ks: KeyedStream, strategy: WatermarkStrategy, assigner: WindowAssigner, lateness_ms: int = 0) -> DataFrame:
     """Per key: ``total``, ``late`` (dropped or sent to the side output) and ``kept`` rows."""
     _check_lateness(lateness_ms)
-    late = F.sum(element_late(ks, lateness_ms).cast("bigint"))
+    late = F.sum(element_late(ks, assigner, lateness_ms).cast("bigint"))
     return (
         windowed(ks, strategy, assigner)
         .groupBy(*ks.keys)
@@ -155,32 +177,31 @@ def panes(
             no_time.alias("window_start"), end.alias("window_end"), wm_now.alias("wm"), arrival.alias("fired_at")
         )
 
-    accepted = F.transform(
-        F.filter("__wins", lambda w: ~passed(wm, _last(w), delay_ms)),
+    accepted = _items(
+        ks,
+        assigner,
+        lambda w: ~passed(wm, _last(w), delay_ms),
         lambda w: F.struct(w["window_start"], w["window_end"], no_time.alias("wm"), no_time.alias("fired_at")),
     )
     fired = [F.min("wm").alias("wm"), F.min("fired_at").alias("fired_at")]
     group = [*keys, "window_start", "window_end"]
     if fused:
         fresh, item = step(wm, cand, F.col(ks.arrival))
-        accepted = F.concat(accepted, F.when(fresh, F.array(item)).otherwise(F.array().cast(_ITEMS)))
-    grouped = rows.select("*", F.inline(accepted)).groupBy(*group).agg(*aggs, *fired)
+        accepted = F.concat(accepted, F.array(F.when(fresh, item)))
+    grouped = _spread(rows, accepted, "*").groupBy(*group).agg(*aggs, *fired)
     if strategy.kind == "none":
         return grouped.withColumn("wm", max_wm())
     if not fused:
         before, now = F.col("wm_before"), F.col("__now")
         fresh, item = step(before, now, F.col("arrival"))
         steps = progress_rows(ks, strategy).withColumnRenamed("wm", "__now").where(fresh)
-        steps = steps.select(*clock_keys(ks, strategy), F.inline(F.array(item)))
+        steps = steps.select(*clock_keys(ks, strategy), item.alias("__i")).select("*", "__i.*").drop("__i")
         if strategy.scope == "stream":
-            return _fire_by_stream_clock(grouped.drop("wm", "fired_at"), steps, assigner)
+            return _fire_by_stream_clock(grouped.drop("wm", "fired_at"), steps, assigner, strategy.emit == "tick")
         grouped = grouped.unionByName(steps, allowMissingColumns=True)
     return _fire_by_key_clock(ks, grouped, assigner)
 
 
-_ITEMS = "array<struct<window_start:bigint,window_end:bigint,wm:bigint,fired_at:bigint>>"
-
-
 def _fire_by_key_clock(ks: KeyedStream, grouped: DataFrame, assigner: WindowAssigner) -> DataFrame:
     """Give every window the first step at or beyond its end. ``grouped`` mixes windows and steps (no start)."""
     if assigner.on_grid:
@@ -199,11 +220,11 @@ def _fire_by_key_clock(ks: KeyedStream, grouped: DataFrame, assigner: WindowAssi
     return found.where(F.col("window_start").isNotNull()).withColumn("wm", F.coalesce("wm", max_wm()))
 
 
-def _fire_by_stream_clock(grouped: DataFrame, steps: DataFrame, assigner: WindowAssigner) -> DataFrame:
+def _fire_by_stream_clock(grouped: DataFrame, steps: DataFrame, assigner: WindowAssigner, ticks: bool) -> DataFrame:
     """One clock for all keys: window end -> step is a table of time slots, looked up by equality."""
     cells = steps.groupBy("window_end").agg(F.min("wm").alias("wm"), F.min("fired_at").alias("fired_at"))
     if assigner.on_grid:
-        # a step also completes the slots it jumped over; slots before the first step hold no accepted rows
+        # a step also completes the slots it jumped over
         before = F.lag("window_end").over(Window.orderBy("window_end"))
         pace = F.lit(assigner.step).cast("bigint")
         slots = F.sequence(F.coalesce(before + pace, F.col("window_end")), F.col("window_end"), pace)
@@ -217,7 +238,17 @@ def _fire_by_stream_clock(grouped: DataFrame, steps: DataFrame, assigner: Window
             .agg(F.min("wm").alias("wm"), F.min("fired_at").alias("fired_at"))
             .withColumns({"wm": F.min("wm").over(later), "fired_at": F.min("fired_at").over(later)})
         )
-    return grouped.join(table, "window_end", "left").withColumn("wm", F.coalesce("wm", max_wm()))
+    found = grouped.join(table, "window_end", "left")
+    if assigner.on_grid and ticks:
+        # rows of the first tick met no clock at all, so their windows may end before the first step's slot; record by
+        # record the first row alone met none, and its windows end after the step it makes
+        first = cells.agg(F.min("window_end").alias("__e"), F.min("wm").alias("__w"), F.min("fired_at").alias("__f"))
+        found = found.withColumn("__one", F.lit(0)).join(F.broadcast(first.withColumn("__one", F.lit(0))), "__one", "left")
+        early = F.col("window_end") < F.col("__e")
+        found = found.withColumns(
+            {"wm": F.coalesce("wm", F.when(early, F.col("__w"))), "fired_at": F.coalesce("fired_at", F.when(early, F.col("__f")))}
+        ).drop("__one", "__e", "__w", "__f")
+    return found.withColumn("wm", F.coalesce("wm", max_wm()))
 
 
 def window_firings(
@@ -246,15 +277,18 @@ def window_firings(
         return first.withColumns({"firing_no": F.lit(1).cast("bigint"), "result_ts": result_ts}).select(*out)
 
     wm = F.col("__wm")
-    again = F.filter("__wins", lambda w: passed(wm, _last(w), 0) & ~passed(wm, _last(w), lateness_ms))
-    late = windowed(ks, strategy, assigner).select(
+    again = _items(
+        ks, assigner, lambda w: passed(wm, _last(w), 0) & ~passed(wm, _last(w), lateness_ms), lambda w: w
+    )
+    late = _spread(
+        windowed(ks, strategy, assigner),
+        again,
         *ks.keys,
         F.col(ks.arrival).alias("__at"),
         F.col(ks.tie).alias("__tie"),
         wm.alias("wm"),
         F.col(ks.arrival).alias("fired_at"),
         *[m.item().alias(m.name) for m in measures],
-        F.inline(again),
     )
     # the first firing opens the running aggregate of its window, before any arrival
     opened = first.withColumn("__at", min_wm())
