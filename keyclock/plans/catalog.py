@@ -886,16 +886,9 @@ def latency_outliers(spark, sf_dir):
 
 @query(
     "latency_series",
-    _KEYED_LATENCY
-    + ",\n"
-    + _STREAM_LATENCY[5:]
-    .replace("base AS", "base2 AS").replace("FROM base)", "FROM base2)").replace("r AS (", "r2 AS (").replace("FROM r)", "FROM r2)")
-    .replace("c0 AS", "c02 AS").replace("FROM c0)", "FROM c02)").replace("\nc AS", "\nc2 AS").replace("FROM c ", "FROM c2 ").replace("FROM c,", "FROM c2,")
-    .replace("SELECT c.*", "SELECT c2.*").replace("p AS (", "p2 AS (").replace("JOIN p ON", "JOIN p2 ON").replace("p.", "p2.").replace("FROM p\n", "FROM p2\n")
-    .replace("w AS (", "w2 AS (").replace("FROM w ", "FROM w2 ").replace("g AS (", "g2 AS (").replace("FROM g ", "FROM g2 ").replace("g.", "g2.")
-    .replace("f AS (", "f2 AS (").replace("FROM f ", "FROM f2 ").replace("e AS (", "e2 AS (").replace("FROM e ", "FROM e2 ")
-    + """ SELECT watermark, 'stream' AS series, round(latency, 6) AS value FROM ls
-UNION ALL SELECT watermark, 'keyed_max', round(max_latency, 6) FROM env UNION ALL SELECT watermark, 'keyed_min', round(min_latency, 6) FROM env""",
+    f"""SELECT * FROM ({_STREAM_LATENCY} SELECT watermark, 'stream' AS series, round(latency, 6) AS value FROM ls)
+UNION ALL SELECT * FROM ({_KEYED_LATENCY} SELECT watermark, 'keyed_max', round(max_latency, 6) FROM env
+UNION ALL SELECT watermark, 'keyed_min', round(min_latency, 6) FROM env)""",
 )
 def latency_series(spark, sf_dir):
     stream = reports.latency_stream(*_stream_logs(spark, sf_dir))

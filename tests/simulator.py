@@ -79,3 +79,36 @@ def replay(rows, assign, propose, lateness=0, scope="key", tick=None):
         if w[1] - 1 > wm_of(k):
             fire(k, w, MAX, None)
     return firings, late
+
+
+def replay_sessions(rows, gap, bound, lateness=0):
+    """Keyed session windows, record by record. Returns (first firings, refirings, late ids)."""
+    clock, live = {}, {}
+    first, again, late = [], [], []
+    for k, ts, _, rid in sorted(rows, key=lambda r: (r[2], r[3])):
+        wm = clock.get(k, MIN)
+        mine = live.setdefault(k, [])
+        new, rest = [ts, ts + gap, 1, False], []
+        touched = [s for s in mine if s[0] <= new[1] and s[1] >= new[0]]
+        for s in touched:
+            kept_shape = s[0] <= ts and s[1] >= ts + gap
+            new = [min(new[0], s[0]), max(new[1], s[1]), new[2] + s[2], s[3] and kept_shape]
+        rest = [s for s in mine if s not in touched]
+        if new[1] - 1 + lateness <= wm:
+            late.append(rid)
+        else:
+            if new[1] - 1 <= wm:
+                again.append((k, new[0], new[1], new[2], wm))
+                new[3] = True
+            live[k] = rest + [new]
+        cand = ts - bound - 1
+        if cand > wm:
+            clock[k] = cand
+            for s in live[k]:
+                if not s[3] and s[1] - 1 <= cand:
+                    s[3] = True
+                    first.append((k, s[0], s[1], s[2], cand))
+            live[k] = [s for s in live[k] if s[1] - 1 + lateness > cand]
+    for k, sessions in live.items():
+        first += [(k, s[0], s[1], s[2], MAX) for s in sessions if not s[3]]
+    return first, again, late
