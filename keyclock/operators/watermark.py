@@ -22,6 +22,10 @@ def tick_of(ks: KeyedStream, strategy: WatermarkStrategy):
 def clocked_rows(ks: KeyedStream, strategy: WatermarkStrategy) -> DataFrame:
     """Rows plus ``__wm`` (clock before the row, null if none yet) and ``__cand`` (what the row proposes)."""
     ks = ks.timed(strategy).valid()
+    if strategy.kind == "class":
+        from keyclock.streaming.process import clock_by_class
+
+        return clock_by_class(ks, strategy)
     rows = ks.df.withColumn("__cand", strategy.proposes(F.col(ks.ts)))
     if strategy.kind == "none":
         return rows.withColumn("__wm", F.lit(None).cast("bigint"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import itertools
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyclock.functions.assigners import WindowAssigner
 from keyclock.functions.timeunits import floor_div, max_wm, min_wm
@@ -311,3 +314,56 @@ def window_aggregate(ks: KeyedStream, assigner: WindowAssigner, *aggs: Column) -
 def global_window(ks: KeyedStream, *aggs: Column) -> DataFrame:
     """The single window of a key that never ends: one result per key at the end of input."""
     return ks.df.groupBy(*ks.keys).agg(*aggs)
+
+
+def pane_rows(ks: KeyedStream, strategy: WatermarkStrategy, assigner: WindowAssigner) -> DataFrame:
+    """The contents of every first firing as rows: columns of the row, window, ``position`` in arrival order, ``wm``."""
+    on_time = _items(ks, assigner, lambda w: ~passed(F.col("__wm"), _last(w), 0), lambda w: w)
+    rows = _spread(windowed(ks, strategy, assigner), on_time, *ks.df.columns)
+    pane = [*ks.keys, "window_start", "window_end"]
+    order = [F.col(ks.arrival), F.col(ks.tie)]
+    cut = floor_div(F.col(ks.arrival), ks.bucket_ms)
+    placed = running(rows, pane, order, cut, [Fold("position", "sum", F.lit(1).cast("bigint"))])
+    fired = panes(ks, strategy, assigner, [F.count("*").alias("elements")]).select(*pane, "elements", "wm", "fired_at")
+    a, b = placed.alias("a"), fired.alias("b")
+    same = None
+    for c in pane:
+        eq = F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        same = eq if same is None else same & eq
+    return a.join(b, same).select("a.*", "b.elements", "b.wm", "b.fired_at")
+
+
+def window_process(
+    ks: KeyedStream,
+    strategy: WatermarkStrategy,
+    assigner: WindowAssigner,
+    function: Callable[[dict, Iterator[dict]], Iterable[dict]],
+    schema: T.StructType,
+) -> DataFrame:
+    """Call ``function(window, rows)`` for every first firing and collect the dicts it gives.
+
+    ``window`` has the keys, ``window_start``, ``window_end``, ``elements``, ``wm``, ``fired_at``; ``rows`` is an iterator over the
+    pane in arrival order. Panes are streamed: nothing holds all rows of one, unless the function does.
+    """
+    pane = [*ks.keys, "window_start", "window_end"]
+    about = [*pane, "elements", "wm", "fired_at"]
+    names = schema.fieldNames()
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+        for b in batches:
+            columns = [b[c].astype(object).where(b[c].notna(), None) for c in b.columns]
+            for values in zip(*columns):
+                yield dict(zip(b.columns, values))
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for _, rows in itertools.groupby(records(batches), key=lambda r: tuple(r[c] for c in pane)):
+            first = next(rows)
+            out.extend(function({c: first[c] for c in about}, itertools.chain([first], rows)))
+            if len(out) >= 10_000:
+                yield pd.DataFrame({n: pd.Series([o.get(n) for o in out], dtype=object) for n in names})
+                out = []
+        yield pd.DataFrame({n: pd.Series([o.get(n) for o in out], dtype=object) for n in names})
+
+    rows = pane_rows(ks, strategy, assigner)
+    return rows.repartition(*pane).sortWithinPartitions(*pane, "position").mapInPandas(fold, schema)

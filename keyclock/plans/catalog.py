@@ -18,6 +18,7 @@ from keyclock.plans import reports
 from keyclock.plans.scenarios import HOUR, SCENARIOS, all_scenarios, arriving_events, replay
 from keyclock.sources.replay import SideOutputs, declare, transform
 from keyclock.strategy import WatermarkStrategy
+from keyclock.streaming.process import IntervalJoinStream, KeyedProcessFunction, process_keyed
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -551,6 +552,118 @@ def session_keyed_late(spark, sf_dir):
     return sessions.session_firings(replay(spark, sf_dir, "global50"), CLOCK, _GAP, lateness_ms=HOUR, late=True)
 
 
+# --- user code --------------------------------------------------------------------------------------------------------
+
+_PANE_SQL = ",\n".join([sql_clock(), sql_steps(), sql_windows(6 * HOUR)])
+
+
+@query(
+    "window_process_elements",
+    sql_firings(_PANE_SQL)
+    + """ SELECT w.k, w.window_start, w.window_end, row_number() OVER (PARTITION BY w.k, w.window_start ORDER BY arrival, event_id) AS position, event_id, f.elements, f.wm, f.fired_at
+FROM w JOIN f ON w.k = f.k AND w.window_start = f.window_start WHERE w.wm IS NULL OR w.wm < w.window_end - 1""",
+)
+def window_process_elements(spark, sf_dir):
+    """What a window function sees: all elements of the pane, in order, with the clock that fired it."""
+    ks = replay(spark, sf_dir)
+    ks = ks.with_df(ks.df.select("k", "t_ms", "arrival", "event_id"))
+    rows = W.pane_rows(ks, CLOCK, A.tumbling(6 * HOUR))
+    return rows.select("k", "window_start", "window_end", "position", "event_id", "elements", "wm", "fired_at")
+
+
+def _swing(window, rows):
+    last, moved = None, 0
+    for r in rows:
+        moved += 0 if last is None else abs(r["cents"] - last)
+        last = r["cents"]
+    yield {"k": window["k"], "result_ts": window["window_end"] - 1, "swing": moved}
+
+
+@query(
+    "window_process_function",
+    sql_firings(_PANE_SQL)
+    + """, d AS (SELECT k, window_end, abs(cents - lag(cents) OVER (PARTITION BY k, window_start ORDER BY arrival, event_id)) AS step FROM w WHERE wm IS NULL OR wm < window_end - 1)
+SELECT k, window_end - 1 AS result_ts, CAST(coalesce(sum(step), 0) AS BIGINT) AS swing FROM d GROUP BY k, window_end""",
+)
+def window_process_function(spark, sf_dir):
+    """User code per window: how far the value moved from element to element."""
+    ks = _cents(replay(spark, sf_dir))
+    ks = ks.with_df(ks.df.select("k", "t_ms", "arrival", "event_id", "cents"))
+    shape = T.StructType([T.StructField(n, T.LongType()) for n in ("k", "result_ts", "swing")])
+    return W.window_process(ks, CLOCK, A.tumbling(6 * HOUR), _swing, shape)
+
+
+class DayReport(KeyedProcessFunction):
+    """A timer at the end of every row's day; when the user's clock gets there, report the rows seen so far."""
+
+    def process(self, row, ctx):
+        ctx.state["seen"] = ctx.state.get("seen", 0) + 1
+        ctx.register_event_timer(row["t_ms"] - row["t_ms"] % (24 * HOUR) + 24 * HOUR)
+
+    def on_timer(self, timestamp, ctx):
+        ctx.output(user_id=ctx.key[0], day_end=timestamp, seen=ctx.state["seen"], wm=ctx.current_watermark)
+
+
+@query(
+    "process_function",
+    f"""WITH {sql_clock(part="PARTITION BY user_id", scenario="global50")},
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY arrival, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS total,
+t_ms - t_ms % {24 * HOUR} + {24 * HOUR} AS day_end FROM c),
+p AS (SELECT user_id, n AS hit, cand AS pwm FROM n WHERE wm IS NULL OR cand > wm),
+punctual AS (SELECT n.user_id, n.day_end, p.hit, p.pwm FROM n ASOF LEFT JOIN p ON n.user_id = p.user_id AND n.day_end <= p.pwm WHERE n.wm IS NULL OR n.wm < n.day_end),
+overdue AS (SELECT n.user_id, n.day_end, p.hit, p.pwm FROM n ASOF LEFT JOIN p ON n.user_id = p.user_id AND n.n <= p.hit WHERE n.wm >= n.day_end),
+f AS (SELECT DISTINCT * FROM (SELECT * FROM punctual UNION ALL SELECT * FROM overdue))
+SELECT f.user_id, f.day_end, coalesce(f.hit, t.total) AS seen, coalesce(f.pwm, {MAX_WM}) AS wm FROM f JOIN (SELECT DISTINCT user_id, total FROM n) t USING (user_id)""",
+)
+def process_function(spark, sf_dir):
+    """State and timers per user, driven by the user's own clock."""
+    ks = replay(spark, sf_dir, "global50", "user_id")
+    ks = ks.with_df(ks.df.select("user_id", "t_ms", "arrival", "event_id"))
+    shape = T.StructType([T.StructField(n, T.LongType()) for n in ("user_id", "day_end", "seen", "wm")])
+    return process_keyed(ks, CLOCK, DayReport(), shape).drop("tag")
+
+
+class EveryTenth:
+    """A clock of one's own: after every tenth row of a key, the largest time so far."""
+
+    def __init__(self):
+        self.rows, self.top = 0, None
+
+    def on_event(self, row, key, ts, out):
+        self.rows += 1
+        self.top = ts if self.top is None else max(self.top, ts)
+
+    def on_periodic_emit(self, out):
+        if self.rows % 10 == 0:
+            out.emit(self.top)
+
+
+@query(
+    "generator_class_firings",
+    sql_firings(
+        ",\n".join(
+            [
+                sql_rows(),
+                """n AS (SELECT *, row_number() OVER v AS n, max(t_ms) OVER v AS top FROM r WINDOW v AS (PARTITION BY user_id ORDER BY arrival, event_id)),
+c0 AS (SELECT *, CASE WHEN n % 10 = 0 THEN top END AS cand FROM n),
+c AS (SELECT *, max(cand) OVER (PARTITION BY user_id ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm FROM c0)""",
+                sql_steps("user_id, "),
+                sql_windows(24 * HOUR),
+            ]
+        ),
+        on="g.user_id = p.user_id AND ",
+        group="user_id",
+    )
+    + " SELECT user_id, window_start, window_end, elements, wm, fired_at FROM f",
+)
+def generator_class_firings(spark, sf_dir):
+    """Windows under a clock written in Python."""
+    ks = replay(spark, sf_dir, "median50", "user_id")
+    ks = ks.with_df(ks.df.select("user_id", "t_ms", "arrival", "event_id"))
+    fired = W.window_firings(ks, S.generator(EveryTenth), A.tumbling(24 * HOUR))
+    return fired.select("user_id", "window_start", "window_end", "elements", "wm", "fired_at")
+
+
 # --- rolling ----------------------------------------------------------------------------------------------------------
 
 _SO_FAR = "(PARTITION BY k ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
@@ -616,9 +729,9 @@ def reduced_state(spark, sf_dir):
 # --- joins ------------------------------------------------------------------------------------------------------------
 
 
-def _two_streams(spark, sf_dir, scenario="median50"):
-    ks = replay(spark, sf_dir, scenario)
-    slim = ks.df.select("k", "t_ms", "arrival", "event_id", "event_type")
+def _two_streams(spark, sf_dir, scenario="median50", key="k"):
+    ks = replay(spark, sf_dir, scenario, key)
+    slim = ks.df.select(key, "t_ms", "arrival", "event_id", "event_type")
     return [ks.with_df(slim.where(F.col("event_type") == t).drop("event_type")) for t in ("click", "purchase")]
 
 
@@ -682,6 +795,22 @@ def interval_join_late_right(spark, sf_dir):
     return _late_join(spark, sf_dir).late_right.select("k", "event_id", "t_ms")
 
 
+@query(
+    "connected_streams",
+    _PAIR_CLOCK.replace("PARTITION BY k ", "PARTITION BY user_id ")
+    + f""" SELECT CAST(NULL AS VARCHAR) AS tag, l.event_id AS left_id, q.event_id AS right_id FROM z l JOIN z q ON l.user_id = q.user_id
+AND q.t_ms BETWEEN l.t_ms - {24 * HOUR} AND l.t_ms + {24 * HOUR} WHERE l.event_type = 'click' AND q.event_type = 'purchase' AND NOT l.late AND NOT q.late
+UNION ALL SELECT 'late_left', event_id, NULL FROM z WHERE late AND event_type = 'click'
+UNION ALL SELECT 'late_right', NULL, event_id FROM z WHERE late AND event_type = 'purchase'""",
+)
+def connected_streams(spark, sf_dir):
+    """Two streams in one process function: the interval join with buffers and late outputs, per user."""
+    left, right = [key_by(s.df, "user_id", ts="t_ms", arrival="arrival", tie="event_id") for s in _two_streams(spark, sf_dir, "global50", "user_id")]
+    shape = T.StructType([T.StructField("left_id", T.LongType()), T.StructField("right_id", T.LongType())])
+    join = IntervalJoinStream(-24 * HOUR, 24 * HOUR, 1000, "t_ms", "event_id")
+    return process_keyed(joins.connect(left, right), CLOCK, join, shape)
+
+
 @query(
     "union_streams",
     f"WITH {sql_rows()} SELECT k, event_id, t_ms FROM r WHERE event_type IN ('click', 'purchase')",

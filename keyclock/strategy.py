@@ -87,4 +87,4 @@ class WatermarkStrategy:
             return self.candidate.cast("bigint")
         if self.kind == "none":
             return F.lit(None).cast("bigint")
-        raise ValueError("a generator class runs row by row; see keyclock.streaming.replay")
+        raise ValueError("a generator class has no column form")
