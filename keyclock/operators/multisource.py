@@ -25,13 +25,16 @@ def source_clocks(ks: KeyedStream, strategy: WatermarkStrategy, source: str, gro
     ks = ks.timed(strategy).valid()
     per_tick = (
         ks.df.withColumn("tick", tick_of(ks, strategy))
-        .withColumn("__g", F.lit(0))
-        .groupBy("__g", *group, source, "tick")
+        .groupBy(*group, source, "tick")
         .agg(F.max(strategy.proposes(F.col(ks.ts))).alias("__c"), F.max(ks.arrival).alias("last_arrival"))
     )
-    span = per_tick.groupBy("__g", *group).agg(F.min("tick").alias("__from"), F.max("tick").alias("__to"))
-    mine = Window.partitionBy("__g", *group, source).orderBy("tick")
-    steps = per_tick.join(span, ["__g", *group]).select(
+    ends = per_tick.groupBy(*group).agg(F.min("tick").alias("__from"), F.max("tick").alias("__to"))
+    if group:
+        spanned = per_tick.join(ends, group)
+    else:
+        spanned = per_tick.withColumn("__span", ends.select(F.struct("*")).scalar()).select("*", "__span.*")
+    mine = Window.partitionBy(*group, source).orderBy("tick")
+    steps = spanned.select(
         *group,
         source,
         "tick",

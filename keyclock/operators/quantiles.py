@@ -20,17 +20,17 @@ def exact_quantiles(df: DataFrame, column: str, names: dict[str, float], by: tup
     Equal values are counted first; a running count over values, sliced by magnitude, then tells which values sit at the
     wanted positions.
     """
-    keys = ["__grp", *by]
+    keys = list(by)
     x = F.col("__x")
     counts = (
-        df.select(F.lit(0).alias("__grp"), *by, F.col(column).cast("double").alias("__x"))
+        df.select(*by, F.col(column).cast("double").alias("__x"))
         .where(x.isNotNull())
         .groupBy(*keys, "__x")
         .agg(F.count("*").alias("__c"))
     )
     ranked = running(counts, keys, [x], _magnitude(x), [Fold("__cum", "sum", F.col("__c"))])
     sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    both = ranked.join(sizes, keys)
+    both = ranked.join(sizes, keys) if keys else ranked.withColumn("__n", sizes.scalar())
     first, last = F.col("__cum") - F.col("__c"), F.col("__cum") - 1
     found = {}
     wanted = F.lit(False)

@@ -39,11 +39,13 @@ def running(
     *,
     inclusive: bool = True,
     unit: Column | None = None,
+    keep_slice: str | None = None,
 ) -> DataFrame:
     """Add the running value of every fold.
 
     ``slice_by`` must not decrease along ``order``. ``inclusive`` says whether a row sees itself. With ``unit`` given
     (a coarser slice, e.g. an arrival tick) a row sees exactly the rows of earlier units and nothing of its own.
+    ``keep_slice`` keeps the slice as a column: windows over (keys, slice) then follow without another shuffle.
     """
     keys = list(keys)
     parts = keys + (["__u", "__s"] if unit is not None else ["__s"])
@@ -76,9 +78,11 @@ def running(
         .orderBy("__row", *order)
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive or unit is not None else -1)
     )
-    return (
+    out = (
         rows.unionByName(carry, allowMissingColumns=True)
         .withColumns({f.out: f.over(v).over(inside) for v, f in vals.items()})
         .where(F.col("__row") == 1)
-        .drop("__row", "__s", "__u", *vals)
     )
+    if keep_slice is not None:
+        out = out.withColumnRenamed("__s", keep_slice)
+    return out.drop("__row", "__s", "__u", *vals)

@@ -63,34 +63,33 @@ def _clock_items(ks: KeyedStream, strategy: WatermarkStrategy, gap_ms: int) -> D
 
     Let M be the largest time before a row. The session around M is always alive (its end is beyond M, the clock is not),
     so a row within ``gap`` of M is taken by it whatever else happened. As long as such a row is also out of reach of
-    every other session it can be added up with its neighbours: ``limit`` is how far other sessions can reach, namely the
-    end of the session left behind by the last jump of M, or of any straggler since. What remains single are stragglers,
-    and rows that might bridge two sessions.
+    every other session it can be added up with its neighbours: ``limit`` is how far other sessions can reach. No session
+    reaches further than ``gap`` past the M at the start of the slice, the M left behind by a later jump, or a straggler
+    since. What remains single are stragglers and rows that might bridge two sessions.
     """
     keys, gap = list(ks.keys), F.lit(gap_ms).cast("bigint")
-    rows = clocked_rows(ks, strategy).select(
-        *keys, F.col(ks.ts).alias("ts"), F.col(ks.arrival).alias("at"), F.col(ks.tie).alias("tie"), "__wm"
-    )
-    order = [F.col("at"), F.col("tie")]
-    cut = floor_div(F.col("at"), ks.bucket_ms)
-    ts = F.col("ts")
-    seen = running(rows, keys, order, cut, [Fold("__m", "max", ts)], inclusive=False)
-    m = F.col("__m")
+    slim = ks.df.select(*keys, F.col(ks.ts).alias("ts"), F.col(ks.arrival).alias("at"), F.col(ks.tie).alias("tie"))
+    order, ts, m = [F.col("at"), F.col("tie")], F.col("ts"), F.col("__m")
+    cut = floor_div(F.col("at"), max(ks.bucket_ms, 8 * gap_ms))
+    rows = running(slim, keys, order, cut, [Fold("__m", "max", ts)], inclusive=False, keep_slice="o1")
+    inside = Window.partitionBy(*keys, "o1").orderBy(*order)
+    before, upto = [inside.rowsBetween(Window.unboundedPreceding, end) for end in (-1, 0)]
     behind = m.isNotNull() & (ts < m - gap)
     jump = m.isNull() | (ts > m + gap)
-    leaves = F.when(behind, ts + gap).when(jump, m + gap)
-    known = running(seen, keys, order, cut, [Fold("__limit", "max", leaves)], inclusive=False)
-    single = ~jump & (behind | F.coalesce(ts <= F.col("__limit"), F.lit(False)))
-    marked = running(
-        known.withColumn("__single", single), keys, order, cut, [Fold("__run", "sum", (F.col("__single") | jump).cast("bigint"))]
+    limit = F.greatest(F.first("__m").over(upto) + gap, F.max(F.when(behind, ts + gap).when(jump, m + gap)).over(before))
+    marked = rows.withColumns({"__jump": jump, "__single": ~jump & (behind | F.coalesce(ts <= limit, F.lit(False)))})
+    marked = marked.withColumn("o2", F.sum((F.col("__single") | F.col("__jump")).cast("bigint")).over(upto))
+    return (
+        marked.groupBy(*keys, "o1", "o2", "__single")
+        .agg(
+            F.min("ts").alias("lo"),
+            F.max("ts").alias("hi"),
+            F.count("*").alias("n"),
+            F.min("tie").alias("tie"),
+            (F.min("__m") - F.lit(strategy.bound_ms + 1).cast("bigint")).alias("wm"),
+        )
+        .withColumn("o3", (~F.col("__single")).cast("int"))
     )
-    return marked.groupBy(*keys, "__run", "__single").agg(
-        F.min("ts").alias("lo"),
-        F.max("ts").alias("hi"),
-        F.count("*").alias("n"),
-        F.min("tie").alias("tie"),
-        F.min("__wm").alias("wm"),
-    ).withColumns({"o1": F.col("__run"), "o2": (~F.col("__single")).cast("int")})
 
 
 def _plain_items(ks: KeyedStream, strategy: WatermarkStrategy) -> DataFrame:
@@ -105,6 +104,7 @@ def _plain_items(ks: KeyedStream, strategy: WatermarkStrategy) -> DataFrame:
         F.col("__wm").alias("wm"),
         F.col(ks.arrival).alias("o1"),
         F.col(ks.tie).alias("o2"),
+        F.lit(0).alias("o3"),
     )
 
 
@@ -124,7 +124,7 @@ def session_firings(
     ks = ks.timed(strategy).valid()
     compact = strategy.kind == "bounded" and strategy.emit == "record"
     items = _clock_items(ks, strategy, gap_ms) if compact else _plain_items(ks, strategy)
-    items = items.select(*ks.keys, "lo", "hi", "n", "tie", "wm", "o1", "o2")
+    items = items.select(*ks.keys, "lo", "hi", "n", "tie", "wm", "o1", "o2", "o3")
     keys = [items.schema[k] for k in ks.keys]
     schema = T.StructType(
         [
@@ -137,26 +137,41 @@ def session_firings(
             T.StructField("tie", items.schema["tie"].dataType),
         ]
     )
-    sorted_items = items.repartition(*ks.keys).sortWithinPartitions(*ks.keys, "o1", "o2")
+    sorted_items = items.repartition(*ks.keys).sortWithinPartitions(*ks.keys, "o1", "o2", "o3")
     out = sorted_items.mapInPandas(_session_fold(list(ks.keys), gap_ms, lateness_ms, strategy.kind == "none"), schema)
     if late:
         return out.where(F.col("window_start").isNull()).select(*ks.keys, "tie")
     fired = out.where(F.col("window_start").isNotNull()).drop("tie")
     if strategy.kind == "none":
         return fired.withColumn("wm", max_wm())
-    # first firings: the clock step that reached the end, looked up among the steps of the key
-    steps = progress_rows(ks, strategy).select(*ks.keys, F.col("wm").alias("__step"), F.col("wm").alias("__pos"))
-    waiting = fired.where(~F.col("refired")).drop("wm").withColumn("__pos", F.col("window_end") - 1)
-    both = waiting.unionByName(steps, allowMissingColumns=True).withColumn("__back", -F.col("__pos"))
-    found = running(
-        both,
-        ks.keys,
-        [F.col("__back"), F.col("window_start").asc_nulls_first()],
-        floor_div(F.col("__back"), ks.bucket_ms),
-        [Fold("wm", "min", F.col("__step"))],
-    ).where(F.col("window_start").isNotNull())
-    first = found.select(*ks.keys, "window_start", "window_end", "elements", F.coalesce("wm", max_wm()).alias("wm"), "refired")
-    return first.unionByName(fired.where("refired").select(*first.columns))
+    steps = progress_rows(ks, strategy).select(*ks.keys, F.col("wm").alias("__step"))
+    found = _first_step_at(fired.withColumn("__pos", F.col("window_end") - 1), steps, ks)
+    wm = F.when(F.col("refired"), F.col("wm")).otherwise(F.coalesce("__step", max_wm()))
+    return found.select(*ks.keys, "window_start", "window_end", "elements", wm.alias("wm"), "refired")
+
+
+def _first_step_at(waiting: DataFrame, steps: DataFrame, ks: KeyedStream) -> DataFrame:
+    """Add ``__step``, the key's smallest clock step at or after ``__pos``, slice by slice of event time.
+
+    A slice without a large enough step takes the first one of the next slice that has any; positions before the first
+    step do not occur, since a row is only accepted ahead of the clock.
+    """
+    keys = list(ks.keys)
+    cut = floor_div(F.col("__step"), ks.bucket_ms)
+    firsts = steps.groupBy(*keys, cut.alias("__s")).agg(F.min("__step").alias("__step"))
+    following = Window.partitionBy(*keys).orderBy("__s")
+    carry = (
+        firsts.select(*keys, "__s", F.lead("__s").over(following).alias("__n"), F.lead("__step").over(following).alias("__step"))
+        .where(F.col("__n").isNotNull())
+        .select(*keys, F.explode(F.sequence("__s", F.col("__n") - 1)).alias("__s"), "__step", F.lit(0).alias("__kind"))
+    )
+    inside = steps.withColumns({"__s": cut, "__pos": F.col("__step"), "__kind": F.lit(1)})
+    asked = waiting.withColumns({"__s": floor_div(F.col("__pos"), ks.bucket_ms), "__kind": F.lit(2)})
+    both = asked.unionByName(inside, allowMissingColumns=True).unionByName(carry, allowMissingColumns=True)
+    # carry rows have no position and come first, then from late to early; at equal positions the step is seen first
+    backwards = Window.partitionBy(*keys, "__s").orderBy(F.col("__pos").desc_nulls_first(), "__kind")
+    seen = F.min("__step").over(backwards.rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn("__step", seen).where(F.col("__kind") == 2).drop("__s", "__kind", "__pos")
 
 
 def _session_fold(keys: list[str], gap: int, lateness: int, no_clock: bool):

@@ -245,12 +245,15 @@ def _fire_by_stream_clock(grouped: DataFrame, steps: DataFrame, assigner: Window
     if assigner.on_grid and ticks:
         # rows of the first tick met no clock at all, so their windows may end before the first step's slot; record by
         # record the first row alone met none, and its windows end after the step it makes
-        first = cells.agg(F.min("window_end").alias("__e"), F.min("wm").alias("__w"), F.min("fired_at").alias("__f"))
-        found = found.withColumn("__one", F.lit(0)).join(F.broadcast(first.withColumn("__one", F.lit(0))), "__one", "left")
-        early = F.col("window_end") < F.col("__e")
+        first = cells.agg(F.min("window_end").alias("e"), F.min("wm").alias("w"), F.min("fired_at").alias("f"))
+        found = found.withColumn("__first", first.select(F.struct("*")).scalar())
+        early = F.col("window_end") < F.col("__first.e")
         found = found.withColumns(
-            {"wm": F.coalesce("wm", F.when(early, F.col("__w"))), "fired_at": F.coalesce("fired_at", F.when(early, F.col("__f")))}
-        ).drop("__one", "__e", "__w", "__f")
+            {
+                "wm": F.coalesce("wm", F.when(early, F.col("__first.w"))),
+                "fired_at": F.coalesce("fired_at", F.when(early, F.col("__first.f"))),
+            }
+        ).drop("__first")
     return found.withColumn("wm", F.coalesce("wm", max_wm()))
 
 

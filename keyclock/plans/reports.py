@@ -65,34 +65,39 @@ def latency_stream(start: DataFrame, end: DataFrame, *by: str) -> DataFrame:
 
 def latency_summary(latency: DataFrame, column: str = "latency", *by: str) -> DataFrame:
     """Maximum, minimum, mean and the 90/95/99 % quantiles (interpolated exactly), rounded to microseconds."""
-    tagged = latency.withColumn("__one", F.lit(0))
-    on = ["__one", *by]
-    plain = tagged.groupBy(*on).agg(F.max(column).alias("max"), F.min(column).alias("min"), F.avg(column).alias("avg"))
-    out = plain.join(exact_quantiles(tagged, column, QUANTILES, tuple(on)), on)
-    return out.select(*by, *[F.round(n, 6).alias(n) for n in ("max", "min", "avg", *QUANTILES)])
+    x = F.col(column)
+    plain = [F.max(x).alias("max"), F.min(x).alias("min"), F.avg(x).alias("avg")]
+    names = ["max", "min", "avg", *QUANTILES]
+    quantiles = exact_quantiles(latency, column, QUANTILES, by)
+    if by:
+        out = latency.groupBy(*by).agg(*plain).join(quantiles, list(by))
+    else:
+        row = quantiles.select(F.struct(*QUANTILES)).scalar()
+        out = latency.agg(*plain).withColumn("__q", row).select("max", "min", "avg", "__q.*")
+    return out.select(*by, *[F.round(n, 6).alias(n) for n in names])
 
 
 def latency_outliers(latency: DataFrame, column: str = "latency", *by: str) -> DataFrame:
     """Rows outside the quartiles by more than one and a half times their distance."""
-    tagged = latency.withColumn("__one", F.lit(0))
-    on = ["__one", *by]
-    quartiles = exact_quantiles(tagged, column, {"__q1": 0.25, "__q3": 0.75}, tuple(on))
+    quartiles = exact_quantiles(latency, column, {"__q1": 0.25, "__q3": 0.75}, by)
+    if by:
+        rows = latency.join(quartiles, list(by))
+    else:
+        rows = latency.withColumn("__q", quartiles.select(F.struct("__q1", "__q3")).scalar()).select("*", "__q.*")
     reach = (F.col("__q3") - F.col("__q1")) * 1.5
     outside = (F.col(column) < F.col("__q1") - reach) | (F.col(column) > F.col("__q3") + reach)
-    return tagged.join(quartiles, on).where(outside).select(*latency.columns)
+    return rows.where(outside).select(*latency.columns)
 
 
 def latency_summary_full(latency: DataFrame, column: str, *by: str) -> DataFrame:
     """The summary with its outliers as a sorted list, as in the result files. The list is as long as there are
     outliers; for large logs take :func:`latency_summary` and the rows of :func:`latency_outliers`."""
-    summary = latency_summary(latency.withColumn("__all", F.lit(0)), column, "__all", *by)
-    outliers = latency_outliers(latency.withColumn("__all", F.lit(0)), column, "__all", *by)
-    listed = outliers.groupBy("__all", *by).agg(F.array_sort(F.collect_list(column)).alias("outliers"))
-    return (
-        summary.join(listed, ["__all", *by], "left")
-        .withColumn("outliers", F.coalesce("outliers", F.array().cast("array<double>")))
-        .drop("__all")
-    )
+    summary = latency_summary(latency, column, *by)
+    listed = latency_outliers(latency, column, *by).groupBy(*by).agg(F.array_sort(F.collect_list(column)).alias("outliers"))
+    none = F.array().cast("array<double>")
+    if by:
+        return summary.join(listed, list(by), "left").withColumn("outliers", F.coalesce("outliers", none))
+    return summary.withColumn("outliers", F.coalesce(listed.scalar(), none))
 
 
 def latency_series(stream: DataFrame, envelope: DataFrame, *by: str) -> DataFrame:
