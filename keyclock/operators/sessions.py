@@ -174,6 +174,32 @@ def _first_step_at(waiting: DataFrame, steps: DataFrame, ks: KeyedStream) -> Dat
     return both.withColumn("__step", seen).where(F.col("__kind") == 2).drop("__s", "__kind", "__pos")
 
 
+def session_step(live: list, lo: int, hi: int, n: int, wm: int | None, gap: int, lateness: int):
+    """One item meets the live sessions ``[start, end, elements, fired]`` of its key under the clock ``wm``.
+
+    Returns (sessions fired by the clock, the refired session or () or None if the item is late, live sessions).
+    """
+    fired = []
+    if wm is not None:
+        fired = [s for s in live if not s[3] and s[1] - 1 <= wm]
+        for s in fired:
+            s[3] = True
+        live = [s for s in live if s[1] - 1 + lateness > wm]
+    merged, rest = [lo, hi + gap, n, False], []
+    for s in live:
+        if s[0] <= hi + gap and s[1] >= lo:
+            same = s[0] <= lo and s[1] >= hi + gap
+            merged = [min(s[0], merged[0]), max(s[1], merged[1]), merged[2] + s[2], s[3] and same]
+        else:
+            rest.append(s)
+    if wm is not None and merged[1] - 1 + lateness <= wm:
+        return fired, None, live
+    if wm is not None and merged[1] - 1 <= wm:
+        merged[3] = True
+        return fired, merged, [*rest, merged]
+    return fired, (), [*rest, merged]
+
+
 def _session_fold(keys: list[str], gap: int, lateness: int, no_clock: bool):
     """Fold over items of one key after another; the state is the few sessions a clock has not passed yet."""
 
@@ -195,28 +221,14 @@ def _session_fold(keys: list[str], gap: int, lateness: int, no_clock: bool):
                         if not s[3]:
                             emit(current, s, False)
                     current, live = key, []
-                lo, hi, n = int(lo), int(hi), int(n)
                 wm = None if wm is None or no_clock else int(wm)
-                if wm is not None:
-                    for s in live:
-                        if not s[3] and s[1] - 1 <= wm:
-                            s[3] = True
-                            emit(current, s, False)
-                    live = [s for s in live if s[1] - 1 + lateness > wm]
-                merged, rest = [lo, hi + gap, n, False], []
-                for s in live:
-                    if s[0] <= hi + gap and s[1] >= lo:
-                        same = s[0] <= lo and s[1] >= hi + gap
-                        merged = [min(s[0], merged[0]), max(s[1], merged[1]), merged[2] + s[2], s[3] and same]
-                    else:
-                        rest.append(s)
-                if wm is not None and merged[1] - 1 + lateness <= wm:
+                fired, again, live = session_step(live, int(lo), int(hi), int(n), wm, gap, lateness)
+                for done in fired:
+                    emit(current, done, False)
+                if again is None:
                     out.append((*current, None, None, None, None, None, tie))
-                    continue
-                if wm is not None and merged[1] - 1 <= wm:
-                    merged[3] = True
-                    emit(current, merged, True, wm)
-                live = [*rest, merged]
+                elif again:
+                    emit(current, again, True, wm)
             yield _frame(out, keys)
             out.clear()
         if current is not None:

@@ -102,3 +102,113 @@ def test_restart_continues(spark, ticks):
     got = spark.read.parquet(work + "/out").where("tag = 'firing'").drop("tag").unionByName(
         SW.open_windows(spark, work + "/cp", ("k",)).drop("tag"), allowMissingColumns=True)
     assert firings(got) == firings(W.window_firings(keyed(df), strategy, assigner))
+
+
+def test_sessions_stream_equals_batch(spark, ticks):
+    from keyclock.operators.sessions import session_firings
+    from keyclock.streaming.sessions import open_sessions, stream_sessions
+
+    path, df = ticks
+    strategy, gap, lateness = S.bounded(1000), 2 * HOUR, HOUR
+    src = read_replay(spark, path + "/*", schema=df.schema, streaming=True, files_per_batch=1)
+    work = tempfile.mkdtemp(prefix="keyclock-sess-")
+    start_sink(stream_sessions(keyed(src), strategy, gap, lateness), work + "/cp", path=work + "/out").awaitTermination()
+    got = spark.read.parquet(work + "/out")
+    shape = ["k", "window_start", "window_end", "elements", "wm"]
+    first = got.where("tag = 'firing'").select(*shape).unionByName(open_sessions(spark, work + "/cp", ("k",)).select(*shape))
+    want = session_firings(keyed(df), strategy, gap, lateness)
+    bag = lambda d: sorted(tuple(r) for r in d.select(*shape).collect())
+    assert bag(first) == bag(want.where("not refired"))
+    assert bag(got.where("tag = 'refiring'")) == bag(want.where("refired"))
+    late = session_firings(keyed(df), strategy, gap, lateness, late=True)
+    assert {r[0] for r in got.where("tag = 'late'").select("tie").collect()} == {r["tie"] for r in late.collect()}
+
+
+def test_process_function_stream_equals_batch(spark, ticks):
+    from pyspark.sql import types as T
+
+    from keyclock.plans.catalog import DayReport
+    from keyclock.streaming.process import process_keyed, process_stream
+
+    path, df = ticks
+    shape = T.StructType([T.StructField(n, T.LongType()) for n in ("user_id", "day_end", "seen", "wm")])
+    src = read_replay(spark, path + "/*", schema=df.schema, streaming=True, files_per_batch=2)
+    work = tempfile.mkdtemp(prefix="keyclock-proc-")
+    out = process_stream(keyed(src), S.bounded(1000), DayReport(), shape)
+    start_sink(out, work + "/cp", path=work + "/out").awaitTermination()
+    got = sorted(tuple(r) for r in spark.read.parquet(work + "/out").drop("tag").collect())
+    want = process_keyed(keyed(df), S.bounded(1000), DayReport(), shape).drop("tag")
+    # the stream has no end of input, so timers after the last clock step stay pending
+    assert got == sorted(tuple(r) for r in want.where(f"wm < {2**63 - 1}").collect())
+    assert len(got) > 20
+
+
+def test_rolling_reduce_function(spark, ticks):
+    from pyspark.sql import types as T
+
+    from keyclock.operators.rolling import rolling
+    from keyclock.streaming.process import RollingReduce, process_keyed
+
+    _, df = ticks
+    add = RollingReduce(lambda acc, row: {"event_id": row["event_id"], "cents": acc["cents"] + row["cents"]}, ["event_id", "cents"])
+    shape = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("cents", T.LongType())])
+    got = {(r["event_id"], r["cents"]) for r in process_keyed(keyed(df), S.none(), add, shape).collect()}
+    assert got == {(r["event_id"], r["running"]) for r in rolling(keyed(df), "sum", "cents").collect()}
+
+
+def test_idle_and_active_by_processing_time(spark):
+    import time
+
+    from keyclock.streaming.queries import idle_stream
+
+    src = tempfile.mkdtemp(prefix="keyclock-idle-")
+    work = tempfile.mkdtemp(prefix="keyclock-idleq-")
+
+    def put(name, rows):
+        spark.createDataFrame(rows, "id long, k string, t long").coalesce(1).write.mode("append").parquet(src + "/" + name)
+
+    put("a", [(1, "x", 1), (2, "y", 2)])
+    stream = spark.readStream.schema("id long, k string, t long").option("recursiveFileLookup", True).parquet(src)
+    ks = key_by(stream, "k", ts="t", tie="id")
+    q = start_sink(idle_stream(ks, 1500), work + "/cp", fmt="memory", name="idle_rows", trigger={"processingTime": "300 milliseconds"})
+    try:
+        def seen():
+            return [(r["k"], r["status"]) for r in spark.table("idle_rows").orderBy("at").collect()]
+
+        end = time.time() + 60
+        while time.time() < end and len(seen()) < 2:
+            time.sleep(0.5)
+        assert sorted(seen()) == [("x", "idle"), ("y", "idle")]
+        put("b", [(3, "x", 3)])
+        end = time.time() + 60
+        while time.time() < end and len(seen()) < 4:
+            time.sleep(0.5)
+        assert [s for k, s in seen() if k == "x"] == ["idle", "active", "idle"]
+        assert [s for k, s in seen() if k == "y"] == ["idle"]
+    finally:
+        q.stop()
+
+
+def test_spark_native_streams(spark, ticks):
+    from keyclock.operators.joins import interval_join
+    from keyclock.operators.rolling import latest_state
+    from keyclock.streaming import queries as Q
+
+    path, df = ticks
+    read = lambda: keyed(read_replay(spark, path + "/*", schema=df.schema, streaming=True, files_per_batch=3))
+    work = tempfile.mkdtemp(prefix="keyclock-native-")
+    a, b = read(), read()
+    a, b = a.with_df(a.df.where("event_id % 2 = 0")), b.with_df(b.df.where("event_id % 2 = 1"))
+    joined = Q.stream_interval_join(a, b, -HOUR, HOUR, 100 * 24 * HOUR)
+    start_sink(joined, work + "/cp1", path=work + "/out1").awaitTermination()
+    pairs = lambda d: sorted((r["left"]["event_id"], r["right"]["event_id"]) for r in d.collect())
+    l, r = keyed(df.where("event_id % 2 = 0")), keyed(df.where("event_id % 2 = 1"))
+    assert pairs(spark.read.parquet(work + "/out1")) == pairs(interval_join(l, r, -HOUR, HOUR).joined)
+
+    start_sink(Q.latest_stream(read(), "event_id", "t_ms"), work + "/cp2", fmt="memory", name="latest_rows", mode="complete").awaitTermination()
+    bag = lambda d: sorted(tuple(x) for x in d.select("k", "event_id", "t_ms").collect())
+    assert bag(spark.table("latest_rows")) == bag(latest_state(keyed(df), "event_id", "t_ms"))
+
+    base = Q.stream_level_windows(read(), 100 * 24 * HOUR, 6 * HOUR)
+    start_sink(base, work + "/cp3", fmt="memory", name="base_rows", mode="complete").awaitTermination()
+    assert spark.table("base_rows").agg(F.sum("elements")).first()[0] == df.count()
