@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from keyclock.functions.timeunits import floor_div
+from keyclock.functions.timeunits import floor_div_sql
 
 #: beyond this overlap a row's windows are handled as one array instead of a list of expressions
 MAX_LISTED = 16
@@ -22,6 +22,16 @@ def _span(start: Column, size: int) -> Column:
     return F.struct(start.alias("window_start"), (start + F.lit(size).cast("bigint")).alias("window_end"))
 
 
+def _span_sql(ts: str, step: int, offset: int, back: int, size: int) -> Column:
+    start = f"(`{ts}` - pmod(`{ts}` - {offset}L, {step}L) - {back}L)"
+    return F.expr(f"named_struct('window_start', {start}, 'window_end', {start} + {size}L)")
+
+
+def _grid_sql(wm: str, step: int, phase: int) -> Column:
+    """The largest ``phase + i * step`` up to ``wm + 1``."""
+    return F.expr(f"{floor_div_sql(f'{wm} + 1L - {phase}L', step)} * {step}L + {phase}L")
+
+
 class WindowAssigner:
     """Base class. ``event_time=False`` marks windows over the arrival clock, which are never late."""
 
@@ -33,7 +43,7 @@ class WindowAssigner:
         """All windows of a row as one array."""
         raise NotImplementedError
 
-    def candidates(self, ts: Column) -> list[tuple[Column, Column]] | None:
+    def candidates(self, ts: str) -> list[tuple[Column, Column]] | None:
         """The same as a fixed list of (window, does the row belong to it), which stays inside generated code."""
         return None
 
@@ -41,8 +51,8 @@ class WindowAssigner:
         """Every row lies inside at least one of its own windows."""
         return True
 
-    def end_reached(self, wm: Column) -> Column:
-        """The latest possible window end that a watermark completes (``end - 1 <= wm``)."""
+    def end_reached(self, wm: str) -> Column:
+        """The latest possible window end that a watermark (SQL text) completes (``end - 1 <= wm``)."""
         raise NotImplementedError
 
     @property
@@ -64,19 +74,15 @@ class Tumbling(WindowAssigner):
     def step(self):
         return self.size_ms
 
-    def start(self, ts: Column) -> Column:
-        shifted = ts - F.lit(self.offset_ms).cast("bigint")
-        return ts - F.pmod(shifted, F.lit(self.size_ms).cast("bigint"))
-
     def windows(self, ts: Column) -> Column:
-        return F.array(_span(self.start(ts), self.size_ms))
+        shifted = ts - F.lit(self.offset_ms).cast("bigint")
+        return F.array(_span(ts - F.pmod(shifted, F.lit(self.size_ms).cast("bigint")), self.size_ms))
 
-    def candidates(self, ts: Column):
-        return [(_span(self.start(ts), self.size_ms), F.lit(True))]
+    def candidates(self, ts: str):
+        return [(_span_sql(ts, self.size_ms, self.offset_ms, 0, self.size_ms), F.lit(True))]
 
-    def end_reached(self, wm: Column) -> Column:
-        off = F.lit(self.offset_ms).cast("bigint")
-        return floor_div(wm + 1 - off, self.size_ms) * self.size_ms + off
+    def end_reached(self, wm: str) -> Column:
+        return _grid_sql(wm, self.size_ms, self.offset_ms)
 
 
 @dataclass(frozen=True)
@@ -105,17 +111,17 @@ class Sliding(WindowAssigner):
     def windows(self, ts: Column) -> Column:
         return F.filter(F.array(*self._spans(ts)), lambda w: w["window_end"] > ts)
 
-    def candidates(self, ts: Column):
-        spans = self._spans(ts)
-        if len(spans) > MAX_LISTED:
+    def candidates(self, ts: str):
+        overlap = -(-self.size_ms // self.slide_ms)
+        if overlap > MAX_LISTED:
             return None
+        spans = [_span_sql(ts, self.slide_ms, self.offset_ms, i * self.slide_ms, self.size_ms) for i in range(overlap)]
         if self.size_ms % self.slide_ms == 0:
             return [(w, F.lit(True)) for w in spans]
-        return [(w, w["window_end"] > ts) for w in spans]
+        return [(w, w["window_end"] > F.col(ts)) for w in spans]
 
-    def end_reached(self, wm: Column) -> Column:
-        phase = F.lit((self.offset_ms + self.size_ms) % self.slide_ms).cast("bigint")
-        return floor_div(wm + 1 - phase, self.slide_ms) * self.slide_ms + phase
+    def end_reached(self, wm: str) -> Column:
+        return _grid_sql(wm, self.slide_ms, (self.offset_ms + self.size_ms) % self.slide_ms)
 
 
 @dataclass(frozen=True)
@@ -132,8 +138,8 @@ class Custom(WindowAssigner):
     def windows(self, ts: Column) -> Column:
         return self.assign(ts).cast(WINDOW_TYPE)
 
-    def end_reached(self, wm: Column) -> Column:
-        return wm + 1
+    def end_reached(self, wm: str) -> Column:
+        return F.expr(f"{wm} + 1L")
 
 
 def tumbling(size_ms: int, offset_ms: int = 0) -> Tumbling:

@@ -19,8 +19,15 @@ def max_wm() -> Column:
     return F.lit(MAX_WM).cast("bigint")
 
 
-def floor_div(x: Column, n: int) -> Column:
-    """Division rounding towards minus infinity; SQL ``div`` truncates instead."""
+def floor_div_sql(x: str, n: int) -> str:
+    """SQL text of a division rounding towards minus infinity; SQL ``div`` alone truncates."""
+    return f"((({x}) - pmod({x}, {n}L)) div {n}L)"
+
+
+def floor_div(x: Column | str, n: int) -> Column:
+    """The same for a Column, or shorter for a column name."""
+    if isinstance(x, str):
+        return F.expr(floor_div_sql(f"`{x}`", n))
     x = x.cast("bigint")
     step = F.lit(n).cast("bigint")
     return F.call_function("div", x - F.pmod(x, step), step)

@@ -83,7 +83,7 @@ class KeyedStream:
 
     def bucket(self, keys) -> Column:
         """Arrival slice that bounds what one task sorts, whatever the key distribution."""
-        cut = floor_div(F.col(self.arrival), self.bucket_ms)
+        cut = floor_div(self.arrival, self.bucket_ms)
         if self.hot is None or not keys:
             return cut
         return F.when(self.hot.is_hot(keys), cut).otherwise(F.lit(0).cast("bigint"))

@@ -50,7 +50,7 @@ def sliding_count_windows(ks: KeyedStream, size: int, slide: int, *aggs: Column)
         .groupBy(*ks.keys, "__end")
         .agg(F.count("*").alias("elements"), F.max("__n").alias("__seen"), *aggs)
         .where(F.col("__seen") == F.col("__end"))
-        .withColumn("window_no", floor_div(F.col("__end"), slide) - 1)
+        .withColumn("window_no", floor_div("__end", slide) - 1)
         .drop("__end", "__seen")
     )
 
@@ -74,7 +74,7 @@ def count_triggered(
     items = classify_lateness(ks, strategy, assigner, lateness_ms).where("window_status <> 'late'")
     group = [*ks.keys, "window_start", "window_end"]
     order = [F.col(ks.arrival), F.col(ks.tie)]
-    cut = floor_div(F.col(ks.arrival), ks.bucket_ms)
+    cut = floor_div(ks.arrival, ks.bucket_ms)
     folds = [Fold("__n", "sum", _one())]
     if not purging:
         folds += [Fold(f"__r{i}", m.fold_kind(), m.item()) for i, m in enumerate(measures)]

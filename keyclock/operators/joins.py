@@ -46,7 +46,7 @@ def with_pair_clock(left: KeyedStream, right: KeyedStream, strategy: WatermarkSt
     folds = [Fold(f"__wm_{s}", "max", F.when(F.col("__side") == s, proposed)) for s in ("left", "right")]
     scope = clock_keys(left, strategy)
     order = [F.col("__at"), F.col("__tie"), F.col("__side")]
-    rows = running(both, scope, order, floor_div(F.col("__at"), left.bucket_ms), folds, inclusive=False)
+    rows = running(both, scope, order, floor_div("__at", left.bucket_ms), folds, inclusive=False)
     wl, wr = F.col("__wm_left"), F.col("__wm_right")
     late = wl.isNotNull() & wr.isNotNull() & (F.col("__ts") < F.least(wl, wr))
     return rows.withColumn("__late", late).drop("__wm_left", "__wm_right")

@@ -70,7 +70,7 @@ def _clock_items(ks: KeyedStream, strategy: WatermarkStrategy, gap_ms: int) -> D
     keys, gap = list(ks.keys), F.lit(gap_ms).cast("bigint")
     slim = ks.df.select(*keys, F.col(ks.ts).alias("ts"), F.col(ks.arrival).alias("at"), F.col(ks.tie).alias("tie"))
     order, ts, m = [F.col("at"), F.col("tie")], F.col("ts"), F.col("__m")
-    cut = floor_div(F.col("at"), max(ks.bucket_ms, 8 * gap_ms))
+    cut = floor_div("at", max(ks.bucket_ms, 8 * gap_ms))
     rows = running(slim, keys, order, cut, [Fold("__m", "max", ts)], inclusive=False, keep_slice="o1")
     inside = Window.partitionBy(*keys, "o1").orderBy(*order)
     before, upto = [inside.rowsBetween(Window.unboundedPreceding, end) for end in (-1, 0)]
@@ -157,7 +157,7 @@ def _first_step_at(waiting: DataFrame, steps: DataFrame, ks: KeyedStream) -> Dat
     step do not occur, since a row is only accepted ahead of the clock.
     """
     keys = list(ks.keys)
-    cut = floor_div(F.col("__step"), ks.bucket_ms)
+    cut = floor_div("__step", ks.bucket_ms)
     firsts = steps.groupBy(*keys, cut.alias("__s")).agg(F.min("__step").alias("__step"))
     following = Window.partitionBy(*keys).orderBy("__s")
     carry = (
@@ -166,7 +166,7 @@ def _first_step_at(waiting: DataFrame, steps: DataFrame, ks: KeyedStream) -> Dat
         .select(*keys, F.explode(F.sequence("__s", F.col("__n") - 1)).alias("__s"), "__step", F.lit(0).alias("__kind"))
     )
     inside = steps.withColumns({"__s": cut, "__pos": F.col("__step"), "__kind": F.lit(1)})
-    asked = waiting.withColumns({"__s": floor_div(F.col("__pos"), ks.bucket_ms), "__kind": F.lit(2)})
+    asked = waiting.withColumns({"__s": floor_div("__pos", ks.bucket_ms), "__kind": F.lit(2)})
     both = asked.unionByName(inside, allowMissingColumns=True).unionByName(carry, allowMissingColumns=True)
     # carry rows have no position and come first, then from late to early; at equal positions the step is seen first
     backwards = Window.partitionBy(*keys, "__s").orderBy(F.col("__pos").desc_nulls_first(), "__kind")

@@ -16,7 +16,7 @@ def clock_keys(ks: KeyedStream, strategy: WatermarkStrategy) -> tuple[str, ...]:
 
 
 def tick_of(ks: KeyedStream, strategy: WatermarkStrategy):
-    return floor_div(F.col(ks.arrival), strategy.tick_ms)
+    return floor_div(ks.arrival, strategy.tick_ms)
 
 
 def clocked_rows(ks: KeyedStream, strategy: WatermarkStrategy) -> DataFrame:
@@ -34,7 +34,7 @@ def clocked_rows(ks: KeyedStream, strategy: WatermarkStrategy) -> DataFrame:
     order = [F.col(ks.arrival), F.col(ks.tie)]
     if strategy.emit == "record":
         return running(rows, keys, order, ks.bucket(keys), [fold], inclusive=False)
-    return running(rows, keys, order, floor_div(F.col(ks.arrival), ks.bucket_ms), [fold], unit=tick_of(ks, strategy))
+    return running(rows, keys, order, floor_div(ks.arrival, ks.bucket_ms), [fold], unit=tick_of(ks, strategy))
 
 
 def assign_watermarks(ks: KeyedStream, strategy: WatermarkStrategy) -> DataFrame:

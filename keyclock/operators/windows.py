@@ -80,14 +80,14 @@ def windowed(ks: KeyedStream, strategy: WatermarkStrategy, assigner: WindowAssig
     if not assigner.event_time:
         raise ValueError("arrival-clock windows have no watermark; use window_aggregate")
     rows = clocked_rows(ks, strategy)
-    if assigner.candidates(F.col(ks.ts)) is None:
+    if assigner.candidates(ks.ts) is None:
         rows = rows.withColumn("__wins", assigner.windows(F.col(ks.ts)))
     return rows
 
 
 def _items(ks, assigner, keep: Callable[[Column], Column], make: Callable[[Column], Column]) -> Column:
     """Array of ``make(w)`` for the row's windows with ``keep(w)``; elements may be null and are to be skipped."""
-    listed = assigner.candidates(F.col(ks.ts))
+    listed = assigner.candidates(ks.ts)
     if listed is None:
         return F.transform(F.filter("__wins", keep), make)
     return F.array(*[F.when(mine & keep(w), make(w)) for w, mine in listed])
@@ -102,7 +102,7 @@ def element_late(ks: KeyedStream, assigner: WindowAssigner, lateness_ms: int) ->
     """No window takes the row, and its own time has passed as well."""
     wm = F.col("__wm")
     own = passed(wm, F.col(ks.ts), lateness_ms)
-    listed = assigner.candidates(F.col(ks.ts))
+    listed = assigner.candidates(ks.ts)
     if listed is None:
         return own & F.forall("__wins", lambda w: passed(wm, _last(w), lateness_ms))
     for w, mine in listed:
@@ -165,19 +165,17 @@ def panes(
     aggregation as the rows, so a keyed run reads and shuffles the rows once.
     """
     rows = windowed(ks, strategy, assigner)
-    wm, cand = F.col("__wm"), F.col("__cand")
-    keys = list(ks.keys)
+    wm, keys = F.col("__wm"), list(ks.keys)
     no_time = F.lit(None).cast("bigint")
     fused = strategy.scope == "key" and strategy.emit == "record" and strategy.kind != "none"
 
-    def step(wm_before: Column, wm_now: Column, arrival: Column) -> tuple[Column, Column]:
+    def step(wm_before: str, wm_now: str, arrival: str) -> tuple[Column, Column]:
         """(is this a step into a new cell, the step as a window-like item)"""
-        shift = F.lit(delay_ms).cast("bigint")
-        end = assigner.end_reached(wm_now - shift)
-        rises = wm_now.isNotNull() & (wm_before.isNull() | (wm_now > wm_before))
-        fresh = rises & (wm_before.isNull() | (end > assigner.end_reached(wm_before - shift)))
+        end = assigner.end_reached(f"({wm_now} - {delay_ms}L)")
+        rises = F.expr(f"{wm_now} is not null and ({wm_before} is null or {wm_now} > {wm_before})")
+        fresh = rises & (F.col(wm_before).isNull() | (end > assigner.end_reached(f"({wm_before} - {delay_ms}L)")))
         return fresh, F.struct(
-            no_time.alias("window_start"), end.alias("window_end"), wm_now.alias("wm"), arrival.alias("fired_at")
+            no_time.alias("window_start"), end.alias("window_end"), F.col(wm_now).alias("wm"), F.col(arrival).alias("fired_at")
         )
 
     accepted = _items(
@@ -189,14 +187,13 @@ def panes(
     fired = [F.min("wm").alias("wm"), F.min("fired_at").alias("fired_at")]
     group = [*keys, "window_start", "window_end"]
     if fused:
-        fresh, item = step(wm, cand, F.col(ks.arrival))
+        fresh, item = step("__wm", "__cand", ks.arrival)
         accepted = F.concat(accepted, F.array(F.when(fresh, item)))
     grouped = _spread(rows, accepted, "*").groupBy(*group).agg(*aggs, *fired)
     if strategy.kind == "none":
         return grouped.withColumn("wm", max_wm())
     if not fused:
-        before, now = F.col("wm_before"), F.col("__now")
-        fresh, item = step(before, now, F.col("arrival"))
+        fresh, item = step("wm_before", "__now", "arrival")
         steps = progress_rows(ks, strategy).withColumnRenamed("wm", "__now").where(fresh)
         steps = steps.select(*clock_keys(ks, strategy), item.alias("__i")).select("*", "__i.*").drop("__i")
         if strategy.scope == "stream":
@@ -325,7 +322,7 @@ def pane_rows(ks: KeyedStream, strategy: WatermarkStrategy, assigner: WindowAssi
     rows = _spread(windowed(ks, strategy, assigner), on_time, *ks.df.columns)
     pane = [*ks.keys, "window_start", "window_end"]
     order = [F.col(ks.arrival), F.col(ks.tie)]
-    cut = floor_div(F.col(ks.arrival), ks.bucket_ms)
+    cut = floor_div(ks.arrival, ks.bucket_ms)
     placed = running(rows, pane, order, cut, [Fold("position", "sum", F.lit(1).cast("bigint"))])
     fired = panes(ks, strategy, assigner, [F.count("*").alias("elements")]).select(*pane, "elements", "wm", "fired_at")
     a, b = placed.alias("a"), fired.alias("b")

@@ -692,7 +692,7 @@ SELECT z.k, z.arrival, z.event_id, q.event_id AS best_id, q.price AS best_price
 
 def _rolling_by(spark, sf_dir, kind, tie):
     ks = _cents(replay(spark, sf_dir))
-    ks = ks.with_df(ks.df.withColumn("price", floor_div(F.col("cents"), 500)))
+    ks = ks.with_df(ks.df.withColumn("price", floor_div("cents", 500)))
     best = rolling.rolling_by(ks, kind, "price", tie, ["event_id", "price"])
     return best.select("k", "arrival", "event_id", F.col("best.event_id").alias("best_id"), F.col("best.price").alias("best_price"))
 
@@ -913,7 +913,7 @@ _NS = 1_000_000
 def _end_log(spark, sf_dir, strategy=CLOCK):
     """Firings as END records; the wall clock is the arrival that moved the watermark plus a fixed skew per key and hour."""
     fired = W.window_firings(replay(spark, sf_dir), strategy, A.tumbling(HOUR)).where("fired_at is not null")
-    hour = floor_div(F.col("window_start"), HOUR)
+    hour = floor_div("window_start", HOUR)
     slow = F.when(hour % 97 == 0, 60_000).otherwise(0)
     clock = (F.col("fired_at") + (F.col("k") % 7) * (hour % 1000 + 1) + slow) * _NS
     return fired.select(F.lit("END").alias("type"), F.col("wm").alias("watermark"), F.col("k").alias("key"), clock.alias("system_time"))

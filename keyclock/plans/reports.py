@@ -152,10 +152,10 @@ def state_timeline(
     entered = (
         classify_lateness(ks, strategy, assigner, lateness_ms)
         .where("window_status <> 'late'")
-        .select(*ks.keys, floor_div(F.col(ks.arrival), tick_ms).alias("__t"), F.lit(1).cast("bigint").alias("__d"))
+        .select(*ks.keys, floor_div(ks.arrival, tick_ms).alias("__t"), F.lit(1).cast("bigint").alias("__d"))
     )
     cleared = panes(ks, strategy, assigner, [F.count("*").alias("__n")], delay_ms=lateness_ms).where("fired_at is not null")
-    left = cleared.select(*ks.keys, floor_div(F.col("fired_at"), tick_ms).alias("__t"), (-F.col("__n")).alias("__d"))
+    left = cleared.select(*ks.keys, floor_div("fired_at", tick_ms).alias("__t"), (-F.col("__n")).alias("__d"))
     changes = entered.unionByName(left).groupBy(*ks.keys, "__t").agg(F.sum("__d").alias("__d"))
     # one row per key and tick: a time axis per key, not rows
     so_far = Window.partitionBy(*ks.keys).orderBy("__t")

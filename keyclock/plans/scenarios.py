@@ -24,16 +24,16 @@ GLOBAL5 = 3277
 GLOBAL50 = 32768
 
 
-def _delayed(name: str) -> Column:
-    k, share = F.col("k"), F.col("event_id") * 48271 % 65537
+def _delayed(name: str) -> str:
+    share = "event_id * 48271 % 65537"
     return {
-        "ordered": F.lit(False),
-        "global5": share < GLOBAL5,
-        "global50": share < GLOBAL50,
-        "median20": k.between(*MEDIAN20),
-        "median50": k.between(*MEDIAN50),
-        "random20": k.isin(*RANDOM20),
-        "random50": k.isin(*RANDOM50),
+        "ordered": "false",
+        "global5": f"{share} < {GLOBAL5}",
+        "global50": f"{share} < {GLOBAL50}",
+        "median20": "k between {} and {}".format(*MEDIAN20),
+        "median50": "k between {} and {}".format(*MEDIAN50),
+        "random20": f"k in {RANDOM20}",
+        "random50": f"k in {RANDOM50}",
     }[name]
 
 
@@ -41,8 +41,8 @@ SCENARIOS = ("ordered", "global5", "global50", "median20", "median50", "random20
 
 
 def _arrival(name: str) -> Column:
-    jitter = F.call_function("div", (F.col("event_id") * 40503 % 65537) * HOUR, F.lit(65537).cast("bigint"))
-    return F.col("t_ms") + F.when(_delayed(name), F.lit(12 * HOUR).cast("bigint") + jitter).otherwise(F.lit(0).cast("bigint"))
+    jitter = f"(event_id * 40503 % 65537) * {HOUR}L div 65537"
+    return F.expr(f"t_ms + if({_delayed(name)}, {12 * HOUR}L + {jitter}, 0L)")
 
 
 def timed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
