@@ -19,6 +19,7 @@ from keyclock.plans.scenarios import HOUR, SCENARIOS, all_scenarios, arriving_ev
 from keyclock.sources.replay import SideOutputs, declare, transform
 from keyclock.strategy import WatermarkStrategy
 from keyclock.streaming.process import IntervalJoinStream, KeyedProcessFunction, process_keyed
+from keyclock.streaming.triggers import CONTINUE, FIRE, EventTimeTrigger, TriggeredWindows
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -623,6 +624,41 @@ def process_function(spark, sf_dir):
     return process_keyed(ks, CLOCK, DayReport(), shape).drop("tag")
 
 
+class EarlyOnPurchase(EventTimeTrigger):
+    """An early look at the window with every purchase, and the usual firing at its end."""
+
+    def on_element(self, row, ctx):
+        return FIRE if super().on_element(row, ctx) == FIRE or row["event_type"] == "purchase" else CONTINUE
+
+
+def _day(ts):
+    return [(ts - ts % (24 * HOUR), ts - ts % (24 * HOUR) + 24 * HOUR)]
+
+
+def _count_up(acc, row):
+    return (acc or 0) + 1
+
+
+def _day_result(acc, ctx):
+    return {"user_id": ctx.key[0], "window_start": ctx.window[0], "elements": acc, "wm": ctx.current_watermark}
+
+
+@query(
+    "user_trigger_windows",
+    f"""WITH {sql_clock(part="PARTITION BY user_id", scenario="global50")}, {sql_steps("user_id, ")}, {sql_windows(24 * HOUR)},
+a AS (SELECT *, row_number() OVER (PARTITION BY user_id, window_start ORDER BY arrival, event_id) AS n FROM w WHERE wm IS NULL OR wm < window_end - 1),
+g AS (SELECT user_id, window_start, window_end, count(*) AS elements FROM a GROUP BY 1, 2, 3)
+SELECT user_id, window_start, n AS elements, coalesce(wm, {MIN_SQL}) AS wm FROM a WHERE event_type = 'purchase'
+UNION ALL SELECT g.user_id, window_start, elements, coalesce(p.pwm, {MAX_WM}) FROM g ASOF LEFT JOIN p ON g.user_id = p.user_id AND g.window_end - 1 <= p.pwm""",
+)
+def user_trigger_windows(spark, sf_dir):
+    """A trigger written by the user, over daily windows per user."""
+    ks = replay(spark, sf_dir, "global50", "user_id")
+    ks = ks.with_df(ks.df.select("user_id", "t_ms", "arrival", "event_id", "event_type"))
+    shape = T.StructType([T.StructField(n, T.LongType()) for n in ("user_id", "window_start", "elements", "wm")])
+    return process_keyed(ks, CLOCK, TriggeredWindows(_day, EarlyOnPurchase(), _count_up, _day_result, "t_ms"), shape).drop("tag")
+
+
 class EveryTenth:
     """A clock of one's own: after every tenth row of a key, the largest time so far."""
 

@@ -30,6 +30,15 @@ def stream_level_windows(ks: KeyedStream, bound_ms: int, size_ms: int, slide_ms:
     return out.select(start, end, *[c for c in out.columns if c != "window"])
 
 
+def stream_arrival_windows(ks: KeyedStream, size_ms: int, slide_ms: int | None = None, *aggs: Column) -> DataFrame:
+    """Windows over the time a row is processed at; nothing is ever late."""
+    rows = ks.df.withColumn("event_time", F.current_timestamp()).withWatermark("event_time", "0 seconds")
+    window = F.window("event_time", _interval(size_ms), _interval(slide_ms or size_ms))
+    out = rows.groupBy(*ks.keys, window).agg(F.count("*").alias("elements"), *aggs)
+    start, end = [F.unix_millis(f"window.{side}").alias(f"window_{side}") for side in ("start", "end")]
+    return out.select(start, end, *[c for c in out.columns if c != "window"])
+
+
 def stream_interval_join(
     left: KeyedStream, right: KeyedStream, lower_ms: int, upper_ms: int, bound_ms: int, lower_exclusive=False, upper_exclusive=False
 ) -> DataFrame:

@@ -212,3 +212,33 @@ def test_spark_native_streams(spark, ticks):
     base = Q.stream_level_windows(read(), 100 * 24 * HOUR, 6 * HOUR)
     start_sink(base, work + "/cp3", fmt="memory", name="base_rows", mode="complete").awaitTermination()
     assert spark.table("base_rows").agg(F.sum("elements")).first()[0] == df.count()
+
+    now = Q.stream_arrival_windows(read(), HOUR)
+    start_sink(now, work + "/cp4", fmt="memory", name="now_rows", mode="complete").awaitTermination()
+    assert spark.table("now_rows").agg(F.sum("elements")).first()[0] == df.count()
+
+
+@pytest.mark.parametrize("kind", ["event", "event_purging", "count", "count_purging"])
+def test_trigger_classes_equal_declared_triggers(spark, ticks, kind):
+    from pyspark.sql import types as T
+
+    from keyclock.operators.counts import count_triggered
+    from keyclock.streaming import triggers as X
+    from keyclock.streaming.process import process_keyed
+
+    _, df = ticks
+    strategy, lateness, day = S.bounded(1000), 3 * HOUR, 24 * HOUR
+    inner = X.CountTrigger(4) if kind.startswith("count") else X.EventTimeTrigger()
+    trigger = X.PurgingTrigger(inner) if kind.endswith("purging") else inner
+    run = X.TriggeredWindows(
+        lambda t: [(t - t % day, t - t % day + day)], trigger, lambda acc, row: (acc or 0) + 1,
+        lambda acc, ctx: {"k": ctx.key[0], "window_start": ctx.window[0], "elements": acc}, "t_ms", lateness, lambda row: {"k": row["k"]})
+    shape = T.StructType([T.StructField(n, T.LongType()) for n in ("k", "window_start", "elements")])
+    out = process_keyed(keyed(df), strategy, run, shape)
+    bag = lambda d: sorted(tuple(r) for r in d.select("k", "window_start", "elements").collect())
+    if kind.startswith("count"):
+        want = count_triggered(keyed(df), strategy, A.tumbling(day), 4, lateness_ms=lateness, purging=kind.endswith("purging"))
+    else:
+        want = W.window_firings(keyed(df), strategy, A.tumbling(day), lateness_ms=lateness, purging=kind.endswith("purging"))
+    assert bag(out.where("tag is null")) == bag(want)
+    assert out.where("tag = 'late'").count() == W.late_rows(keyed(df), strategy, A.tumbling(day), lateness).count()
