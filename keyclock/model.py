@@ -13,6 +13,9 @@ from keyclock.strategy import WatermarkStrategy
 
 DEFAULT_BUCKET_MS = 3_600_000
 HOT_KEY_LIMIT = 2_000
+#: rows one arrival slice should hold at most, whatever the keys, and how many slices to have at least
+SLICE_ROWS = 2_000_000
+MIN_SLICES = 64
 
 
 def bad_key_types(dtype: T.DataType, path: str) -> list[str]:
@@ -50,6 +53,22 @@ class HotKeys:
         return hit
 
 
+def fit_bucket_ms(df: DataFrame, arrival: str, slice_rows: int = SLICE_ROWS) -> int:
+    """Slice width for this data: about ``slice_rows`` rows in the densest stretch of arrivals, all keys together.
+
+    Reads one column, twice. Even if one key held everything, no task would sort more than a slice. Results do not depend
+    on the width, so a value from older data or a sample serves as well.
+    """
+    low, high, rows = df.agg(F.min(arrival), F.max(arrival), F.count(arrival)).first()
+    if not rows or high == low:
+        return DEFAULT_BUCKET_MS
+    width = max(1, (high - low) // max(MIN_SLICES, -(-rows // slice_rows)))
+    if rows <= slice_rows:
+        return width
+    densest = df.groupBy(floor_div(arrival, width).alias("s")).count().agg(F.max("count")).first()[0]
+    return max(1, width * slice_rows // densest) if densest > 2 * slice_rows else width
+
+
 @dataclass(frozen=True)
 class KeyedStream:
     df: DataFrame
@@ -67,6 +86,10 @@ class KeyedStream:
         """A different keying of the same rows; the only way to re-partition a keyed stream."""
         return key_by(self.df, *keys, ts=self.ts, arrival=self.arrival, tie=self.tie, bucket_ms=self.bucket_ms)
 
+    def fitted(self, slice_rows: int = SLICE_ROWS) -> "KeyedStream":
+        """The same stream with arrival slices sized by :func:`fit_bucket_ms`; runs a small job."""
+        return replace(self, bucket_ms=fit_bucket_ms(self.df, self.arrival, slice_rows))
+
     def timed(self, strategy: WatermarkStrategy) -> "KeyedStream":
         """Apply the strategy's timestamp assigner, if it has one; otherwise keep the record's time."""
         if strategy.timestamp is None:
@@ -101,7 +124,7 @@ def key_by(
     """Key a DataFrame. ``ts``/``arrival`` may be bigint milliseconds, timestamps or dates.
 
     Nested key paths (``"a.b"``) become flat columns (``a_b``). Without ``arrival`` the event time is the arrival.
-    ``bucket_ms`` should keep the rows of one key in one arrival slice within what a task sorts comfortably.
+    ``bucket_ms`` should keep one arrival slice within what a task sorts comfortably; ``.fitted()`` measures it.
     """
     if not keys:
         raise ValueError("key_by needs at least one key")

@@ -189,3 +189,15 @@ def test_rolling_fold_with_nulls(spark):
     ks = stream(spark, [("a", 5), ("a", None), ("a", 3)], bucket_ms=1)
     got = rolling.rolling_reduce(ks, Fold("m", "max", F.col("t")), Fold("s", "sum", F.col("t"))).orderBy("id").collect()
     assert [(r["m"], r["s"]) for r in got] == [(5, 5), (5, 5), (5, 8)]
+
+
+def test_fitted_slices(spark):
+    flat = stream(spark, [("a", 0)] * 1000)
+    assert flat.fitted().bucket_ms == 999 // 64
+    assert flat.fitted(slice_rows=5).bucket_ms == 999 // 200
+    # half of all rows arrive within one percent of the time
+    df = flat.df.withColumn("at", F.when(F.col("id") < 500, F.col("id") * 100).otherwise(50_000 + F.col("id")))
+    width = flat.with_df(df).fitted(slice_rows=50).bucket_ms
+    densest = df.groupBy(F.expr(f"at div {width}")).count().agg(F.max("count")).first()[0]
+    assert densest <= 2 * 50
+    assert stream(spark, [("a", 1)]).fitted().bucket_ms > 0
