@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from keyclock.functions.assigners import WindowAssigner
 from keyclock.functions.timeunits import MAX_WM
 from keyclock.model import KeyedStream
-from keyclock.operators.windows import Measure, count
+from keyclock.operators.windows import Measure
 from keyclock.strategy import WatermarkStrategy
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
