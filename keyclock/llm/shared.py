@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -58,6 +60,14 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[
         yield batch.slice(start)
 
 
+def once(key: tuple, make):
+    """What ``make()`` returned the first time in this Python worker. Functions travel by value, so their modules keep nothing."""
+    held = sys.modules.setdefault("keyclock_worker", types.ModuleType("keyclock_worker")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 class Memo:
     """Values by key in two generations: what is asked for moves to the young one; when that is full, the old one is forgotten."""
 
