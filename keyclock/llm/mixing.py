@@ -16,10 +16,11 @@ without words has target 0. An empty table gives an empty one. Only the three na
 from __future__ import annotations
 
 import itertools
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyclock.llm.shared import WORD, written
@@ -135,10 +136,14 @@ def _level(rows: DataFrame, last: bool) -> DataFrame:
     return rows.groupBy("number", "block").applyInArrow(fly, rows.schema)
 
 
+def _row_hash(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+
+
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target and taken (words, repeats counted) of every row."""
+    """doc_id, source, size, source_size, target, taken (words, repeats counted), copies and a hash of id and text, of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col(id_col), text).alias("h"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), _row_hash(id_col, text_col).alias("h"))
     rows = written(rows)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = targets(sizes.select("source", "source_size"), weights, share, most)
@@ -167,5 +172,15 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    taken = F.col("size") * (F.col("whole") + F.round("chance")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    copies = (F.col("whole") + F.round("chance")).cast("long")
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), F.col("h").alias("row_hash"))
+
+
+def applied(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as it is taken, with all its columns. Rows with equal ids and texts count as copies
+    of one, taken as often as they are together."""
+    key, many = f"hash_{uuid.uuid4().hex}", f"copies_{uuid.uuid4().hex}"
+    plan = mixed(docs, weights, share, most, BLOCK, id_col, text_col, source_col)
+    plan = plan.groupBy(F.col("row_hash").alias(key)).agg(F.sum("copies").alias(many)).where(F.col(many) > 0)
+    rows = docs.withColumn(key, _row_hash(id_col, text_col)).dropDuplicates([key])
+    return rows.join(plan, key).withColumn(many, F.explode(F.sequence(F.lit(1), F.col(many).cast("int")))).drop(key, many)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyclock.llm import mixing, simhash, token_counts, token_files, toxicity, warc
+from keyclock.llm import decontamination, mixing, simhash, token_counts, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,7 +41,22 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_chunks, op2_cube_mixing, op3_token_files, op6_token_counts, op7_toxicity, op8_simhash_groups)}
+def op10_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_chunks,
+        op2_cube_mixing,
+        op3_token_files,
+        op6_token_counts,
+        op7_toxicity,
+        op8_simhash_groups,
+        op10_latent_leaks,
+    )
+}
 ORACLE: dict[str, str] = {
     "op1_warc_chunks": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages),

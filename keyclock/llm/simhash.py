@@ -18,6 +18,7 @@ unless it has no other. Repeated rows each get a result. An empty table gives an
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,16 +55,17 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, of every row."""
+    """doc_id, fp (the fingerprint as a signed long) and text_hash of every row."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in slices(batch, 1):
                 got = np.array([fingerprint(t, shingle) for t in rows.column(1).to_pylist()], dtype=np.uint64)
-                yield pa.record_batch([rows.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+                yield pa.record_batch([rows.column(0), pa.array(got.view(np.int64)), rows.column(2)], ["doc_id", "fp", "text_hash"])
 
-    text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(hashed, "doc_id long, fp long")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
+    return rows.mapInArrow(hashed, "doc_id long, fp long, text_hash long")
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -190,12 +192,29 @@ def links(fps: DataFrame, radius: int = 4, bands: int = 4, leaf: int = LEAF, sam
     return rows.groupBy("band", "leaf", "task").applyInArrow(shard, "a long, b long")
 
 
+def _rooted(marked: DataFrame, radius: int) -> DataFrame:
+    """``fp``, its ``root`` and the ``least`` id that has it."""
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(distinct, radius))
+    return distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+
+
 def groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the least id that can be reached over links, of every row."""
     marked = written(fingerprints(docs, id_col, text_col, shingle))
-    distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct, radius))
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = _rooted(marked, radius)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = named.join(ids, "root").select("fp", "component_id")
     return marked.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of ``docs`` of every component, with all its columns: that of the least id, rows without an id last."""
+    marked = written(fingerprints(docs, id_col, text_col, shingle))
+    named = marked.join(_rooted(marked, radius).select("fp", "root"), "fp")
+    first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("m"))
+    keys = [f"{name}_{uuid.uuid4().hex}" for name in ("id", "hash")]
+    rows = docs.withColumns({keys[0]: F.col(id_col).cast("long"), keys[1]: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
+    first = first.select(F.col("m.doc_id").alias("i"), F.col("m.text_hash").alias("h"))
+    kept = rows.join(first, rows[keys[0]].eqNullSafe(first.i) & (rows[keys[1]] == first.h), "left_semi")
+    return kept.dropDuplicates(keys).drop(*keys)

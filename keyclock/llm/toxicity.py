@@ -181,3 +181,8 @@ def scored(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     model = fit(docs, labels.where(~held_out()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), model.score(F.col("text")).alias("score"))
     return rows.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
+
+
+def clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, with all their columns."""
+    return docs.where(fit(docs, labels.where(~held_out())).score(F.col("text")) < threshold)
