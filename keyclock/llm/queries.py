@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyclock.llm import decontamination, mixing, simhash, token_counts, token_files, toxicity, warc
+from keyclock.llm import decontamination, line_dedup, line_quality, mixing, simhash, surrogates, token_counts, token_files, toxicity, warc
+
+
+#: The key of the surrogates in the registered query; whoever keeps data private passes a secret one.
+PII_KEY = "published with the query, for tests only"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +33,14 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.encode_and_check(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op4_line_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.assessed(table(spark, sf_dir, "documents")).drop("cleaned_text")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -41,6 +53,11 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op9_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replaced(docs, PII_KEY)
+
+
 def op10_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,9 +68,12 @@ QUERIES = {
         op1_warc_chunks,
         op2_cube_mixing,
         op3_token_files,
+        op4_line_winnowing,
+        op5_line_quality,
         op6_token_counts,
         op7_toxicity,
         op8_simhash_groups,
+        op9_surrogates,
         op10_latent_leaks,
     )
 }

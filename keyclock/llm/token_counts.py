@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyclock.llm.shared import Memo, byte_letters, slices
+from keyclock.llm.shared import Memo, byte_letters, once, slices
 
 CHUNK = 512
 MOST_STATES = 500_000
@@ -281,7 +281,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     classes = zlib.compress(character_classes(tokenizer_path).tobytes())  # a few kilobytes, whatever the input
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer_path, np.frombuffer(zlib.decompress(classes), np.uint8))
+        count = once(("counter", tokenizer_path), lambda: counter(tokenizer_path, np.frombuffer(zlib.decompress(classes), np.uint8)))
         for batch in batches:
             for rows in slices(batch, 2, 1 << 20):
                 yield pa.record_batch([rows.column(0), rows.column(1), pa.array(count(rows.column(2).to_pylist()), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])

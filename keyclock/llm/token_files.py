@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyclock.llm.shared import Memo, byte_letters, shared_folder, slices
+from keyclock.llm.shared import Memo, byte_letters, once, shared_folder, slices
 
 PART_IDS = 1 << 18
 MEMO = 400_000
@@ -133,7 +133,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
     """Encodes every text and writes the file at ``path``."""
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard = encoder(tokenizer_path), TaskContext.get().partitionId()
+        encode, shard = once(("encoder", tokenizer_path), lambda: encoder(tokenizer_path)), TaskContext.get().partitionId()
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         part, first, docs_, lengths, held, size = 0, 0, [], [], [], 0
 
