@@ -1,7 +1,7 @@
 """Line-first cleaning: rules on every line, then documents that lose too much are rejected. DataFrame expressions only.
 
-A line goes if it breaks one of these rules: it ends in closing punctuation (a last mark of a sentence or quotation), and marks are not
-more than half as many as its words; it is no navigation (three or more of | > » · between its words); it is no boilerplate (notices of
+A line goes if it breaks one of these rules: a sentence ends in it, or it ends in closing punctuation, and marks are not more than half
+as many as its words; it is no navigation (three or more of | > » · between its words); it is no boilerplate (notices of
 rights and licences, cookies, scripts, log-in and share links). A document is kept if its base measures allow it and the lines that go
 hold at most ``most_lost`` of its word characters.
 
@@ -19,8 +19,8 @@ from keyclock.llm.shared import SPACE, let
 
 _WHITE = " \t\n\x0b\f\r"
 _SYMBOLS = "#*$%&|<>"
-#: Marks that may end a line of prose.
-_CLOSING = r"""[.!?…。！？:;,"'”’»)\]]$"""
+#: A sentence ends somewhere in the line, or the line ends in closing punctuation.
+_CLOSING = r"""[.!?…。！？]["'”’»)\]]?(?:\s|$)|[:;,"'”’»)\]]$"""
 #: What marks a line as boilerplate, in any case.
 _BOILERPLATE = "|".join(
     [
