@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyclock.functions.arrow import batch_of, records
 from keyclock.functions.timeunits import floor_div, max_wm
 from keyclock.model import KeyedStream
 from keyclock.operators.scan import Fold, running
@@ -138,7 +139,7 @@ def session_firings(
         ]
     )
     sorted_items = items.repartition(*ks.keys).sortWithinPartitions(*ks.keys, "o1", "o2", "o3")
-    out = sorted_items.mapInPandas(_session_fold(list(ks.keys), gap_ms, lateness_ms, strategy.kind == "none"), schema)
+    out = sorted_items.mapInArrow(_session_fold(list(ks.keys), gap_ms, lateness_ms, strategy.kind == "none", schema), schema)
     if late:
         return out.where(F.col("window_start").isNull()).select(*ks.keys, "tie")
     fired = out.where(F.col("window_start").isNotNull()).drop("tie")
@@ -200,48 +201,39 @@ def session_step(live: list, lo: int, hi: int, n: int, wm: int | None, gap: int,
     return fired, (), [*rest, merged]
 
 
-def _session_fold(keys: list[str], gap: int, lateness: int, no_clock: bool):
+def _session_fold(keys: list[str], gap: int, lateness: int, no_clock: bool, schema: T.StructType):
     """Fold over items of one key after another; the state is the few sessions a clock has not passed yet."""
+    names = schema.fieldNames()
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, live = None, []  # live: [start, end, elements, fired]
-        out = []
+        out: list[dict] = []
 
         def emit(key, s, refired, wm=None):
-            out.append((*key, s[0], s[1], s[2], wm, refired, None))
-
-        for batch in batches:
-            cols = [batch[k].astype(object).where(batch[k].notna(), None) for k in keys]
-            for *key, lo, hi, n, tie, wm in zip(
-                *cols, batch["lo"], batch["hi"], batch["n"], batch["tie"], batch["wm"].astype(object).where(batch["wm"].notna(), None)
-            ):
-                key = tuple(key)
+            out.append(dict(zip(names, (*key, s[0], s[1], s[2], wm, refired, None))))
+
+        for rows in records(batches):
+            for r in rows:
+                key = tuple(r[k] for k in keys)
                 if current is None or key != current:
                     for s in live:
                         if not s[3]:
                             emit(current, s, False)
                     current, live = key, []
-                wm = None if wm is None or no_clock else int(wm)
-                fired, again, live = session_step(live, int(lo), int(hi), int(n), wm, gap, lateness)
+                wm = None if no_clock else r["wm"]
+                fired, again, live = session_step(live, r["lo"], r["hi"], r["n"], wm, gap, lateness)
                 for done in fired:
                     emit(current, done, False)
                 if again is None:
-                    out.append((*current, None, None, None, None, None, tie))
+                    out.append({**dict(zip(keys, current)), "tie": r["tie"]})
                 elif again:
                     emit(current, again, True, wm)
-            yield _frame(out, keys)
+            yield batch_of(out, schema)
             out.clear()
         if current is not None:
             for s in live:
                 if not s[3]:
                     emit(current, s, False)
-        yield _frame(out, keys)
+        yield batch_of(out, schema)
 
     return fold
-
-
-def _frame(rows, keys) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=[*keys, "window_start", "window_end", "elements", "wm", "refired", "tie"])
-    for c in ("window_start", "window_end", "elements", "wm"):
-        frame[c] = frame[c].astype("Int64")
-    return frame

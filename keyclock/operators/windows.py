@@ -6,11 +6,12 @@ import itertools
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyclock.functions.arrow import batch_of, records
 from keyclock.functions.assigners import WindowAssigner
 from keyclock.functions.timeunits import floor_div, max_wm, min_wm
 from keyclock.model import KeyedStream
@@ -347,23 +348,17 @@ def window_process(
     """
     pane = [*ks.keys, "window_start", "window_end"]
     about = [*pane, "elements", "wm", "fired_at"]
-    names = schema.fieldNames()
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
-        for b in batches:
-            columns = [b[c].astype(object).where(b[c].notna(), None) for c in b.columns]
-            for values in zip(*columns):
-                yield dict(zip(b.columns, values))
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
-        for _, rows in itertools.groupby(records(batches), key=lambda r: tuple(r[c] for c in pane)):
-            first = next(rows)
-            out.extend(function({c: first[c] for c in about}, itertools.chain([first], rows)))
+        rows = itertools.chain.from_iterable(records(batches))
+        for _, mine in itertools.groupby(rows, key=lambda r: tuple(r[c] for c in pane)):
+            first = next(mine)
+            out.extend(function({c: first[c] for c in about}, itertools.chain([first], mine)))
             if len(out) >= 10_000:
-                yield pd.DataFrame({n: pd.Series([o.get(n) for o in out], dtype=object) for n in names})
+                yield batch_of(out, schema)
                 out = []
-        yield pd.DataFrame({n: pd.Series([o.get(n) for o in out], dtype=object) for n in names})
+        yield batch_of(out, schema)
 
     rows = pane_rows(ks, strategy, assigner)
-    return rows.repartition(*pane).sortWithinPartitions(*pane, "position").mapInPandas(fold, schema)
+    return rows.repartition(*pane).sortWithinPartitions(*pane, "position").mapInArrow(fold, schema)

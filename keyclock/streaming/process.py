@@ -13,12 +13,13 @@ import copy
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from keyclock.functions.arrow import batch_of, records
 from keyclock.functions.timeunits import MAX_WM, MIN_WM
 from keyclock.model import KeyedStream
 from keyclock.strategy import WatermarkStrategy
@@ -26,7 +27,10 @@ from keyclock.streaming.windows import use_state_store
 
 
 class KeyedProcessFunction:
-    """Override what is needed. ``ctx.state`` is a dict of JSON values that survives between calls of the same key."""
+    """Override what is needed. ``ctx.state`` is a dict of JSON values that survives between calls of the same key.
+
+    Every key works on its own copy of the function as it was handed over; in a stream every micro-batch takes a new one, so only
+    ``ctx.state`` lasts there."""
 
     def process(self, row: dict, ctx: "Context") -> None:
         raise NotImplementedError
@@ -89,16 +93,6 @@ class Context:
             function.on_timer(due, self)
 
 
-def _plain(v):
-    return v.item() if hasattr(v, "item") else None if v is pd.NaT else v
-
-
-def _rows(batch: pd.DataFrame) -> Iterator[dict]:
-    columns = [batch[c].astype(object).where(batch[c].notna(), None) for c in batch.columns]
-    for values in zip(*columns):
-        yield {c: _plain(v) for c, v in zip(batch.columns, values)}
-
-
 def _with_tag(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField("tag", T.StringType()), *schema.fields])
 
@@ -116,13 +110,12 @@ def process_keyed(ks: KeyedStream, strategy: WatermarkStrategy, function: KeyedP
         raise ValueError("a batch replay of a process function runs record by record")
     ks, rows = _prepared(ks, strategy)
     keys, ts, full = list(ks.keys), ks.ts, _with_tag(schema)
-    names = full.fieldNames()
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ctx, mine = None, None
-        for batch in batches:
+        for rows_ in records(batches):
             out: list[dict] = []
-            for row in _rows(batch):
+            for row in rows_:
                 cand = row.pop("__cand")
                 key = tuple(row[k] for k in keys)
                 if ctx is None or key != ctx.key:
@@ -132,18 +125,13 @@ def process_keyed(ks: KeyedStream, strategy: WatermarkStrategy, function: KeyedP
                 ctx.out, ctx.timestamp = out, row[ts]
                 mine.process(row, ctx)
                 ctx._advance(mine, cand)
-            yield _as_frame(out, names)
+            yield batch_of(out, full)
         if ctx is not None:
             ctx.out = []
             ctx._advance(mine, MAX_WM)
-            yield _as_frame(ctx.out, names)
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, ks.arrival, ks.tie).mapInPandas(fold, full)
+            yield batch_of(ctx.out, full)
 
-
-def _as_frame(out: list[dict], names: list[str]) -> pd.DataFrame:
-    # object columns keep whole numbers exact next to missing values
-    return pd.DataFrame({n: pd.Series([o.get(n) for o in out], dtype=object) for n in names})
+    return rows.repartition(*keys).sortWithinPartitions(*keys, ks.arrival, ks.tie).mapInArrow(fold, full)
 
 
 class FunctionProcessor(StatefulProcessor):
@@ -175,24 +163,24 @@ class FunctionProcessor(StatefulProcessor):
             yield Row(**{n: o.get(n) for n in names})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        ctx, ahead = self._load(key, timerValues), None
+        ctx, ahead, mine = self._load(key, timerValues), None, copy.deepcopy(self.function)
         for r in sorted(rows, key=lambda r: (r[self.order[0]], r[self.order[1]])):
             row = r.asDict(recursive=True)
             cand = row.pop("__cand")
             ctx.timestamp = row[self.ts]
-            self.function.process(row, ctx)
+            mine.process(row, ctx)
             if not self.tick:
-                ctx._advance(self.function, cand)
+                ctx._advance(mine, cand)
             elif cand is not None:
                 ahead = cand if ahead is None else max(ahead, cand)
         if self.tick:
-            ctx._advance(self.function, ahead)
+            ctx._advance(mine, ahead)
         yield from self._finish(ctx)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         ctx = self._load(key, timerValues)
         ctx.timestamp = None
-        self.function.on_processing_timer(expiredTimerInfo.getExpiryTimeInMs(), ctx)
+        copy.deepcopy(self.function).on_processing_timer(expiredTimerInfo.getExpiryTimeInMs(), ctx)
         yield from self._finish(ctx)
 
     def close(self) -> None:
@@ -234,12 +222,12 @@ class RollingReduce(KeyedProcessFunction):
 class IdleWatch(KeyedProcessFunction):
     """``idle`` / ``active`` rows of a live stream: a key silent for ``timeout_ms`` of processing time is idle."""
 
-    def __init__(self, timeout_ms: int, key: str):
-        self.timeout_ms, self.key = timeout_ms, key
+    def __init__(self, timeout_ms: int, *keys: str):
+        self.timeout_ms, self.keys = timeout_ms, keys
 
     def process(self, row, ctx):
         if ctx.state.get("idle"):
-            ctx.output(**{self.key: ctx.key[0], "at": ctx.processing_time, "status": "active"})
+            ctx.output(**dict(zip(self.keys, ctx.key)), at=ctx.processing_time, status="active")
         for t in ctx.processing_timers():
             ctx.delete_processing_timer(t)
         ctx.state["idle"] = False
@@ -247,7 +235,7 @@ class IdleWatch(KeyedProcessFunction):
 
     def on_processing_timer(self, timestamp, ctx):
         ctx.state["idle"] = True
-        ctx.output(**{self.key: ctx.key[0], "at": timestamp, "status": "idle"})
+        ctx.output(**dict(zip(self.keys, ctx.key)), at=timestamp, status="idle")
 
 
 class IntervalJoinStream(KeyedProcessFunction):
@@ -301,18 +289,19 @@ def clock_by_class(ks: KeyedStream, strategy: WatermarkStrategy) -> DataFrame:
         def emit(self, wm):
             self.wm = wm if self.wm is None else max(self.wm, wm)
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, gen, out = None, None, Out()
         for batch in batches:
             before, after = [], []
-            for row in _rows(batch):
+            for row in batch.to_pylist():
                 key = tuple(row[k] for k in keys)
-                if key != current:
+                if gen is None or key != current:
                     current, gen, out = key, make(), Out()
                 before.append(out.wm)
                 gen.on_event(row, key[0] if len(key) == 1 else key, row[ts], out)
                 gen.on_periodic_emit(out)
                 after.append(out.wm)
-            yield batch.assign(__cand=pd.Series(after, dtype="Int64", index=batch.index), __wm=pd.Series(before, dtype="Int64", index=batch.index))
+            columns = [*batch.columns, pa.array(after, pa.int64()), pa.array(before, pa.int64())]
+            yield pa.record_batch(columns, [*batch.schema.names, "__cand", "__wm"])
 
-    return ks.df.repartition(*keys).sortWithinPartitions(*keys, ks.arrival, ks.tie).mapInPandas(fold, schema)
+    return ks.df.repartition(*keys).sortWithinPartitions(*keys, ks.arrival, ks.tie).mapInArrow(fold, schema)

@@ -75,9 +75,7 @@ def rolling_stream(ks: KeyedStream, *aggs: Column) -> DataFrame:
 
 
 def idle_stream(ks: KeyedStream, timeout_ms: int) -> DataFrame:
-    """``idle`` / ``active`` rows by processing time: (key, ``at``, ``status``). Stop the query by hand."""
-    if len(ks.keys) != 1:
-        raise ValueError("idle_stream takes a single key column")
-    key = ks.df.schema[ks.keys[0]]
-    shape = T.StructType([key, T.StructField("at", T.LongType()), T.StructField("status", T.StringType())])
-    return process_stream(ks, WatermarkStrategy.none(), IdleWatch(timeout_ms, key.name), shape, processing_timers=True).drop("tag")
+    """``idle`` / ``active`` rows by processing time: (keys, ``at``, ``status``). Stop the query by hand."""
+    keys = [ks.df.schema[k] for k in ks.keys]
+    shape = T.StructType([*keys, T.StructField("at", T.LongType()), T.StructField("status", T.StringType())])
+    return process_stream(ks, WatermarkStrategy.none(), IdleWatch(timeout_ms, *ks.keys), shape, processing_timers=True).drop("tag")

@@ -49,6 +49,9 @@ class Trigger:
     def on_event_time(self, timestamp: int, ctx: WindowContext) -> str:
         return CONTINUE
 
+    def clear(self, ctx: WindowContext) -> None:
+        """The window is dropped: the last chance to clean up what the trigger keeps beyond it."""
+
 
 class EventTimeTrigger(Trigger):
     """Fire when the clock reaches the window's last instant, and again for every accepted row after that."""
@@ -83,10 +86,17 @@ class PurgingTrigger(Trigger):
         self.inner = inner
 
     def on_element(self, row, ctx):
-        return FIRE_AND_PURGE if self.inner.on_element(row, ctx) == FIRE else CONTINUE
+        return _purging(self.inner.on_element(row, ctx))
 
     def on_event_time(self, timestamp, ctx):
-        return FIRE_AND_PURGE if self.inner.on_event_time(timestamp, ctx) == FIRE else CONTINUE
+        return _purging(self.inner.on_event_time(timestamp, ctx))
+
+    def clear(self, ctx):
+        self.inner.clear(ctx)
+
+
+def _purging(decision: str) -> str:
+    return FIRE_AND_PURGE if decision == FIRE else decision
 
 
 def _name(window: tuple[int, int]) -> str:
@@ -128,6 +138,7 @@ class TriggeredWindows(KeyedProcessFunction):
             about = WindowContext(ctx, (start, end), pane)
             self._act(self.trigger.on_event_time(timestamp, about), pane, about, ctx)
             if timestamp == end - 1 + self.lateness_ms:
+                self.trigger.clear(about)
                 del ctx.state["panes"][name]
 
     def _act(self, decision, pane, about, ctx):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,6 +43,7 @@ class WindowSpec:
 
     keys: tuple[str, ...]
     kinds: tuple[str, ...]
+    types: tuple[T.DataType, ...]
     lateness_ms: int
     tick: bool
     state_ttl_ms: int | None = None
@@ -59,7 +60,7 @@ class KeyClockProcessor(StatefulProcessor):
         self._clock = handle.getValueState("clock", T.StructType([T.StructField("wm", _LONG)]), ttl)
         window = T.StructType([T.StructField("window_start", _LONG), T.StructField("window_end", _LONG)])
         pane = [T.StructField("firing_no", _LONG), T.StructField("elements", _LONG)]
-        pane += [T.StructField(f"m{i}", _LONG) for i in range(len(self.spec.kinds))]
+        pane += [T.StructField(f"m{i}", t) for i, t in enumerate(self.spec.types)]
         self._panes = handle.getMapState("panes", window, T.StructType(pane), ttl)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
@@ -127,12 +128,18 @@ class KeyClockProcessor(StatefulProcessor):
         pass
 
 
-def _output_type(ks: KeyedStream, measures: list[Measure]) -> T.StructType:
+def _output_type(ks: KeyedStream, measures: list[Measure], types) -> T.StructType:
     fields = [T.StructField(k, ks.df.schema[k].dataType) for k in ks.keys]
     fields += [T.StructField("tag", T.StringType())]
     fields += [T.StructField(n, _LONG) for n in ("window_start", "window_end", "firing_no", "elements", "wm", "fired_at")]
     fields += [T.StructField("tie", ks.df.schema[ks.tie].dataType), T.StructField("ts", _LONG)]
-    return T.StructType(fields + [T.StructField(m.name, _LONG) for m in measures])
+    return T.StructType(fields + [T.StructField(m.name, t) for m, t in zip(measures, types)])
+
+
+def measure_type(df: DataFrame, m: Measure) -> T.DataType:
+    """The measure's own type; sums take the type that Spark's sum gives."""
+    value = df.select((F.sum(m.value) if m.kind == "sum" else m.value).alias("v"))
+    return value.schema["v"].dataType
 
 
 def stream_windows(
@@ -144,12 +151,14 @@ def stream_windows(
     combine: bool = False,
     state_ttl_ms: int | None = None,
 ) -> DataFrame:
-    """Firings and late rows of a keyed stream: ``tag`` is ``firing`` or ``late``; works on batch DataFrames too.
+    """Firings and late rows of a keyed stream: ``tag`` is ``firing`` or ``late``. For batches there is ``window_firings``.
 
     ``combine`` (tick mode, no lateness) adds up the rows of a window inside every input partition before the shuffle, so
-    a busy key sends a few partial rows instead of all its events; refused rows are then counted, not listed. Measures are
-    whole numbers. ``state_ttl_ms`` lets the state of long silent keys expire; such a key starts with no clock again.
+    a busy key sends a few partial rows instead of all its events; refused rows are then counted, not listed. Measures keep
+    their type. ``state_ttl_ms`` lets the state of long silent keys expire; such a key starts with no clock again.
     """
+    if not ks.df.isStreaming:
+        raise ValueError("these are windows of a stream; a batch goes to window_firings")
     if strategy.scope != "key":
         raise ValueError("for one clock over the whole stream use withWatermark and Spark's own windows")
     if combine and (strategy.emit != "tick" or lateness_ms):
@@ -157,7 +166,8 @@ def stream_windows(
     measures = [m for m in (measures or []) if m.kind != "count"]
     use_state_store(ks.df.sparkSession)
     ks = ks.timed(strategy).valid()
-    spec = WindowSpec(ks.keys, tuple(m.kind for m in measures), lateness_ms, strategy.emit == "tick", state_ttl_ms)
+    types = tuple(measure_type(ks.df, m) for m in measures)
+    spec = WindowSpec(ks.keys, tuple(m.kind for m in measures), types, lateness_ms, strategy.emit == "tick", state_ttl_ms)
     ts = F.col(ks.ts)
     rows = ks.df.select(
         *ks.keys,
@@ -167,37 +177,37 @@ def stream_windows(
         F.col(ks.tie).alias("tie"),
         F.lit(1).cast("bigint").alias("n"),
         assigner.windows(ts).alias("wins"),
-        *[m.value.cast("bigint").alias(f"m{i}") for i, m in enumerate(measures)],
+        *[m.value.cast(t).alias(f"m{i}") for i, (m, t) in enumerate(zip(measures, types))],
     )
     if combine:
         rows = _combined(rows, ks.keys, spec.kinds)
-    out = _output_type(ks, measures)
+    out = _output_type(ks, measures, types)
     return rows.groupBy(*ks.keys).transformWithState(KeyClockProcessor(spec, out), out, "Append", "None")
 
 
 def _combined(rows: DataFrame, keys, kinds) -> DataFrame:
-    """Partial sums per (key, window) of an input partition; one row per partition, key and window goes on."""
-    shape = rows.schema
-    flat = rows.withColumn("w", F.explode("wins")).select(
-        *keys, "w.window_start", "w.window_end", "cand", "ts", "n", *[f"m{i}" for i in range(len(kinds))]
-    )
-    how = {"cand": "max", "ts": "min", "n": "sum", **{f"m{i}": k for i, k in enumerate(kinds)}}
-    by = [*keys, "window_start", "window_end"]
+    """Partial sums of an input partition: one row per key and list of windows goes on.
+
+    Rows with the same list share acceptance, lateness and clock step. Rows without a window keep theirs, per time of the row."""
+    how = {"cand": "max", "ts": "min", "n": "sum", **{f"m{i}": "sum" if k == "count" else k for i, k in enumerate(kinds)}}
+    flat = rows.select(*keys, F.to_json("wins").alias("__wins"), F.when(F.size("wins") == 0, F.col("ts")).alias("__lone"), *how)
+    by, names = [*keys, "__wins", "__lone"], flat.columns
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.groupby(by, dropna=False, sort=False).agg(how).reset_index()
+            found = pa.Table.from_batches([b]).group_by(by).aggregate(list(how.items()))
+            found = found.rename_columns([c.removesuffix(f"_{how[c.rsplit('_', 1)[0]]}") if c not in by else c for c in found.column_names])
+            yield from found.select(names).combine_chunks().to_batches()
 
-    small = flat.mapInPandas(partial, flat.select(*by, *how).schema)
-    window = F.struct("window_start", "window_end")
+    small = flat.mapInArrow(partial, flat.schema)
     return small.select(
         *keys,
         "cand",
         "ts",
         F.lit(None).cast("bigint").alias("at"),
-        F.lit(None).cast(shape["tie"].dataType).alias("tie"),
+        F.lit(None).cast(rows.schema["tie"].dataType).alias("tie"),
         "n",
-        F.array(window).alias("wins"),
+        F.from_json("__wins", rows.schema["wins"].dataType).alias("wins"),
         *[f"m{i}" for i in range(len(kinds))],
     )
 
