@@ -543,12 +543,43 @@ def session_batch(spark, sf_dir):
     return sessions.sessions(replay(spark, sf_dir), _GAP, [W.count(), W.total("cents", cents())])
 
 
-@query("session_keyed")
+def _sql_sessions(late: int, bound: int = 1000) -> str:
+    """CTE ``s``: a row per step of every key, with the live sessions after it (``live``: from, to, n, fired) and what the step let out
+    (``fired``: sessions the clock passed, ``again``: a session fired once more, ``refused``). A last step without a row ends each key."""
+    touching = "[x for x in lv if x.a <= t + {g} AND x.z >= t]".format(g=_GAP)
+    return f"""{sql_rows("global50")},
+q AS (SELECT k, t_ms AS t, event_id AS id, row_number() OVER o AS n, max(t_ms - {bound + 1}) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm
+FROM r WINDOW o AS (PARTITION BY k ORDER BY arrival, event_id)
+UNION ALL SELECT k, NULL, NULL, count(*) + 1, max(t_ms) - {bound + 1} FROM r GROUP BY k),
+s(k, n, id, wm, live, fired, again, refused) AS (
+SELECT DISTINCT k, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS STRUCT(a BIGINT, z BIGINT, n BIGINT, f BOOLEAN)[]),
+CAST([] AS STRUCT(a BIGINT, z BIGINT, n BIGINT, f BOOLEAN)[]), CAST(NULL AS STRUCT(a BIGINT, z BIGINT, n BIGINT, f BOOLEAN)), false FROM r
+UNION ALL
+SELECT k, n, id, wm, CASE WHEN t IS NULL OR refused THEN lv ELSE list_append([x for x in lv if NOT (x.a <= t + {_GAP} AND x.z >= t)], m) END,
+fired, CASE WHEN t IS NOT NULL AND NOT refused AND m.f AND wm >= m.z - 1 THEN m END, t IS NOT NULL AND refused
+FROM (SELECT *, coalesce(wm >= m0.z - 1 + {late}, false) AS refused,
+{{'a': m0.a, 'z': m0.z, 'n': m0.n, 'f': coalesce(wm >= m0.z - 1, false) OR m0.f}} AS m
+FROM (SELECT *, {{'a': least(t, list_min([x.a for x in tc])), 'z': greatest(t + {_GAP}, list_max([x.z for x in tc])), 'n': 1 + CAST(coalesce(list_sum([x.n for x in tc]), 0) AS BIGINT),
+'f': len(tc) = 1 AND coalesce(tc[1].f AND tc[1].a <= t AND tc[1].z >= t + {_GAP}, false)}} AS m0
+FROM (SELECT *, {touching} AS tc
+FROM (SELECT q.k, q.n, q.t, q.id, q.wm, [x for x in s.live if NOT x.f AND coalesce(q.wm >= x.z - 1, false)] AS fired,
+[{{'a': x.a, 'z': x.z, 'n': x.n, 'f': x.f OR coalesce(q.wm >= x.z - 1, false)}} for x in s.live if NOT coalesce(q.wm >= x.z - 1 + {late}, false)] AS lv
+FROM s JOIN q ON q.k = s.k AND q.n = s.n + 1)))))"""
+
+
+@query(
+    "session_keyed",
+    f"""WITH RECURSIVE {_sql_sessions(HOUR)},
+o AS (SELECT k, wm, false AS refired, unnest(fired) AS x FROM s
+UNION ALL SELECT k, wm, true, again FROM s WHERE again IS NOT NULL
+UNION ALL SELECT k, {MAX_WM}, false, unnest([x for x in live if NOT x.f]) FROM (SELECT *, max(n) OVER (PARTITION BY k) AS last FROM s) WHERE n = last)
+SELECT k, x.a AS window_start, x.z AS window_end, x.n AS elements, CAST(wm AS BIGINT) AS wm, refired FROM o""",
+)
 def session_keyed(spark, sf_dir):
     return sessions.session_firings(replay(spark, sf_dir, "global50"), CLOCK, _GAP, lateness_ms=HOUR)
 
 
-@query("session_keyed_late")
+@query("session_keyed_late", f"WITH RECURSIVE {_sql_sessions(HOUR)} SELECT k, id AS tie FROM s WHERE refused")
 def session_keyed_late(spark, sf_dir):
     return sessions.session_firings(replay(spark, sf_dir, "global50"), CLOCK, _GAP, lateness_ms=HOUR, late=True)
 
@@ -947,8 +978,10 @@ _NS = 1_000_000
 
 
 def _end_log(spark, sf_dir, strategy=CLOCK):
-    """Firings as END records; the wall clock is the arrival that moved the watermark plus a fixed skew per key and hour."""
-    fired = W.window_firings(replay(spark, sf_dir), strategy, A.tumbling(HOUR)).where("fired_at is not null")
+    """Firings as END records; the wall clock is the arrival that moved the watermark plus a fixed skew per key and hour.
+
+    Firings at the end of input have the last watermark there is and no wall clock."""
+    fired = W.window_firings(replay(spark, sf_dir), strategy, A.tumbling(HOUR))
     hour = floor_div("window_start", HOUR)
     slow = F.when(hour % 97 == 0, 60_000).otherwise(0)
     clock = (F.col("fired_at") + (F.col("k") % 7) * (hour % 1000 + 1) + slow) * _NS
@@ -971,7 +1004,7 @@ def _stream_logs(spark, sf_dir):
 
 
 _SKEW = f"(k % 7) * (window_start // {HOUR} % 1000 + 1) + CASE WHEN window_start // {HOUR} % 97 = 0 THEN 60000 ELSE 0 END"
-_END = f"e AS (SELECT wm AS watermark, k AS key, (fired_at + {_SKEW}) * {_NS} AS system_time FROM f WHERE fired_at IS NOT NULL)"
+_END = f"e AS (SELECT wm AS watermark, k AS key, (fired_at + {_SKEW}) * {_NS} AS system_time FROM f)"
 _KEYED_LATENCY = (
     sql_firings(",\n".join([sql_clock(), sql_steps(), sql_windows(HOUR)]))
     + f""", {_END},
@@ -996,7 +1029,7 @@ def window_end_log(spark, sf_dir):
 
 
 def _latency_keyed(spark, sf_dir):
-    return reports.latency_keyed(_start_log(spark, sf_dir), _end_log(spark, sf_dir))
+    return reports.latency_keyed(_start_log(spark, sf_dir), _end_log(spark, sf_dir).where("system_time is not null"))
 
 
 @query("latency_keyed", _KEYED_LATENCY + " SELECT watermark, key, round(latency, 6) AS latency FROM lk")
