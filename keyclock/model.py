@@ -12,7 +12,6 @@ from keyclock.functions.timeunits import epoch_ms, floor_div
 from keyclock.strategy import WatermarkStrategy
 
 DEFAULT_BUCKET_MS = 3_600_000
-HOT_KEY_LIMIT = 2_000
 #: rows one arrival slice should hold at most, whatever the keys, and how many slices to have at least
 SLICE_ROWS = 2_000_000
 MIN_SLICES = 64
@@ -33,26 +32,6 @@ def validate_key_types(df: DataFrame, keys) -> None:
         raise ValueError("these types cannot be used as keys: " + ", ".join(bad))
 
 
-@dataclass(frozen=True)
-class HotKeys:
-    """Keys whose rows are cut into arrival buckets; every other key stays in one piece."""
-
-    values: tuple
-
-    def __contains__(self, key) -> bool:
-        return key in self.values
-
-    def is_hot(self, keys) -> Column:
-        if not self.values:
-            return F.lit(False)
-        key = F.col(keys[0]) if len(keys) == 1 else F.struct(*[F.col(k) for k in keys])
-        wanted = [F.lit(v[0]) if len(keys) == 1 else F.struct(*[F.lit(x).alias(k) for k, x in zip(keys, v)]) for v in self.values]
-        hit = F.coalesce(key.isin(*wanted), F.lit(False))
-        if len(keys) == 1 and (None,) in self.values:
-            hit = hit | key.isNull()
-        return hit
-
-
 def fit_bucket_ms(df: DataFrame, arrival: str, slice_rows: int = SLICE_ROWS) -> int:
     """Slice width for this data: about ``slice_rows`` rows in the densest stretch of arrivals, all keys together.
 
@@ -77,7 +56,6 @@ class KeyedStream:
     arrival: str
     tie: str
     bucket_ms: int = DEFAULT_BUCKET_MS
-    hot: HotKeys | None = None
 
     def with_df(self, df: DataFrame) -> "KeyedStream":
         return replace(self, df=df)
@@ -104,12 +82,9 @@ class KeyedStream:
     def invalid(self) -> DataFrame:
         return self.df.where(F.col(self.ts).isNull())
 
-    def bucket(self, keys) -> Column:
+    def bucket(self) -> Column:
         """Arrival slice that bounds what one task sorts, whatever the key distribution."""
-        cut = floor_div(self.arrival, self.bucket_ms)
-        if self.hot is None or not keys:
-            return cut
-        return F.when(self.hot.is_hot(keys), cut).otherwise(F.lit(0).cast("bigint"))
+        return floor_div(self.arrival, self.bucket_ms)
 
 
 def key_by(
@@ -119,7 +94,6 @@ def key_by(
     arrival: str | None = None,
     tie: str,
     bucket_ms: int = DEFAULT_BUCKET_MS,
-    hot: HotKeys | None = None,
 ) -> KeyedStream:
     """Key a DataFrame. ``ts``/``arrival`` may be bigint milliseconds, timestamps or dates.
 
@@ -142,16 +116,4 @@ def key_by(
         dtype = df.schema[name].dataType
         if not isinstance(dtype, T.LongType):
             df = df.withColumn(name, epoch_ms(F.col(name), dtype))
-    return KeyedStream(df, tuple(flat), ts, arrival, tie, bucket_ms, hot)
-
-
-def detect_hot_keys(ks: KeyedStream, min_rows: int) -> HotKeys:
-    """Keys with at least ``min_rows`` rows: one narrow aggregation, at most rows / min_rows keys come back.
-
-    The result replaces "cut every key" by "cut only these", which leaves cold keys without any carry rows.
-    """
-    counts = ks.df.groupBy(*ks.keys).count().where(F.col("count") >= min_rows).select(*ks.keys)
-    found = counts.take(HOT_KEY_LIMIT + 1)
-    if len(found) > HOT_KEY_LIMIT:
-        raise ValueError(f"more than {HOT_KEY_LIMIT} keys have {min_rows} rows; raise min_rows")
-    return HotKeys(tuple(tuple(r) for r in found))
+    return KeyedStream(df, tuple(flat), ts, arrival, tie, bucket_ms)

@@ -20,7 +20,7 @@ def _one() -> Column:
 def numbered(ks: KeyedStream) -> DataFrame:
     """Rows with ``__n``, their position in the key's arrival order, from 1."""
     order = [F.col(ks.arrival), F.col(ks.tie)]
-    return running(ks.df, ks.keys, order, ks.bucket(ks.keys), [Fold("__n", "sum", _one())])
+    return running(ks.df, ks.keys, order, ks.bucket(), [Fold("__n", "sum", _one())])
 
 
 def count_windows(ks: KeyedStream, size: int, *aggs: Column) -> DataFrame:

@@ -13,7 +13,6 @@ from keyclock.operators.scan import Fold, running
 from keyclock.operators.watermark import clock_keys
 from keyclock.strategy import WatermarkStrategy
 
-BROADCAST_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -124,7 +123,6 @@ def union(first: KeyedStream, *others: KeyedStream) -> KeyedStream:
 
 
 
-def join_rules(df: DataFrame, rules: DataFrame, on: list[str] | Column, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with a small stream that all keys know. It is broadcast only after its size was checked."""
-    small = rules.limit(max_rows + 1).count() <= max_rows
-    return df.join(F.broadcast(rules) if small else rules, on, how)
+def join_rules(df: DataFrame, rules: DataFrame, on: list[str] | Column, how: str = "inner") -> DataFrame:
+    """Join with a small stream that all keys know. Whether it is small enough to be broadcast is left to what Spark measures."""
+    return df.join(rules, on, how)

@@ -15,7 +15,7 @@ def _order(ks: KeyedStream) -> list[Column]:
 
 def rolling_reduce(ks: KeyedStream, *folds: Fold) -> DataFrame:
     """Running folds side by side: a reduce whose pieces are sums, minima and maxima of expressions."""
-    return running(ks.df, ks.keys, _order(ks), ks.bucket(ks.keys), list(folds))
+    return running(ks.df, ks.keys, _order(ks), ks.bucket(), list(folds))
 
 
 def rolling(ks: KeyedStream, kind: str, column: str, out: str = "running") -> DataFrame:

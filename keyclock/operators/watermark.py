@@ -33,7 +33,7 @@ def clocked_rows(ks: KeyedStream, strategy: WatermarkStrategy) -> DataFrame:
     fold = Fold("__wm", "max", F.col("__cand"))
     order = [F.col(ks.arrival), F.col(ks.tie)]
     if strategy.emit == "record":
-        return running(rows, keys, order, ks.bucket(keys), [fold], inclusive=False)
+        return running(rows, keys, order, ks.bucket(), [fold], inclusive=False)
     return running(rows, keys, order, floor_div(ks.arrival, ks.bucket_ms), [fold], unit=tick_of(ks, strategy))
 
 
@@ -105,7 +105,7 @@ def idleness_events(ks: KeyedStream, timeout_ms: int) -> DataFrame:
     arrival = F.col(ks.arrival)
     wait = F.lit(timeout_ms).cast("bigint")
     slim = ks.df.select(*ks.keys, ks.arrival, ks.tie)
-    seen = running(slim, ks.keys, [arrival, F.col(ks.tie)], ks.bucket(ks.keys), [Fold("__prev", "max", arrival)], inclusive=False)
+    seen = running(slim, ks.keys, [arrival, F.col(ks.tie)], ks.bucket(), [Fold("__prev", "max", arrival)], inclusive=False)
     toggles = seen.where(arrival - F.col("__prev") > wait).select(
         *ks.keys,
         F.inline(

@@ -24,11 +24,13 @@ _MERGE = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
 
 @dataclass(frozen=True)
 class Measure:
-    """A window aggregate that can be continued by late rows: ``count``, ``sum``, ``min`` or ``max``."""
+    """A window aggregate that can be continued by late rows: ``count``, ``sum``, ``min`` or ``max``; also ``avg``, ``min_by`` and
+    ``max_by``, which are carried as some of these (see :func:`expanded`)."""
 
     name: str
     kind: str
     value: Column | None = None
+    by: Column | None = None
 
     def item(self) -> Column:
         return F.lit(1).cast("bigint") if self.kind == "count" else self.value
@@ -53,6 +55,38 @@ def largest(name: str, value: Column) -> Measure:
     return Measure(name, "max", value)
 
 
+def average(name: str, value: Column) -> Measure:
+    return Measure(name, "avg", value)
+
+
+def value_of_smallest(name: str, value: Column, by: Column) -> Measure:
+    """The value next to the smallest ``by``; of equals the smallest value. Rows without ``by`` do not count."""
+    return Measure(name, "min_by", value, by)
+
+
+def value_of_largest(name: str, value: Column, by: Column) -> Measure:
+    """The value next to the largest ``by``; of equals the largest value. Rows without ``by`` do not count."""
+    return Measure(name, "max_by", value, by)
+
+
+def expanded(measures: list[Measure]) -> tuple[list[Measure], dict[str, Column]]:
+    """Measures that merge on their own, and what each named result is made of."""
+    plain, results = [], {}
+    for m in measures:
+        a, b = f"__{m.name}_a", f"__{m.name}_b"
+        if m.kind == "avg":
+            plain += [total(a, m.value), total(b, m.value.isNotNull().cast("bigint"))]
+            results[m.name] = F.when(F.col(b) > 0, F.col(a).cast("double") / F.col(b))
+        elif m.kind in ("min_by", "max_by"):
+            pair = F.when(m.by.isNotNull(), F.struct(m.by.alias("by"), m.value.alias("value")))
+            plain.append(Measure(a, m.kind[:3], pair))
+            results[m.name] = F.col(f"{a}.value")
+        else:
+            plain.append(m)
+            results[m.name] = F.col(m.name)
+    return plain, results
+
+
 def _check_lateness(lateness_ms: int) -> None:
     if lateness_ms < 0:
         raise ValueError("the allowed lateness must not be negative")
@@ -271,11 +305,11 @@ def window_firings(
     it fires, so a refiring carries only its own row.
     """
     _check_lateness(lateness_ms)
-    measures = measures or [count()]
+    measures, results = expanded(measures or [count()])
     aggs = [_MERGE[m.kind](m.item()).alias(m.name) for m in measures]
     first = panes(ks, strategy, assigner, aggs)
-    names = [m.name for m in measures]
-    out = [*ks.keys, "window_start", "window_end", "firing_no", *names, "wm", "fired_at", "result_ts"]
+    named = [c.alias(n) for n, c in results.items()]
+    out = [*ks.keys, "window_start", "window_end", "firing_no", *named, "wm", "fired_at", "result_ts"]
     result_ts = F.col("window_end") - 1
     if lateness_ms == 0 or strategy.kind == "none":
         return first.withColumns({"firing_no": F.lit(1).cast("bigint"), "result_ts": result_ts}).select(*out)

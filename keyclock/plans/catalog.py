@@ -13,9 +13,10 @@ from keyclock.functions.timeunits import MAX_WM, MIN_WM, floor_div
 from keyclock.model import key_by
 from keyclock.operators import counts, joins, multisource, rolling, sessions, watermark
 from keyclock.operators import windows as W
-from keyclock.operators.scan import Fold
+from keyclock.operators.scan import Fold, running
 from keyclock.plans import reports
 from keyclock.plans.scenarios import HOUR, SCENARIOS, all_scenarios, arriving_events, replay
+from keyclock.sources import logs
 from keyclock.sources.replay import SideOutputs, declare, transform
 from keyclock.strategy import WatermarkStrategy
 from keyclock.streaming.process import IntervalJoinStream, KeyedProcessFunction, process_keyed
@@ -285,6 +286,18 @@ def assigned_watermarks(spark, sf_dir):
     return watermark.assign_watermarks(replay(spark, sf_dir), CLOCK).select("event_id", "k", "wm_before", "wm_after")
 
 
+@query(
+    "watermarks_assigned_again",
+    f"""WITH {sql_clock("t_ms - 60001")}
+SELECT event_id, k, coalesce(wm, {MIN_SQL}) AS wm_before, greatest(coalesce(wm, {MIN_SQL}), cand) AS wm_after FROM c""",
+)
+def watermarks_assigned_again(spark, sf_dir):
+    """A second assignment starts anew: nothing of the first clock, which was ahead of it, is inherited."""
+    ks = replay(spark, sf_dir)
+    first = ks.with_df(watermark.assign_watermarks(ks, S.monotonous()))
+    return watermark.assign_watermarks(first, S.bounded(60_000)).select("event_id", "k", "wm_before", "wm_after")
+
+
 @query(
     "assigned_watermarks_stream",
     f"""WITH {sql_clock(part="")}
@@ -453,6 +466,31 @@ def purging_refirings(spark, sf_dir):
     return W.window_firings(*_late_case(spark, sf_dir), measures, lateness_ms=_LATE, purging=True)
 
 
+_AVERAGED = f"""WITH {_CLASSIFIED},
+z AS (SELECT *, row_number() OVER (PARTITION BY k, window_start, window_end, window_status ORDER BY arrival, event_id) AS rn FROM x WHERE window_status <> 'late'),
+y AS (SELECT *, CASE WHEN window_status = 'allowed' THEN rn ELSE 0 END AS step FROM z),
+v AS (SELECT DISTINCT k, window_start, window_end, step, CASE WHEN step > 0 THEN wm END AS wm, CASE WHEN step > 0 THEN arrival END AS at FROM y),
+o AS (SELECT v.k, v.window_start, v.window_end, v.step, any_value(v.wm) AS own_wm, any_value(v.at) AS own_at, count(*) AS elements, avg(y.value) AS mean,
+arg_min(y.event_id, (y.cents, y.event_id)) AS cheapest, arg_max(y.event_id, (y.cents, y.event_id)) AS dearest
+FROM v JOIN y ON v.k = y.k AND v.window_start = y.window_start AND v.window_end = y.window_end AND y.step <= v.step GROUP BY 1, 2, 3, 4)
+SELECT o.k, o.window_start, o.window_end, row_number() OVER (PARTITION BY o.k, o.window_start, o.window_end ORDER BY o.step) AS firing_no, elements,
+round(mean, 6) AS mean, cheapest, dearest, CASE WHEN step > 0 THEN own_wm ELSE coalesce(p.pwm, {MAX_WM}) END AS wm, CASE WHEN step > 0 THEN own_at ELSE p.at END AS fired_at
+FROM o ASOF LEFT JOIN p ON o.k = p.k AND o.window_end - 1 <= p.pwm"""
+
+
+@query("averages_in_refirings", _AVERAGED)
+def averages_in_refirings(spark, sf_dir):
+    """Averages, and the rows of least and most money, continued by late rows."""
+    measures = [
+        W.count(),
+        W.average("mean", F.col("value")),
+        W.value_of_smallest("cheapest", F.col("event_id"), cents()),
+        W.value_of_largest("dearest", F.col("event_id"), cents()),
+    ]
+    fired = W.window_firings(*_late_case(spark, sf_dir), measures, lateness_ms=_LATE)
+    return fired.withColumn("mean", F.round("mean", 6)).drop("result_ts")
+
+
 _ELEMENT_LATE = f"t_ms - t_ms % {HOUR} + {HOUR} - 1 + {_LATE} <= wm"
 
 
@@ -1136,3 +1174,107 @@ FROM a FULL JOIN b USING (ts) WHERE ts <= {_LIMIT}""",
 def state_diff(spark, sf_dir):
     keyed, stream = reports.state_size(_timeline(spark, sf_dir)), reports.state_size(_timeline(spark, sf_dir, "stream"))
     return reports.state_diff(keyed, stream, limit=_LIMIT)
+
+
+# --- log columns ------------------------------------------------------------------------------------------------------
+
+_LOG_NAME = "CASE WHEN event_id % 2 = 0 THEN 'keyed' ELSE 'base' END"
+_LOG_ROLE = "CASE WHEN event_id % 3 = 0 THEN 'start' ELSE 'end' END"
+
+
+@query(
+    "experiment_labels",
+    f"""WITH l AS (SELECT event_id, {_LOG_NAME} AS clock, {_LOG_ROLE} AS role, (user_id % 20) || 'median' AS scenario, CAST(1 << (event_id % 4 + 1) AS INTEGER) AS cores FROM events)
+SELECT event_id, role, clock || '_' || scenario || '_' || cores || 'c' AS experiment, clock, scenario, cores FROM l""",
+)
+def experiment_labels(spark, sf_dir):
+    """Experiment, role, clock, scenario and cores from file names of both habits."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    clock, role = F.expr(_LOG_NAME), F.expr(_LOG_ROLE)
+    scenario = F.concat((F.col("user_id") % 20).cast("string"), F.lit("median"))
+    cores = F.concat(F.expr("shiftleft(1, cast(event_id % 4 + 1 as int))").cast("string"), F.lit("c"))
+    name = F.when(F.col("event_id") % 2 == 0, F.concat_ws("_", clock, scenario, role, cores)).otherwise(
+        F.concat_ws("_", clock, scenario, cores, role, F.lit("latency"))
+    )
+    return logs.label_experiments(events.select("event_id", name.alias("name"))).drop("name")
+
+
+@query(
+    "system_times",
+    f"""WITH {sql_rows()}, l AS (SELECT event_id, arrival * {_NS} + event_id % 1000 AS system_time FROM r)
+SELECT event_id, system_time, system_time // 1000 AS micros, row_number() OVER (ORDER BY system_time, event_id) AS place FROM l""",
+)
+def system_times(spark, sf_dir):
+    """Wall-clock nanoseconds as timestamps, and every record's place in their order."""
+    ks = replay(spark, sf_dir)
+    log = ks.df.select("event_id", (F.col("arrival") * _NS + F.col("event_id") % 1000).alias("system_time"))
+    times = logs.with_system_timestamp(log).withColumn("micros", F.unix_micros("system_timestamp")).drop("system_timestamp")
+    order = [F.col("system_time"), F.col("event_id")]
+    cut = floor_div("system_time", ks.bucket_ms * _NS)
+    return running(times.withColumn("log", F.lit(0)), ["log"], order, cut, [Fold("place", "sum", F.lit(1).cast("bigint"))]).drop("log")
+
+
+_SIZES = f"""SELECT k, t_ms // {HOUR} AS ts, count(*) AS size_keyed, count(*) FILTER (cents % 2 = 0) AS size_stream FROM r GROUP BY 1, 2"""
+
+
+@query(
+    "state_diff_exempt",
+    f"""WITH {sql_rows()}, s AS ({_SIZES})
+SELECT k, ts, size_keyed, size_stream, size_keyed - size_stream AS difference FROM s WHERE ts <= 473592 OR k = 3""",
+)
+def state_diff_exempt(spark, sf_dir):
+    """The time limit of the state comparison, with one key that is exempt from it."""
+    rows = replay(spark, sf_dir).df.groupBy("k", floor_div("t_ms", HOUR).alias("ts"))
+    pairs = rows.agg(F.count("*").alias("size_keyed"), F.count(F.when(cents() % 2 == 0, 1)).alias("size_stream"))
+    return reports.state_pair_diff(pairs, "k", limit=473_592, exempt=("k", 3))
+
+
+_BIG = 1 << 53
+
+
+class LatestPayload(KeyedProcessFunction):
+    """Every row's place in its key and the latest payload that is not null."""
+
+    def process(self, row, ctx):
+        ctx.state["n"] = ctx.state.get("n", 0) + 1
+        if row["payload"] is not None:
+            ctx.state["payload"] = row["payload"]
+        ctx.output(key=ctx.key[0], event_id=row["event_id"], n=ctx.state["n"], payload=ctx.state.get("payload"))
+
+
+def _big_numbers(spark, sf_dir):
+    ks = replay(spark, sf_dir)
+    df = ks.df.select("event_id", "t_ms", "arrival", F.when(F.col("k") != 3, F.col("k") + _BIG).alias("key"))
+    return ks.with_df(df.withColumn("payload", F.when(F.col("event_id") % 7 != 0, F.col("event_id") + _BIG))).key_by("key")
+
+
+_BIG_SQL = f"""{sql_rows()}, b AS (SELECT event_id, t_ms, arrival, CASE WHEN k <> 3 THEN k + {_BIG} END AS key,
+CASE WHEN event_id % 7 <> 0 THEN event_id + {_BIG} END AS payload FROM r)"""
+
+
+@query(
+    "exact_numbers_process",
+    f"""WITH {_BIG_SQL} SELECT key, event_id, row_number() OVER w AS n, last_value(payload IGNORE NULLS) OVER w AS payload FROM b
+WINDOW w AS (PARTITION BY key ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+)
+def exact_numbers_process(spark, sf_dir):
+    """Whole numbers beyond the exact range of doubles, as key and as payload, next to nulls."""
+    shape = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "event_id", "n", "payload")])
+    return process_keyed(_big_numbers(spark, sf_dir), CLOCK, LatestPayload(), shape).drop("tag")
+
+
+def _payload_range(window, rows):
+    found = [r["payload"] for r in rows if r["payload"] is not None]
+    yield {"key": window["key"], "window_start": window["window_start"], "low": min(found, default=None), "high": max(found, default=None)}
+
+
+@query(
+    "exact_numbers_panes",
+    f"""WITH {_BIG_SQL}, c AS (SELECT *, max(t_ms - 1001) OVER (PARTITION BY key ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm FROM b)
+SELECT key, t_ms - t_ms % {6 * HOUR} AS window_start, min(payload) AS low, max(payload) AS high FROM c
+WHERE wm IS NULL OR wm < t_ms - t_ms % {6 * HOUR} + {6 * HOUR} - 1 GROUP BY 1, 2""",
+)
+def exact_numbers_panes(spark, sf_dir):
+    """The same through a window function."""
+    shape = T.StructType([T.StructField(n, T.LongType()) for n in ("key", "window_start", "low", "high")])
+    return W.window_process(_big_numbers(spark, sf_dir), CLOCK, A.tumbling(6 * HOUR), _payload_range, shape)

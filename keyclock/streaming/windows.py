@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from keyclock.functions.assigners import WindowAssigner
 from keyclock.functions.timeunits import MAX_WM
 from keyclock.model import KeyedStream
-from keyclock.operators.windows import Measure
+from keyclock.operators.windows import Measure, expanded
 from keyclock.strategy import WatermarkStrategy
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -163,7 +163,7 @@ def stream_windows(
         raise ValueError("for one clock over the whole stream use withWatermark and Spark's own windows")
     if combine and (strategy.emit != "tick" or lateness_ms):
         raise ValueError("combine needs tick mode and no allowed lateness")
-    measures = [m for m in (measures or []) if m.kind != "count"]
+    measures, results = expanded([m for m in (measures or []) if m.kind != "count"])
     use_state_store(ks.df.sparkSession)
     ks = ks.timed(strategy).valid()
     types = tuple(measure_type(ks.df, m) for m in measures)
@@ -182,7 +182,9 @@ def stream_windows(
     if combine:
         rows = _combined(rows, ks.keys, spec.kinds)
     out = _output_type(ks, measures, types)
-    return rows.groupBy(*ks.keys).transformWithState(KeyClockProcessor(spec, out), out, "Append", "None")
+    done = rows.groupBy(*ks.keys).transformWithState(KeyClockProcessor(spec, out), out, "Append", "None")
+    own = {m.name for m in measures}
+    return done.select(*[n for n in out.fieldNames() if n not in own], *[c.alias(n) for n, c in results.items()])
 
 
 def _combined(rows: DataFrame, keys, kinds) -> DataFrame:

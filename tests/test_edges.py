@@ -4,10 +4,11 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyclock.functions import assigners as A
 from keyclock.functions.timeunits import MAX_WM, MIN_WM, epoch_ms
-from keyclock.model import HotKeys, detect_hot_keys, key_by
+from keyclock.model import key_by
 from keyclock.operators import counts, joins, multisource, rolling, sessions, watermark
 from keyclock.operators import windows as W
 from keyclock.operators.scan import Fold
@@ -144,16 +145,35 @@ def test_event_time_does_not_depend_on_the_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
 
 
-def test_hot_keys_only_are_cut(spark, sf_dir):
-    ks = replay(spark, sf_dir, "global50")
-    skewed = ks.with_df(ks.df.withColumn("k", F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id") + 1)))
-    hot = detect_hot_keys(skewed, 200)
-    assert hot == HotKeys(((0,),))
-    from dataclasses import replace
+def test_whole_numbers_next_to_nulls_stay_exact(spark):
+    big = 2**53
+    rows = [(1, big, 10), (2, big + 1, 20), (3, None, 30), (4, big + 1, 40)]
+    df = spark.createDataFrame(rows, "id long, k long, t long").withColumn("payload", F.when(F.col("id") != 3, F.col("id") + big + 1))
+    ks = key_by(df, "k", ts="t", tie="id")
+    fired = sessions.session_firings(ks, S.bounded(0), 100).collect()
+    assert sorted(((r.k or 0), r.elements) for r in fired) == [(0, 1), (big, 1), (big + 1, 2)]
 
-    args = (S.bounded(1000), A.tumbling(HOUR))
-    cut_all, cut_hot = W.window_firings(skewed, *args), W.window_firings(replace(skewed, hot=hot), *args)
-    assert sorted(map(str, cut_all.collect())) == sorted(map(str, cut_hot.collect()))
+    def ids(window, rows):
+        for r in rows:
+            yield {"k": window["k"], "payload": r["payload"]}
+
+    shape = T.StructType([T.StructField("k", T.LongType()), T.StructField("payload", T.LongType())])
+    got = W.window_process(ks, S.bounded(0), A.tumbling(100), ids, shape).collect()
+    assert sorted((r.k or 0, r.payload or 0) for r in got) == [(0, 0), (big, big + 2), (big + 1, big + 3), (big + 1, big + 5)]
+
+
+def test_purging_keeps_what_the_inner_trigger_purges():
+    from keyclock.streaming.triggers import CONTINUE, FIRE, FIRE_AND_PURGE, PURGE, PurgingTrigger, Trigger
+
+    class Fixed(Trigger):
+        def __init__(self, decision):
+            self.decision = decision
+
+        def on_element(self, row, ctx):
+            return self.decision
+
+    got = [PurgingTrigger(Fixed(d)).on_element({}, None) for d in (CONTINUE, FIRE, PURGE, FIRE_AND_PURGE)]
+    assert got == [CONTINUE, FIRE_AND_PURGE, PURGE, FIRE_AND_PURGE]
 
 
 @pytest.mark.parametrize("bucket_ms", [1, 7, 1000, 10**9])
