@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyclock.functions.joining import join_same
 from keyclock.functions.timeunits import MIN_WM
 from keyclock.model import KeyedStream
 from keyclock.operators.scan import Fold, running
@@ -30,7 +31,7 @@ def source_clocks(ks: KeyedStream, strategy: WatermarkStrategy, source: str, gro
     )
     ends = per_tick.groupBy(*group).agg(F.min("tick").alias("__from"), F.max("tick").alias("__to"))
     if group:
-        spanned = per_tick.join(ends, group)
+        spanned = join_same(per_tick, ends, group)
     else:
         spanned = per_tick.withColumn("__span", ends.select(F.struct("*")).scalar()).select("*", "__span.*")
     mine = Window.partitionBy(*group, source).orderBy("tick")

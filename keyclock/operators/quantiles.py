@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyclock.functions.joining import join_same
 from keyclock.operators.scan import Fold, running
 
 
@@ -14,8 +15,8 @@ def _magnitude(x: Column) -> Column:
     return F.when(x == 0, 0).otherwise(F.signum(x) * size).cast("bigint")
 
 
-def exact_quantiles(df: DataFrame, column: str, names: dict[str, float], by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, one column per name): the same linear interpolation as ``percentile``.
+def exact_quantiles(df: DataFrame, column: str, names: dict[str, float], by: tuple[str, ...] = (), extremes: bool = False) -> DataFrame:
+    """(by, one column per name): the same linear interpolation as ``percentile``; with ``extremes`` also ``max``, ``min`` and ``avg``.
 
     Equal values are counted first; a running count over values, sliced by magnitude, then tells which values sit at the
     wanted positions.
@@ -29,8 +30,12 @@ def exact_quantiles(df: DataFrame, column: str, names: dict[str, float], by: tup
         .agg(F.count("*").alias("__c"))
     )
     ranked = running(counts, keys, [x], _magnitude(x), [Fold("__cum", "sum", F.col("__c"))])
-    sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    both = ranked.join(sizes, keys) if keys else ranked.withColumn("__n", sizes.scalar())
+    more = {"max": F.max(x), "min": F.min(x), "avg": F.sum(x * F.col("__c")) / F.sum("__c")} if extremes else {}
+    sizes = counts.groupBy(*keys).agg(F.sum("__c").alias("__n"), *[c.alias(n) for n, c in more.items()])
+    if keys:
+        both = join_same(ranked, sizes, keys)
+    else:
+        both = ranked.withColumn("__all", sizes.select(F.struct("*")).scalar()).select("*", "__all.*").drop("__all")
     first, last = F.col("__cum") - F.col("__c"), F.col("__cum") - 1
     found = {}
     wanted = F.lit(False)
@@ -40,10 +45,10 @@ def exact_quantiles(df: DataFrame, column: str, names: dict[str, float], by: tup
             here = (first <= at) & (at <= last)
             wanted = wanted | here
             found[f"__{side}{i}"] = F.max(F.when(here, x))
-    hits = both.where(wanted).groupBy(*keys, "__n").agg(*[c.alias(n) for n, c in found.items()])
+    hits = both.where(wanted).groupBy(*keys, "__n", *more).agg(*[c.alias(n) for n, c in found.items()])
     out = {}
     for i, (name, q) in enumerate(names.items()):
         place = (F.col("__n") - 1) * F.lit(float(q))
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
         out[name] = lo + (hi - lo) * (place - F.floor(place))
-    return hits.select(*by, *[c.alias(n) for n, c in out.items()])
+    return hits.select(*by, *more, *[c.alias(n) for n, c in out.items()])

@@ -152,27 +152,12 @@ def session_firings(
 
 
 def _first_step_at(waiting: DataFrame, steps: DataFrame, ks: KeyedStream) -> DataFrame:
-    """Add ``__step``, the key's smallest clock step at or after ``__pos``, slice by slice of event time.
-
-    A slice without a large enough step takes the first one of the next slice that has any; positions before the first
-    step do not occur, since a row is only accepted ahead of the clock.
-    """
-    keys = list(ks.keys)
-    cut = floor_div("__step", ks.bucket_ms)
-    firsts = steps.groupBy(*keys, cut.alias("__s")).agg(F.min("__step").alias("__step"))
-    following = Window.partitionBy(*keys).orderBy("__s")
-    carry = (
-        firsts.select(*keys, "__s", F.lead("__s").over(following).alias("__n"), F.lead("__step").over(following).alias("__step"))
-        .where(F.col("__n").isNotNull())
-        .select(*keys, F.explode(F.sequence("__s", F.col("__n") - 1)).alias("__s"), "__step", F.lit(0).alias("__kind"))
-    )
-    inside = steps.withColumns({"__s": cut, "__pos": F.col("__step"), "__kind": F.lit(1)})
-    asked = waiting.withColumns({"__s": floor_div("__pos", ks.bucket_ms), "__kind": F.lit(2)})
-    both = asked.unionByName(inside, allowMissingColumns=True).unionByName(carry, allowMissingColumns=True)
-    # carry rows have no position and come first, then from late to early; at equal positions the step is seen first
-    backwards = Window.partitionBy(*keys, "__s").orderBy(F.col("__pos").desc_nulls_first(), "__kind")
-    seen = F.min("__step").over(backwards.rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn("__step", seen).where(F.col("__kind") == 2).drop("__s", "__kind", "__pos")
+    """Add ``__step``, the key's smallest clock step at or after ``__pos``: a running minimum backwards in event time."""
+    steps = steps.withColumns({"__pos": F.col("__step"), "__kind": F.lit(0)}).withColumnRenamed("__step", "__v")
+    both = waiting.withColumn("__kind", F.lit(1)).unionByName(steps, allowMissingColumns=True)
+    backwards = -F.col("__pos")
+    seen = running(both, ks.keys, [backwards, F.col("__kind")], floor_div(backwards, ks.bucket_ms), [Fold("__step", "min", F.col("__v"))])
+    return seen.where(F.col("__kind") == 1).drop("__kind", "__pos", "__v")
 
 
 def session_step(live: list, lo: int, hi: int, n: int, wm: int | None, gap: int, lateness: int):

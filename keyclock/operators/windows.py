@@ -232,7 +232,7 @@ def panes(
         steps = progress_rows(ks, strategy).withColumnRenamed("wm", "__now").where(fresh)
         steps = steps.select(*clock_keys(ks, strategy), item.alias("__i")).select("*", "__i.*").drop("__i")
         if strategy.scope == "stream":
-            return _fire_by_stream_clock(grouped.drop("wm", "fired_at"), steps, assigner, strategy.emit == "tick")
+            return _fire_by_stream_clock(grouped.drop("wm", "fired_at"), steps, ks.bucket_ms)
         grouped = grouped.unionByName(steps, allowMissingColumns=True)
     return _fire_by_key_clock(ks, grouped, assigner)
 
@@ -255,38 +255,17 @@ def _fire_by_key_clock(ks: KeyedStream, grouped: DataFrame, assigner: WindowAssi
     return found.where(F.col("window_start").isNotNull()).withColumn("wm", F.coalesce("wm", max_wm()))
 
 
-def _fire_by_stream_clock(grouped: DataFrame, steps: DataFrame, assigner: WindowAssigner, ticks: bool) -> DataFrame:
-    """One clock for all keys: window end -> step is a table of time slots, looked up by equality."""
-    cells = steps.groupBy("window_end").agg(F.min("wm").alias("wm"), F.min("fired_at").alias("fired_at"))
-    if assigner.on_grid:
-        # a step also completes the slots it jumped over
-        before = F.lag("window_end").over(Window.orderBy("window_end"))
-        pace = F.lit(assigner.step).cast("bigint")
-        slots = F.sequence(F.coalesce(before + pace, F.col("window_end")), F.col("window_end"), pace)
-        table = cells.withColumn("__slots", slots).select(F.explode("__slots").alias("window_end"), "wm", "fired_at")
-    else:
-        ends = grouped.select("window_end").distinct()
-        later = Window.orderBy(F.col("window_end").desc())
-        table = (
-            cells.unionByName(ends, allowMissingColumns=True)
-            .groupBy("window_end")
-            .agg(F.min("wm").alias("wm"), F.min("fired_at").alias("fired_at"))
-            .withColumns({"wm": F.min("wm").over(later), "fired_at": F.min("fired_at").over(later)})
-        )
-    found = grouped.join(table, "window_end", "left")
-    if assigner.on_grid and ticks:
-        # rows of the first tick met no clock at all, so their windows may end before the first step's slot; record by
-        # record the first row alone met none, and its windows end after the step it makes
-        first = cells.agg(F.min("window_end").alias("e"), F.min("wm").alias("w"), F.min("fired_at").alias("f"))
-        found = found.withColumn("__first", first.select(F.struct("*")).scalar())
-        early = F.col("window_end") < F.col("__first.e")
-        found = found.withColumns(
-            {
-                "wm": F.coalesce("wm", F.when(early, F.col("__first.w"))),
-                "fired_at": F.coalesce("fired_at", F.when(early, F.col("__first.f"))),
-            }
-        ).drop("__first")
-    return found.withColumn("wm", F.coalesce("wm", max_wm()))
+def _fire_by_stream_clock(grouped: DataFrame, steps: DataFrame, bucket_ms: int) -> DataFrame:
+    """One clock for all keys: window end -> step is a table of the ends that occur, looked up by equality."""
+    cells = steps.groupBy("window_end").agg(F.min("wm").alias("__w"), F.min("fired_at").alias("__a"))
+    # every end that occurs looks back for the first step at or beyond it; no time slot without rows is ever made
+    ends = grouped.select("window_end").distinct()
+    asked = cells.withColumn("__kind", F.lit(0)).unionByName(ends.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
+    backwards = -F.col("window_end")
+    folds = [Fold("wm", "min", F.col("__w")), Fold("fired_at", "min", F.col("__a"))]
+    table = running(asked, [], [backwards, F.col("__kind")], floor_div(backwards, bucket_ms), folds)
+    table = table.where(F.col("__kind") == 1).select("window_end", "wm", "fired_at")
+    return grouped.join(table, "window_end", "left").withColumn("wm", F.coalesce("wm", max_wm()))
 
 
 def window_firings(

@@ -916,6 +916,30 @@ def connected_streams(spark, sf_dir):
     return process_keyed(joins.connect(left, right), CLOCK, join, shape)
 
 
+class LatestOther(KeyedProcessFunction):
+    """A function of two inputs: every left row with the latest right one that came before it, and how many there were."""
+
+    def process(self, row, ctx):
+        if row["side"] == "right":
+            ctx.state["seen"] = ctx.state.get("seen", 0) + 1
+            ctx.state["latest"] = row["event_id"]
+        else:
+            ctx.output(event_id=row["event_id"], latest=ctx.state.get("latest"), seen=ctx.state.get("seen", 0))
+
+
+@query(
+    "connected_latest",
+    f"""WITH {sql_rows("global50")}, z AS (SELECT *, count(*) FILTER (event_type = 'purchase') OVER w AS seen,
+last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER w AS latest FROM r
+WINDOW w AS (PARTITION BY user_id ORDER BY arrival, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT event_id, latest, seen FROM z WHERE event_type = 'click'""",
+)
+def connected_latest(spark, sf_dir):
+    left, right = [key_by(s.df, "user_id", ts="t_ms", arrival="arrival", tie="event_id") for s in _two_streams(spark, sf_dir, "global50", "user_id")]
+    shape = T.StructType([T.StructField(n, T.LongType()) for n in ("event_id", "latest", "seen")])
+    return process_keyed(joins.connect(left, right), CLOCK, LatestOther(), shape).drop("tag")
+
+
 @query(
     "union_streams",
     f"WITH {sql_rows()} SELECT k, event_id, t_ms FROM r WHERE event_type IN ('click', 'purchase')",

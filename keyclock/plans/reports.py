@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from keyclock.functions.joining import join_same
 from keyclock.functions.assigners import WindowAssigner
 from keyclock.functions.timeunits import floor_div
 from keyclock.model import KeyedStream
@@ -46,7 +47,7 @@ def latency_keyed(start: DataFrame, end: DataFrame, *by: str) -> DataFrame:
     on = [*by, "watermark", "key"]
     first = start.groupBy(*on).agg(F.min("system_time").alias("__start"))
     last = end.groupBy(*on).agg(F.max("system_time").alias("__end"))
-    return first.join(last, on).select(*on, _seconds("__end", "__start").alias("latency"))
+    return join_same(first, last, on).select(*on, _seconds("__end", "__start").alias("latency"))
 
 
 def latency_envelope(latency: DataFrame, *by: str) -> DataFrame:
@@ -60,28 +61,20 @@ def latency_stream(start: DataFrame, end: DataFrame, *by: str) -> DataFrame:
     """One clock: seconds from every start record to the last end of its watermark."""
     on = [*by, "watermark"]
     last = end.groupBy(*on).agg(F.max("system_time").alias("__end"))
-    return start.join(last, on).select(*on, "system_time", _seconds("__end", "system_time").alias("latency"))
+    return join_same(start, last, on).select(*on, "system_time", _seconds("__end", "system_time").alias("latency"))
 
 
 def latency_summary(latency: DataFrame, column: str = "latency", *by: str) -> DataFrame:
     """Maximum, minimum, mean and the 90/95/99 % quantiles (interpolated exactly), rounded to microseconds."""
-    x = F.col(column)
-    plain = [F.max(x).alias("max"), F.min(x).alias("min"), F.avg(x).alias("avg")]
-    names = ["max", "min", "avg", *QUANTILES]
-    quantiles = exact_quantiles(latency, column, QUANTILES, by)
-    if by:
-        out = latency.groupBy(*by).agg(*plain).join(quantiles, list(by))
-    else:
-        row = quantiles.select(F.struct(*QUANTILES)).scalar()
-        out = latency.agg(*plain).withColumn("__q", row).select("max", "min", "avg", "__q.*")
-    return out.select(*by, *[F.round(n, 6).alias(n) for n in names])
+    out = exact_quantiles(latency, column, QUANTILES, by, extremes=True)
+    return out.select(*by, *[F.round(n, 6).alias(n) for n in ("max", "min", "avg", *QUANTILES)])
 
 
 def latency_outliers(latency: DataFrame, column: str = "latency", *by: str) -> DataFrame:
     """Rows outside the quartiles by more than one and a half times their distance."""
     quartiles = exact_quantiles(latency, column, {"__q1": 0.25, "__q3": 0.75}, by)
     if by:
-        rows = latency.join(quartiles, list(by))
+        rows = join_same(latency, quartiles, list(by))
     else:
         rows = latency.withColumn("__q", quartiles.select(F.struct("__q1", "__q3")).scalar()).select("*", "__q.*")
     reach = (F.col("__q3") - F.col("__q1")) * 1.5
@@ -96,7 +89,7 @@ def latency_summary_full(latency: DataFrame, column: str, *by: str) -> DataFrame
     listed = latency_outliers(latency, column, *by).groupBy(*by).agg(F.array_sort(F.collect_list(column)).alias("outliers"))
     none = F.array().cast("array<double>")
     if by:
-        return summary.join(listed, list(by), "left").withColumn("outliers", F.coalesce("outliers", none))
+        return join_same(summary, listed, list(by), "left").withColumn("outliers", F.coalesce("outliers", none))
     return summary.withColumn("outliers", F.coalesce(listed.scalar(), none))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyclock.functions.timeunits import epoch_ms
-from keyclock.model import KeyedStream, fit_bucket_ms, key_by
+from keyclock.model import KeyedStream, SLICE_ROWS, key_by
 
 HOUR = 3_600_000
 KEY_COUNT = 20
@@ -57,25 +57,19 @@ def arriving_events(spark: SparkSession, sf_dir: str, scenario: str = "median50"
     return timed_events(spark, sf_dir).withColumn("arrival", _arrival(scenario))
 
 
-_WIDTHS: dict[str, int] = {}
-
-
-def slice_width(spark: SparkSession, sf_dir: str) -> int:
-    """Arrival slices fitted to the size of ``events``, measured once per table and process."""
-    if sf_dir not in _WIDTHS:
-        _WIDTHS[sf_dir] = fit_bucket_ms(timed_events(spark, sf_dir).select("t_ms"), "t_ms")
-    return _WIDTHS[sf_dir]
+def replay_of(df, keys, slice_rows: int = SLICE_ROWS) -> KeyedStream:
+    """A keyed stream with slices fitted to the arrivals they cut."""
+    return key_by(df, *keys, ts="t_ms", arrival="arrival", tie="event_id").fitted(slice_rows)
 
 
 def replay(spark: SparkSession, sf_dir: str, scenario: str = "median50", *keys: str) -> KeyedStream:
     """The scenario as a keyed stream (key ``k`` unless others are named)."""
     df = arriving_events(spark, sf_dir, scenario)
-    return key_by(df, *(keys or ("k",)), ts="t_ms", arrival="arrival", tie="event_id", bucket_ms=slice_width(spark, sf_dir))
+    return replay_of(df, keys or ("k",))
 
 
 def all_scenarios(spark: SparkSession, sf_dir: str, *keys: str) -> KeyedStream:
     """Every scenario at once, told apart by ``experiment``: the rows are read once and multiplied."""
     runs = F.array(*[F.struct(F.lit(s).alias("experiment"), _arrival(s).alias("arrival")) for s in SCENARIOS])
     df = timed_events(spark, sf_dir).select("event_id", "k", "t_ms", F.inline(runs))
-    keys = keys or ("experiment", "k")
-    return key_by(df, *keys, ts="t_ms", arrival="arrival", tie="event_id", bucket_ms=slice_width(spark, sf_dir))
+    return replay_of(df, keys or ("experiment", "k"))

@@ -42,7 +42,7 @@ def stream_arrival_windows(ks: KeyedStream, size_ms: int, slide_ms: int | None =
 def stream_interval_join(
     left: KeyedStream, right: KeyedStream, lower_ms: int, upper_ms: int, bound_ms: int, lower_exclusive=False, upper_exclusive=False
 ) -> DataFrame:
-    """Interval join of two streams; both watermarks and the time condition let Spark drop old rows from its state."""
+    """Interval join of two streams, null keys equal as in batches; both watermarks and the time condition let Spark drop old rows from its state."""
 
     def side(ks, name):
         rows = ks.valid().df
@@ -58,7 +58,7 @@ def stream_interval_join(
     t = F.col("right_time")
     near = (t > lo if lower_exclusive else t >= lo) & (t < hi if upper_exclusive else t <= hi)
     for lk, rk in zip(left.keys, right.keys):
-        near = (F.col(f"left_{lk}") == F.col(f"right_{rk}")) & near
+        near = F.col(f"left_{lk}").eqNullSafe(F.col(f"right_{rk}")) & near
     return a.join(b, near).select(*[F.col(f"left_{k}").alias(k) for k in left.keys], "left", "right")
 
 
