@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from keyclock.llm.shared import Memo, byte_letters, once, shared_folder, slices
 
-PART_IDS = 1 << 18
-MEMO = 400_000
+PART_IDS = 1 << 17
+MEMO = 120_000
 _MAGIC = b"KCS8"
 _PARTS = "shard int, part int, first_id long, n_ids long, body binary"
 
@@ -145,7 +145,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
             return pa.record_batch([pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "part", "first_id", "n_ids", "body"])
 
         for batch in batches:
-            for rows in slices(batch, 1):
+            for rows in slices(batch, 1, 1 << 20):
                 for doc, got in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist())):
                     got += end
                     if size and size + len(got) // 4 > PART_IDS:
