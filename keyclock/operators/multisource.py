@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from keyclock.functions.arrow import batch_of
 from keyclock.functions.joining import join_same
-from keyclock.functions.timeunits import MIN_WM
+from keyclock.functions.timeunits import MAX_WM, MIN_WM
 from keyclock.model import KeyedStream
 from keyclock.operators.scan import Fold, running
 from keyclock.operators.watermark import tick_of
@@ -79,42 +81,95 @@ def combine_sources(ks: KeyedStream, strategy: WatermarkStrategy, source: str, g
 
     start = F.col("first_tick") * F.lit(strategy.tick_ms).cast("bigint")
     idle = end - F.coalesce("last_arrival", start) > F.lit(strategy.idle_ms).cast("bigint")
-    state = F.struct(at_min.alias("wm"), idle.alias("idle"), F.col(source).alias("source"))
-    # sources are few; ticks are a time axis, so this table is as long as the replay and never as large as the rows
-    table = ticks.groupBy(*group, "tick").agg(F.sort_array(F.collect_list(state)).alias("states"))
-    table = table.withColumn("__end", end)
-    if group:
-        table = table.repartition(*group)
-    else:
-        table = table.coalesce(1)
-    schema = table.select(*group, "tick", F.col("__end").alias("arrival"), F.lit(0).cast("bigint").alias("wm")).schema
-    return table.sortWithinPartitions(*group, "tick").mapInPandas(_minimum_fold(group), schema)
-
-
-def _minimum_fold(group: list[str]):
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, out, was_idle = None, MIN_WM, {}
-        for batch in batches:
-            found = []
-            for row in batch.to_dict("records"):
-                who = tuple(row[g] for g in group)
-                if who != current:
-                    current, out, was_idle = who, MIN_WM, {}
-                states = row["states"]
-                active = [s["wm"] for s in states if not s["idle"]]
-                if active:
-                    caught_up = [w for w in active if w >= out]
-                    target = min(caught_up) if caught_up else out
-                else:
-                    just_left = [s["wm"] for s in states if not was_idle.get(s["source"], False)]
-                    target = max(s["wm"] for s in states) if out in just_left else out
-                was_idle = {s["source"]: s["idle"] for s in states}
-                if target > out:
-                    out = target
-                    found.append({**{g: row[g] for g in group}, "tick": row["tick"], "arrival": row["__end"], "wm": out})
-            yield pd.DataFrame(found, columns=[*group, "tick", "arrival", "wm"])
-
-    return fold
+    earlier = F.lag("idle").over(Window.partitionBy(*group, source).orderBy("tick"))
+    states = ticks.select(*group, source, "tick", at_min.alias("wm"), idle.alias("idle")).withColumn("left_now", ~F.coalesce(earlier, F.lit(False)))
+    # what a tick does to the clock: where active sources stand, or who fell silent last and how far the sources had come
+    table = states.groupBy(*group, "tick").agg(
+        F.sort_array(F.collect_set(F.when(~F.col("idle"), F.col("wm")))).alias("active"),
+        F.collect_set(F.when(F.col("left_now"), F.col("wm"))).alias("left"),
+        F.max("wm").alias("top"),
+    )
+    table = stepped_slices(table.withColumns({"arrival": end, "slice": F.call_function("div", F.col("tick"), F.lit(_SLICE).cast("bigint"))}), group)
+    return table.select(*group, "tick", "arrival", "wm")
+
+
+_SLICE = 4096
+
+
+def _moved(out: int, active: list[int], left: list[int], top: int) -> int:
+    """The clock after a tick: the lowest active source that has caught up with it; the highest of all when the last one leaves."""
+    if active:
+        at = bisect_left(active, out)
+        return active[at] if at < len(active) else out
+    return max(top, out) if out in left else out
+
+
+def _then(steps: list[list[int]], active: list[int], left: list[int], top: int) -> list[list[int]]:
+    """One more tick after ``steps``: sorted intervals [low, high, value] of clocks that end up at a value; others stay as they are."""
+    after = [[lo, hi, _moved(v, active, left, top)] for lo, hi, v in steps]
+    free, low = [], MIN_WM
+    for lo, hi, _ in steps:
+        if low < lo:
+            free.append((low, lo - 1))
+        low = hi + 1
+    free.append((low, MAX_WM))
+    for a, b in free:
+        if active:
+            for x in active[bisect_left(active, a) :]:
+                if a > b:
+                    break
+                after.append([a, min(b, x), x])
+                a = x + 1
+        else:
+            after += [[x, x, max(top, x)] for x in left if a <= x <= b and top > x]
+    joined: list[list[int]] = []
+    for lo, hi, v in sorted(after):
+        if joined and joined[-1][2] == v and joined[-1][1] + 1 == lo:
+            joined[-1][1] = hi
+        else:
+            joined.append([lo, hi, v])
+    return joined
+
+
+def stepped_slices(table: DataFrame, group: list[str]) -> DataFrame:
+    """Clock steps from per-tick moves, slice by slice: what the ticks of a slice do to any clock that enters it is a map of a few
+    intervals (about one per source); the maps of a group are applied one after another; each slice then replays its ticks."""
+    fields = [table.schema[g] for g in group]
+    long = T.LongType()
+    whole = T.StructType([*fields, T.StructField("slice", long), T.StructField("steps", T.ArrayType(T.ArrayType(long)))])
+    entered = T.StructType([*fields, T.StructField("slice", long), T.StructField("entry", long)])
+    risen = T.StructType([*fields, T.StructField("tick", long), T.StructField("arrival", long), T.StructField("wm", long)])
+
+    def key(rows: list[dict]) -> dict:
+        return {g: rows[0][g] for g in group}
+
+    def composed(t: pa.Table) -> pa.Table:
+        rows, steps = sorted(t.to_pylist(), key=lambda r: r["tick"]), []
+        for r in rows:
+            steps = _then(steps, r["active"], r["left"], r["top"])
+        return pa.Table.from_batches([batch_of([{**key(rows), "slice": rows[0]["slice"], "steps": steps}], whole)])
+
+    def entries(t: pa.Table) -> pa.Table:
+        rows, out, found = sorted(t.to_pylist(), key=lambda r: r["slice"]), MIN_WM, []
+        for r in rows:
+            found.append({**key(rows), "slice": r["slice"], "entry": out})
+            out = next((v for lo, hi, v in r["steps"] if lo <= out <= hi), out)
+        return pa.Table.from_batches([batch_of(found, entered)])
+
+    def replayed(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: r["tick"])
+        out, found = rows[0]["entry"], []
+        for r in rows:
+            after = _moved(out, r["active"], r["left"], r["top"])
+            if after > out:
+                out = after
+                found.append({**key(rows), "tick": r["tick"], "arrival": r["arrival"], "wm": out})
+        return pa.Table.from_batches([batch_of(found, risen)])
+
+    maps = table.groupBy(*group, "slice").applyInArrow(composed, whole)
+    # one row per slice of thousands of ticks
+    began = maps.withColumn("__all", F.lit(0)).groupBy(*(group or ["__all"])).applyInArrow(entries, entered)
+    return join_same(table, began, [*group, "slice"]).groupBy(*group, "slice").applyInArrow(replayed, risen)
 
 
 def alignment_report(ks: KeyedStream, strategy: WatermarkStrategy, source: str) -> DataFrame:
