@@ -1,5 +1,7 @@
 """Every registered query against its SQL twin."""
 
+import os
+
 import pytest
 
 import __spark_entry__ as entry
@@ -7,6 +9,10 @@ from keyclock.plans import catalog
 from tests.compare import compare, connect
 
 
+#: too few rows are late at sf0.001 to tell anything
+SPARSE = {"interval_join_late_left", "interval_join_late_right"}
+
+
 @pytest.fixture(scope="module")
 def con(sf_dir):
     return connect(sf_dir)
@@ -26,4 +32,7 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_equals_sql(spark, sf_dir, con, name):
+    if name in SPARSE:
+        sf_dir = os.path.join(os.path.dirname(sf_dir), "sf0.01")
+        con = connect(sf_dir)
     assert compare(spark, sf_dir, con, name, catalog.QUERIES[name], catalog.ORACLE[name]) is None
