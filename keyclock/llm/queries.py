@@ -77,7 +77,25 @@ QUERIES = {
         op10_latent_leaks,
     )
 }
+_END, _NOTICE = (x.replace("'", "''") for x in (line_quality._CLOSING, line_quality._BOILERPLATE))
+_LINE_QUALITY_SQL = rf"""
+WITH r AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, [x for x in regexp_split_to_array(t, '[\x20\x09-\x0D]+') if x <> ''] AS ws, [x for x in string_split(t, chr(10)) if regexp_matches(x, '[^\x20\x09-\x0D]')] AS ls FROM r),
+g AS (SELECT rid, i, ws[i:i+4] AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)),
+c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM g),
+v AS (SELECT rid, count(DISTINCT i + k) AS n FROM c, range(0, 5) o(k) WHERE n > 1 GROUP BY rid),
+l AS (SELECT rid, x, length(regexp_replace(x, '[^\x20\x09-\x0D]', '', 'g')) AS blanks FROM (SELECT rid, unnest(ls) AS x FROM w)),
+f AS (SELECT rid, sum(length(x) - blanks) AS lost FROM l
+WHERE NOT (regexp_matches(rtrim(x, ' '), '{_END}') AND 2 * length(regexp_replace(x, '[^!?#*$%&|<>]', '', 'g')) <= blanks + 1
+AND length(regexp_replace(x, '[^|>»·]', '', 'g')) < 3 AND NOT regexp_matches(lower(x), '{_NOTICE}')) GROUP BY rid),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) for x in ws]), 0) AS BIGINT) AS word_chars,
+CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS lost_chars FROM w LEFT JOIN v USING (rid) LEFT JOIN f USING (rid)),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT *, NOT base_failed AND lost_chars <= 0.5 * word_chars AS kept FROM b"""
+
 ORACLE: dict[str, str] = {
+    "op5_line_quality": _LINE_QUALITY_SQL,
     "op1_warc_chunks": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages),
         f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
