@@ -41,6 +41,15 @@ def removed(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hash_sample(df: DataFrame, by: str, most: int) -> DataFrame:
+    """At most ``most`` rows, picked by a hash of a column; all where there are no more. Rows are thinned out before they are sorted,
+    so that what all tasks together send to the last one is bounded, too."""
+    total, cells = df.count(), 1 << 20
+    if total > 2 * most:
+        df = df.where(F.pmod(F.xxhash64(by), F.lit(cells)) < -(-3 * most * cells // (2 * total)))
+    return df.orderBy(F.xxhash64(by), *df.columns).limit(most)
+
+
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once per row, however often ``use`` refers to it."""
     return F.transform(F.array(value), use)[0]

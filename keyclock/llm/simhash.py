@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyclock.llm.components import components
-from keyclock.llm.shared import slices, written
+from keyclock.llm.shared import hash_sample, slices, written
 
 SAMPLE = 1 << 16
 LEAF = 1024
@@ -142,7 +142,7 @@ def bands_of(radius: int, bands: int) -> list[tuple[int, int]]:
 def forest(fps: DataFrame, radius: int = 4, bands: int = 4, leaf: int = LEAF, sample: int = SAMPLE) -> list[Tree]:
     """Trees fitted to a bounded sample of distinct fingerprints (column ``fp``)."""
     total = fps.count()
-    some = fps.orderBy(F.xxhash64("fp"), "fp").limit(sample).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
+    some = hash_sample(fps.select("fp"), "fp", sample).toPandas()["fp"].to_numpy(dtype=np.int64).view(np.uint64)
     return [grow(some, mask, share, max(1.0, total / max(1, len(some))), leaf) for mask, share in bands_of(radius, bands)]
 
 

@@ -4,7 +4,7 @@ Features are the words of a text and their beginnings, each present or not. A lo
 texts. In every sampled text that mentions an identity, the terms are swapped for others of their group and for neutral words, and the
 squared change of the model's log-odds is added to the loss; so a group that is often insulted does not itself come to count as an insult.
 
-The sample is the ``SAMPLE`` labelled rows of the least hash (all of them where there are fewer); exact copies among them count once.
+The sample is ``SAMPLE`` labelled rows picked by a hash of the id (all of them where there are fewer); exact copies among them count once.
 Scoring covers every row and whole texts. Nulls: a null text is empty, and an empty text gets the score of the labels' own rate; rows
 whose label or id is null teach nothing; a null id is not held out. Rows labelled twice count twice. With no labelled rows every score
 is low. Very long texts are treated like others: a feature counts once per text. Only the named columns are read.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyclock.llm.shared import Memo, slices, written
+from keyclock.llm.shared import Memo, hash_sample, slices, written
 
 SAMPLE = 16_000
 FEATURES = 1 << 15
@@ -136,7 +136,7 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, pairs: list[tuple[np.ndarra
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, strength: float = 4.0, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits a model to labelled texts. ``sample`` bounds the labelled rows that are learned from, ``features`` the model's size."""
     chosen = labels.select(F.col(id_col).cast("long").alias("d"), F.col(label_col).cast("int").alias("y")).where("d is not null and y in (0, 1)")
-    chosen = chosen.orderBy(F.xxhash64("d"), "d", "y").limit(sample)  # 12 bytes for each of at most ``sample`` rows
+    chosen = hash_sample(chosen, "d", sample)  # 12 bytes for each of at most ``sample`` rows
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     texts = written(texts.join(F.broadcast(chosen), "d").select("y", "t").dropDuplicates())
 
