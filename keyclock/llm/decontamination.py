@@ -21,6 +21,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
@@ -67,6 +68,8 @@ class Items:
             distinct = sorted(set(words), key=lambda w: (-self.idf[self.place[w]], w))
             rare.append(set(distinct[: max(1, len(distinct) // 4)]))
         squares = np.append(self.idf**2, self.other**2)
+        # words that no item has are the last row, which is zero
+        folded, ones = np.vstack((self.folded, np.zeros((1, self.folded.shape[1]), np.float32))), np.ones((1, STRIDE), np.float32)
 
         def check(words: list[str], window: int, item: int) -> tuple[float, float]:
             size, own = len(self.words[item]), masks[item]
@@ -87,18 +90,16 @@ class Items:
             base = np.cumsum([0, *blocks])
             if not base[-1] or not self.ids:
                 return out
-            place = np.fromiter((get(w, -1) for x in lists for w in x), np.int64)
+            place = np.array(list(map(get, chain.from_iterable(lists), repeat(-1))), dtype=np.int64)
             lengths = np.array([len(x) for x in lists])
             inside = np.arange(len(place)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            block = np.repeat(base[:-1], lengths) + inside // STRIDE
-            mass = np.bincount(block, squares[place], minlength=base[-1])
-            sums = np.zeros((base[-1] + 1, self.folded.shape[1]), dtype=np.float32)
-            known = np.flatnonzero(place >= 0)
-            if not len(known):
-                return out
-            at = block[known]
-            first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-            sums[at[first]] = np.add.reduceat(self.folded[place[known]], first, axis=0)
+            grid = np.full(base[-1] * STRIDE, -1, dtype=np.int64)
+            grid[np.repeat(base[:-1] * STRIDE, lengths) + inside] = place
+            mass = np.where(grid < 0, 0.0, squares[grid]).reshape(-1, STRIDE).sum(axis=1)
+            mass += (np.bincount(base[:-1].repeat(lengths) + inside // STRIDE, place < 0, minlength=base[-1])) * squares[-1]
+            grid, sums = grid.reshape(-1, STRIDE), np.zeros((base[-1] + 1, folded.shape[1]), dtype=np.float32)
+            for i in range(0, len(grid), 256):
+                sums[i : min(i + 256, len(grid))] = np.matmul(ones, folded[grid[i : i + 256]])[:, 0]
             # a window is a block and the next one of the same document
             follows = np.ones(base[-1], dtype=bool)
             follows[base[1:][np.array(blocks) > 0] - 1] = False
