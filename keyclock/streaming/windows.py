@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from keyclock.functions.arrow import batch_of
 from keyclock.functions.assigners import WindowAssigner
 from keyclock.functions.timeunits import MAX_WM
 from keyclock.model import KeyedStream
@@ -34,7 +35,13 @@ def use_state_store(spark: SparkSession) -> None:
 def _merge(kind: str, a, b):
     if a is None or b is None:
         return b if a is None else a
-    return a + b if kind in ("count", "sum") else min(a, b) if kind == "min" else max(a, b)
+    return a + b if kind in ("count", "sum") else (min if kind == "min" else max)(a, b, key=_rank)
+
+
+def _rank(v):
+    """Pairs compare as Spark compares structs, nulls first."""
+    parts = v.values() if isinstance(v, dict) else v if isinstance(v, tuple) else (v,)
+    return tuple((x is not None, x) for x in parts)
 
 
 @dataclass(frozen=True)
@@ -194,14 +201,29 @@ def _combined(rows: DataFrame, keys, kinds) -> DataFrame:
     how = {"cand": "max", "ts": "min", "n": "sum", **{f"m{i}": "sum" if k == "count" else k for i, k in enumerate(kinds)}}
     flat = rows.select(*keys, F.to_json("wins").alias("__wins"), F.when(F.size("wins") == 0, F.col("ts")).alias("__lone"), *how)
     by, names = [*keys, "__wins", "__lone"], flat.columns
+    pairs = any(isinstance(flat.schema[c].dataType, T.StructType) for c in how)
+
+    shape = flat.schema
+
+    def merged(b: pa.RecordBatch) -> pa.RecordBatch:
+        """Arrow has no order of pairs (the values next to extremes), so these are merged row by row."""
+        found: dict[tuple, dict] = {}
+        for r in b.to_pylist():
+            own = found.setdefault(tuple(r[c] for c in by), r)
+            if own is not r:
+                own.update({c: _merge(kind, own[c], r[c]) for c, kind in how.items()})
+        return batch_of(list(found.values()), shape)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if pairs:
+                yield merged(b)
+                continue
             found = pa.Table.from_batches([b]).group_by(by).aggregate(list(how.items()))
             found = found.rename_columns([c.removesuffix(f"_{how[c.rsplit('_', 1)[0]]}") if c not in by else c for c in found.column_names])
             yield from found.select(names).combine_chunks().to_batches()
 
-    small = flat.mapInArrow(partial, flat.schema)
+    small = flat.mapInArrow(partial, shape)
     return small.select(
         *keys,
         "cand",

@@ -85,6 +85,28 @@ def test_record_stream_equals_batch(spark, ticks):
     assert late == {r[0] for r in W.late_rows(keyed(df), strategy, assigner, 2 * HOUR).select("event_id").collect()}
 
 
+@pytest.mark.parametrize("size,slide,combine", [(6, 10, True), (12, 6, True), (6, 10, False)])
+def test_gaps_overlaps_and_fractions(spark, ticks, size, slide, combine):
+    """Rows without a window keep their clock step, a row is late with all its windows, and sums keep their fractions."""
+    path, df = ticks
+    strategy, assigner = S.bounded(1000).every_tick(TICK), A.sliding(size * HOUR, slide * HOUR)
+    money = F.col("cents") / 7.0
+    measures = [W.count(), W.total("part", money), W.average("mean", money), W.value_of_largest("dearest", F.col("event_id"), F.col("cents"))]
+    got, _ = run(spark, path, df.schema, strategy, assigner, measures=measures, combine=combine)
+    want = W.window_firings(keyed(df), strategy, assigner, measures).where("fired_at is not null")
+    names = ["k", "window_start", "window_end", "elements", "wm", "dearest", "part", "mean"]
+    own, other = [sorted(tuple(r) for r in d.select(*names).collect()) for d in (got.where("tag = 'firing'"), want)]
+    assert [r[:6] for r in own] == [r[:6] for r in other] and len(own) > 10
+    assert all(a[6:] == pytest.approx(b[6:], rel=1e-9) for a, b in zip(own, other))
+    late = got.where("tag = 'late'").agg(F.sum("elements")).first()[0] or 0
+    assert late == W.late_rows(keyed(df), strategy, assigner).count()
+
+
+def test_batches_are_refused(ticks):
+    with pytest.raises(ValueError, match="window_firings"):
+        SW.stream_windows(keyed(ticks[1]), S.bounded(1000), A.tumbling(HOUR))
+
+
 def test_restart_continues(spark, ticks):
     path, df = ticks
     strategy, assigner = S.bounded(1000).every_tick(TICK), A.tumbling(6 * HOUR)
