@@ -17,6 +17,7 @@ import json
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from keyclock.llm.shared import Memo, byte_letters, once, shared_folder, slices
 
 PART_IDS = 1 << 17
-MEMO = 120_000
+MEMO = 200_000
 _MAGIC = b"KCS8"
 _PARTS = "shard int, part int, first_id long, n_ids long, body binary"
 
@@ -36,9 +37,8 @@ _PARTS = "shard int, part int, first_id long, n_ids long, body binary"
 def encoder(tokenizer_path: str) -> Callable[[list[str]], list[bytes]]:
     """A function from texts to their ids (uint32, little-endian) as the tokenizers library gives them.
 
-    A plain byte-level vocabulary never joins what stands on the two sides of a single space between words, so texts are cut there and
-    every distinct word goes to the library once: words of letters alone straight to its BPE model, all others (marks, digits, line
-    breaks inside) through its whole path. Texts with odd spacing, and all texts of any other vocabulary, are encoded whole.
+    A plain byte-level vocabulary never joins what stands before a single space or line break between words with it, so texts are cut
+    there and every distinct word goes to the library once: words of letters straight to its BPE model, all others through its whole path. Texts with odd spacing, and all texts of any other vocabulary, are encoded whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -53,38 +53,44 @@ def encoder(tokenizer_path: str) -> Callable[[list[str]], list[bytes]]:
     words, seen = tokenizer.model, Memo(MEMO)
 
     def raw(ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def whole(texts: list[str]) -> list[bytes]:
         return [raw(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def letters(word: str) -> list[int]:
+    def letters(word: str, space: bool) -> bytes:
+        """A word of letters, after a space or a line break."""
         if not word.isascii():
             word = word.encode("utf-8").decode("latin-1").translate(table)
-        return [t.id for t in words.tokenize("\u0120" + word)]
+        return raw([t.id for t in words.tokenize("\u0120" + word if space else word)])
 
-    marks = {m: [t.id for t in words.tokenize(m)] for m in ".,;:!?"} if separable else {}
+    marks = {m: raw([t.id for t in words.tokenize(m)]) for m in ".,;:!?"} if separable else {}
+    broken = raw([t.id for t in words.tokenize("\u010a")]) if separable else b""
 
     def learn(new: list[str]) -> dict[str, bytes | None]:
-        """Ids of each word with a space before it; None of what is empty or has white space at an end."""
+        """Ids of each word with the space or line break before it; None of what is empty or has more white space at an end."""
         got: dict[str, bytes | None] = {}
         others = []
         for x in new:
-            if x.isalpha():
-                got[x] = raw(letters(x))
-            elif x[-1:] in marks and x[:-1].isalpha():
-                got[x] = raw(letters(x[:-1]) + marks[x[-1]])
-            elif not x or x[0].isspace() or x[-1].isspace():
+            space = x[:1] != "\n"
+            body, ids = (x, b"") if space else (x[1:], broken)
+            if body.isalpha():
+                got[x] = ids + letters(body, space)
+            elif body[-1:] in marks and body[:-1].isalpha():
+                base = got.get(x[:-1]) or seen.young.get(x[:-1]) or seen.old.get(x[:-1]) or ids + letters(body[:-1], space)
+                got[x] = base + marks[body[-1]]
+            elif not body or body[0].isspace() or body[-1].isspace():
                 got[x] = None
             else:
                 others.append(x)
-        got.update(zip(others, whole([" " + x for x in others])))
+        got.update(zip(others, whole([" " + x if x[0] != "\n" else x for x in others])))
         return got
 
     def encode(texts: list[str]) -> list[bytes]:
         if not separable:
             return whole(texts)
-        parts = [t.split(" ") for t in texts]
+        # a break belongs to the word after it, as a space does
+        parts = [t.replace("\n", " \n").split(" ") for t in texts]
         heads = whole([p[0] for p in parts])
         known = seen.of(set().union(*(p[1:] for p in parts)), learn)
         out, odd = [], []
