@@ -89,12 +89,11 @@ class Memo:
             self.young, self.old = {}, self.young
         young, old = self.young, self.old
         new = []
-        for k in keys:
-            if k not in young:
-                if k in old:
-                    young[k] = old[k]
-                else:
-                    new.append(k)
+        for k in keys.difference(young):
+            if k in old:
+                young[k] = old[k]
+            else:
+                new.append(k)
         young.update(learn(new))
         return young
 

@@ -91,17 +91,17 @@ def encoder(tokenizer_path: str) -> Callable[[list[str]], list[bytes]]:
             return whole(texts)
         # a break belongs to the word after it, as a space does
         parts = [t.replace("\n", " \n").split(" ") for t in texts]
-        heads = whole([p[0] for p in parts])
-        known = seen.of(set().union(*(p[1:] for p in parts)), learn)
+        first = [p.pop(0) for p in parts]
+        known = seen.of(set().union(*parts), learn)
         out, odd = [], []
-        for i, (head, p) in enumerate(zip(heads, parts)):
+        for i, (head, ids, p) in enumerate(zip(first, whole(first), parts)):
             try:
-                out.append(b"".join([head, *map(known.__getitem__, p[1:])]))
+                out.append(ids + b"".join(map(known.__getitem__, p)))
             except TypeError:  # a None: odd spacing
                 out.append(b"")
                 odd.append(i)
             else:
-                if len(p) > 1 and (not p[0] or p[0][-1].isspace()):
+                if p and (not head or head[-1].isspace()):
                     odd.append(i)
         for i, ids in zip(odd, whole([texts[i] for i in odd])):
             out[i] = ids
