@@ -4,9 +4,12 @@
 2. The TF-IDF matrix of the benchmark's passages is factored by a randomised SVD whose passes over the rows run on Spark; only matrices of
    (terms x rank) size, bounded by ``TERMS`` and ``RANK``, meet on the driver.
 3. Every document is cut in half-overlapping windows of ``2 * STRIDE`` words; windows are folded into the latent space and searched for
-   items by cosine. The cosine's denominator holds the window's whole norm, words outside the benchmark too.
+   items by cosine. The cosine's denominator holds the window's whole norm, words outside the benchmark too. Few directions keep little
+   of many items, so an index of the items' rarest words is searched as well: a window is a candidate for every item of which enough of
+   these words stand around it.
 4. Candidates are checked: the longest common subsequence of words with what stands around the window must cover ``lcs`` of the item, and
-   ``answer`` of the item's rarest words (a quarter of them, where an answer sits) must be there.
+   ``answer`` of the item's rarest words (a quarter of them, where an answer sits) must be there. Whatever passes is a candidate by the
+   index, so neither rank nor block size nor ``cosine`` decides what is found. Items of very few words are found wherever these stand.
 
 The benchmark is the stated query set, searched in blocks of ``ITEMS`` items against all windows of all documents; per block the broadcast
 is bounded by ``ITEMS``, ``TERMS`` and ``RANK``. Documents are not shuffled. Nulls: null or wordless texts and items match nothing, null ids
@@ -38,6 +41,8 @@ ITEMS = 4096
 COSINE = 0.25
 LCS = 0.6
 ANSWER = 0.5
+#: Most places of rare words that are looked at together.
+PLACES = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -67,6 +72,42 @@ class Items:
             masks.append(own)
             distinct = sorted(set(words), key=lambda w: (-self.idf[self.place[w]], w))
             rare.append(set(distinct[: max(1, len(distinct) // 4)]))
+        size = np.array([len(w) for w in self.words], dtype=np.int64)
+        # places of which words count as sharing, and how many of them must be around a window; without an answer, as many as the LCS has
+        sharing = rare if answer > 0 else [set(w) for w in self.words]
+        need = np.array([max(1, int(np.ceil((answer * len(r) if answer > 0 else lcs * n) - 1e-9))) for r, n in zip(rare, size.tolist())], dtype=np.int64)
+        shared_items = np.repeat(np.arange(len(sharing)), [len(r) for r in sharing])
+        shared_words = np.array([self.place[w] for r in sharing for w in r], dtype=np.int64)
+
+        def by_words(place: np.ndarray, spot: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """All windows and items of which ``need`` shared words are around the window; ``spot`` is a word's place in the grid."""
+            known = np.flatnonzero(place >= 0)
+            known = known[np.argsort(place[known], kind="stable")]
+            often = np.bincount(place[known], minlength=len(self.idf))
+            begin, spots, top = np.cumsum(often) - often, spot[known], int(base[-1]) * STRIDE
+            group = (np.cumsum(often[shared_words]) - 1) // PLACES
+            group = np.maximum.accumulate(group[np.searchsorted(shared_items, shared_items)])  # an item stays whole
+            pairs = [np.zeros(0, np.int64)]
+            for g in np.unique(group).tolist():
+                items, words = shared_items[group == g], shared_words[group == g]
+                count = often[words]
+                at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin[words], count)
+                keys = np.sort(np.repeat(items, count) * top + spots[at])
+                item, first = keys // top, keys % top
+                last = np.arange(len(keys)) + need[item] - 1
+                ok = np.flatnonzero(last < len(keys))
+                ok = ok[item[last[ok]] == item[ok]]
+                item, first, last = item[ok], first[ok], first[last[ok]]
+                owner = np.searchsorted(base, first // STRIDE, side="right") - 1
+                ok = (last - first < 2 * STRIDE + 2 * size[item]) & (last // STRIDE < base[owner + 1])
+                item, first, last, owner = item[ok], first[ok], last[ok], owner[ok]
+                low = np.maximum(-((size[item] + 2 * STRIDE - last - 1) // STRIDE), base[owner])
+                high = np.minimum((first + size[item]) // STRIDE, base[owner + 1] - 1)
+                count = np.maximum(high - low + 1, 0)
+                window = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+                pairs.append(np.unique(window * len(size) + np.repeat(item, count)))
+            return np.divmod(np.concatenate(pairs), max(1, len(size)))
+
         squares = np.append(self.idf**2, self.other**2)
         # words that no item has are the last row, which is zero
         folded, ones = np.vstack((self.folded, np.zeros((1, self.folded.shape[1]), np.float32))), np.ones((1, STRIDE), np.float32)
@@ -74,6 +115,9 @@ class Items:
         def check(words: list[str], window: int, item: int) -> tuple[float, float]:
             size, own = len(self.words[item]), masks[item]
             around = words[max(0, window * STRIDE - size) : (window + 2) * STRIDE + size]
+            told = len(rare[item].intersection(around)) / len(rare[item])
+            if told < answer or sum(map(own.__contains__, around)) / size < lcs:
+                return 0.0, told
             # bit-parallel longest common subsequence: a zero bit for every word of the item that is in it
             full = (1 << size) - 1
             row = full
@@ -81,7 +125,7 @@ class Items:
                 hit = row & own.get(w, 0)
                 if hit:
                     row = (row + hit | row - hit) & full
-            return (size - row.bit_count()) / size, len(rare[item] & set(around)) / len(rare[item])
+            return (size - row.bit_count()) / size, told
 
         def search(texts: list[str]) -> list[list[tuple]]:
             get, out = self.place.get, [[] for _ in texts]
@@ -94,7 +138,8 @@ class Items:
             lengths = np.array([len(x) for x in lists])
             inside = np.arange(len(place)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             grid = np.full(base[-1] * STRIDE, -1, dtype=np.int64)
-            grid[np.repeat(base[:-1] * STRIDE, lengths) + inside] = place
+            spot = np.repeat(base[:-1] * STRIDE, lengths) + inside
+            grid[spot] = place
             mass = np.where(grid < 0, 0.0, squares[grid]).reshape(-1, STRIDE).sum(axis=1)
             mass += (np.bincount(base[:-1].repeat(lengths) + inside // STRIDE, place < 0, minlength=base[-1])) * squares[-1]
             grid, sums = grid.reshape(-1, STRIDE), np.zeros((base[-1] + 1, folded.shape[1]), dtype=np.float32)
@@ -106,7 +151,9 @@ class Items:
             vectors = sums[:-1] + np.where(follows[:, None], sums[1:], np.float32(0))
             norms = np.sqrt(mass + np.where(follows, np.append(mass[1:], 0.0), 0.0))
             near = vectors @ self.latent.T
-            windows, items = np.nonzero(near >= (cosine * norms)[:, None].astype(np.float32))
+            close = np.flatnonzero(near >= (cosine * norms)[:, None].astype(np.float32))
+            shared, having = by_words(place, spot, base)
+            windows, items = np.divmod(np.union1d(close, shared * len(size) + having), len(size))
             owner = np.searchsorted(base, windows, side="right") - 1
             best: dict[tuple[int, int], tuple] = {}
             for w, i, d in zip(windows.tolist(), items.tolist(), owner.tolist()):

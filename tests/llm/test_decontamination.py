@@ -60,3 +60,55 @@ def test_the_basis_is_that_of_a_full_decomposition(spark):
     basis = D.factored(rows, 30, 8)
     _, _, right = np.linalg.svd(matrix)
     assert np.allclose(basis @ basis.T, right[:8].T @ right[:8], atol=1e-4)
+
+
+def test_thousands_of_items_against_the_longest_common_subsequence_of_all_pairs(spark):
+    rnd = random.Random(4)
+    vocabulary = [f"v{i}" for i in range(9000)]
+    texts = [[vocabulary[int(9000 * rnd.random() ** 2)] for _ in range(300)] for _ in range(400)]
+    items = []
+    for i in range(3000):
+        own, n = texts[i % 400], rnd.randint(15, 59)
+        at = rnd.randint(0, 300 - n)
+        items.append((i, " ".join(own[at : at + n])))
+    docs, planted = [], set()
+    for d in range(200):
+        words, (i, item) = [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 200))], items[rnd.randrange(3000)]
+        own = item.split()
+        if d % 2:  # a paraphrase
+            for k in rnd.sample(range(len(own)), len(own) // 5):
+                own[k] = rnd.choice(vocabulary)
+        at = rnd.randint(0, len(words))
+        docs.append((d, " ".join([*words[:at], *own, *words[at:]]), "x", 1))
+        if not d % 2:
+            planted.add((d, i))
+    frame = spark.createDataFrame(docs, SCHEMA)
+    block = D.prepared(frame, items)
+    rare = [(lambda x: set(x[: max(1, len(x) // 4)]))(sorted(set(w), key=lambda w: (-block.idf[block.place[w]], w))) for w in block.words]
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before, row = row, [0] * (len(b) + 1)
+            for j, y in enumerate(b):
+                row[j + 1] = before[j] + 1 if x == y else max(before[j + 1], row[j])
+        return row[-1]
+
+    want = set()
+    for d, text, _, _ in docs:
+        words = text.split()
+        held = set(words)
+        for i, own in zip(block.ids, block.words):
+            n = len(own)
+            if sum(w in held for w in own) < 0.6 * n or 2 * len(rare[i] & held) < len(rare[i]):
+                continue
+            for w in range(-(-len(words) // D.STRIDE)):
+                around = words[max(0, w * D.STRIDE - n) : (w + 2) * D.STRIDE + n]
+                if 2 * len(rare[i] & set(around)) >= len(rare[i]) and lcs(own, around) >= 0.6 * n:
+                    want.add((d, i))
+    found = block.searcher(D.COSINE, D.LCS, D.ANSWER)([t for _, t, _, _ in docs])
+    got = {(d, m[0]) for d, own in enumerate(found) for m in own}
+    assert planted <= want
+    assert got == want
+    few = D.prepared(frame, items, rank=4).searcher(D.COSINE, D.LCS, D.ANSWER)([t for _, t, _, _ in docs])
+    assert {(d, m[0]) for d, own in enumerate(few) for m in own} == want
