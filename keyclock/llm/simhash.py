@@ -63,10 +63,14 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
     return majority(shingle_hashes(text, shingle, seed))
 
 
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct hashes of the text's word shingles, in order."""
+    return np.unique(shingle_hashes(text, shingle).view(">u8").ravel().astype(np.uint64))
+
+
 def wide_fingerprint(text: bytes, words: int, shingle: int) -> list[int]:
-    """Several fingerprints as if by independent hashes: every hash is mixed anew for each."""
-    hashes = shingle_hashes(text, shingle)
-    mixed, out = np.ascontiguousarray(hashes).view(">u8").ravel().astype(np.uint64), []
+    """Several fingerprints of the set of shingles as if by independent hashes: every hash is mixed anew for each."""
+    mixed, out = shingle_set(text, shingle), []
     for _ in range(words):
         out.append(majority(mixed.astype(">u8").view(np.uint8).reshape(-1, 8)))
         mixed = mixed * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)

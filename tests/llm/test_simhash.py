@@ -103,3 +103,12 @@ def test_components_of_chains_hubs_and_nothing(spark):
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {i: 100 for i in range(101, 161)} | {i: 5 for i in range(200, 260)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_repeated_line_does_not_change_the_wide_fingerprint():
+    words = [f"w{i}" for i in range(200)]
+    line = words[40:54]
+    once, often = " ".join(words + line), " ".join(words + line * 9)
+    tail = " ".join(line * 2)  # the shingles over the seam are in both
+    assert simhash.wide_fingerprint(f"{once} {tail}".encode(), 5, 5) == simhash.wide_fingerprint(f"{often} {tail}".encode(), 5, 5)
+    assert simhash.fingerprint(f"{once} {tail}".encode()) == plain(f"{once} {tail}")
