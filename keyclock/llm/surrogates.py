@@ -1,7 +1,8 @@
 """Personal data is replaced by keyed surrogates of the same type and form. DataFrame operations only.
 
 Found are e-mail addresses, phone numbers, IPv4 addresses, payment card numbers, secrets given as ``token = "..."`` or ``password=...``, and
-names after a title. Every distinct entity (its canonical form: digits of numbers, lower case of addresses and names) gets one surrogate
+names after a title: all their words, hyphens and apostrophes included, each as an entity of its own wherever else it stands in the text
+(particles such as "von" stay, and names that no title announces anywhere in the text are not found). Every distinct entity (its canonical form: digits of numbers, lower case of addresses and names) gets one surrogate
 from a keyed hash, so that an entity is the same everywhere it is mentioned and cannot be guessed without the key:
 
 * numbers keep length, grouping and country code; cards keep their first digit and a right check digit; addresses keep four parts of 1 to 254;
@@ -25,16 +26,21 @@ from pyspark.sql import functions as F
 from keyclock.llm.shared import let, removed, written
 
 #: Titles, by which gender is known, before a name.
-_TITLES = r"(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Господин|Госпожа|Κύριος|Κυρία)\.?"
+_TITLES = r"(?:(?:Mr|Mrs|Ms|Miss|Herr|Frau|Monsieur|Madame|Mme|Señor|Señora|Sr|Sra|Dr|Prof|Professor|Господин|Госпожа|Κύριος|Κυρία)\.?(?: (?:Dr|Prof)\.?)*)"
 _EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 _IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)"
 _CARD = r"(?<![\d+])(?:\d{16}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{15})(?!\d)"
 _PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w])"
 _SECRET = r"""(?i:\b(?:token|password|passwd|secret|api[_-]?key))\s*[=:]\s*["']?[A-Za-z0-9_+/.-]{8,}["']?"""
-_NAME = rf"(?<!\p{{L}}){_TITLES} \p{{Lu}}\p{{L}}+"
+_PART = r"(?:\p{Lu}['’]\p{Lu}\p{L}+|\p{Lu}\p{L}+)(?:[-'’]\p{Lu}\p{L}+)*"
+_PARTICLE = r"(?:von|van|der|den|de|del|della|da|di|du|la|le|zu|zur|ter)"
+_NAME = rf"(?<!\p{{L}}){_TITLES} {_PART}"
+#: All words of a name after a title; each is replaced by itself, there and where it stands without a title in the same text.
+_NAMES = rf"(?<!\p{{L}}){_TITLES} (?:{_PARTICLE} )*{_PART}(?: (?:{_PARTICLE} )*{_PART})*"
 PATTERN = "|".join((_SECRET, _EMAIL, _IP, _CARD, _PHONE, _NAME))
 #: Without one of these there is nothing to find; most texts stop here.
-_QUICK = rf"[@0-9=:]|{_TITLES} \p{{Lu}}"
+_NAMED = rf"{_TITLES} (?:{_PARTICLE} )*\p{{Lu}}"
+_QUICK = rf"[@0-9=:]|{_NAMED}"
 _HEX = "0123456789abcdef"
 
 
@@ -138,15 +144,26 @@ def surrogates(values: DataFrame, key: str) -> DataFrame:
     raise ValueError("the entities of a kind fill its forms: no distinct surrogates are left")
 
 
-def _found(text: Column) -> Column:
-    return F.when(text.rlike(_QUICK), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+def _pattern(text: Column) -> Column:
+    """What is looked for in this text: ``PATTERN``, and the words of its titled names, the longest first; null without such names."""
+    none = F.array().cast("array<string>")
+    runs = F.regexp_replace(F.array_join(F.regexp_extract_all(text, F.lit(_NAMES), F.lit(0)), "\n"), rf"(?m)^{_TITLES} ", "")
+    words = F.filter(F.split(runs, r"[ \n]"), lambda w: w.rlike(r"^\p{Lu}"))
+    words = F.array_distinct(F.concat(words, F.transform(words, F.upper)))
+    words = F.array_sort(F.when(text.rlike(_NAMED), words).otherwise(none), lambda a, b: F.length(b) - F.length(a))
+    return F.when(F.size(words) > 0, F.concat(F.lit(PATTERN + r"|(?<!\p{L})(?:"), F.array_join(words, "|"), F.lit(r")(?!\p{L})")))
+
+
+def _found(text: Column, pattern: Column) -> Column:
+    every = F.when(pattern.isNull(), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.regexp_extract_all(text, pattern, F.lit(0)))
+    return F.when(text.rlike(_QUICK), every).otherwise(F.array().cast("array<string>"))
 
 
 def _formed(entity: Column, kind: Column, shell_: Column, surrogate: Column) -> Column:
     """The surrogate in the form in which the entity stands in the text."""
     value = F.expr("substring(entity, length(shell) + 1)")
     spread = F.array_join(F.transform(F.filter(F.split(value, ""), lambda c: c != ""), lambda c, i: F.when(c.rlike("^[0-9]$"), F.substring(surrogate, F.length(digits(F.substring(value, F.lit(1), i + 1))), F.lit(1))).otherwise(c)), "")
-    named = F.when(value == F.upper(value), F.upper(surrogate)).otherwise(F.concat(F.upper(F.substring(surrogate, 1, 1)), F.expr("substring(surrogate, 2)")))
+    named = F.array_join(F.transform(F.filter(F.split(surrogate, ""), lambda c: c != ""), lambda c, i: F.when(F.substring(value, i + 1, F.lit(1)).rlike(r"^\p{Lu}$"), F.upper(c)).otherwise(c)), "")
     cased = F.when(value == F.upper(value), F.upper(surrogate)).otherwise(surrogate)
     quoted = F.concat(surrogate, F.regexp_extract(entity, """["']$""", 0))
     return F.concat(shell_, F.when(kind.isin("card", "phone"), spread).when(kind == "name", named).when(kind == "secret", quoted).when(kind == "email", cased).otherwise(surrogate))
@@ -156,7 +173,7 @@ def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     """``docs`` with surrogates in the text, and two columns more: ``n_entities`` and ``surrogates`` (in order of place)."""
     names = {n: f"{n}_{uuid.uuid4().hex}" for n in ("id", "hash", "reps")}
     d, h = F.col(id_col).cast("long"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    entities = docs.select(d.alias("d"), h.alias("h"), F.posexplode(_found(F.col(text_col))).alias("i", "entity"))
+    entities = docs.select(d.alias("d"), h.alias("h"), F.posexplode(_found(F.col(text_col), _pattern(F.col(text_col)))).alias("i", "entity"))
     entities = entities.withColumn("kind", kind_of(F.col("entity"))).withColumn("shell", shell(F.col("entity"), F.col("kind")))
     value = F.when(F.col("kind") == "secret", F.regexp_replace(F.expr("substring(entity, length(shell) + 1)"), """["']$""", "")).otherwise(F.expr("substring(entity, length(shell) + 1)"))
     entities = written(entities.withColumn("value", canonical(value, F.col("kind"))))
@@ -168,7 +185,9 @@ def replaced(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str =
     rows = docs.withColumns({names["id"]: d, names["hash"]: h})
     out = rows.join(lists, rows[names["id"]].eqNullSafe(lists[names["id"]]) & (rows[names["hash"]] == lists[names["hash"]]), "left")
     reps = F.coalesce(F.col(names["reps"]), F.array().cast("array<string>"))
-    parts = F.zip_with(F.split(F.col(text_col), PATTERN), reps, lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
+    pattern = _pattern(F.col(text_col))
+    pieces = F.when(pattern.isNull(), F.split(F.col(text_col), PATTERN)).otherwise(F.split(F.col(text_col), pattern))
+    parts = F.zip_with(pieces, reps, lambda p, r: F.concat(p, F.coalesce(r, F.lit(""))))
     text = F.when(F.size(reps) > 0, F.array_join(parts, "")).otherwise(F.col(text_col))
     kept = [text.alias(c) if c == text_col else docs[c] for c in docs.columns if c not in ("n_entities", "surrogates")]
     return out.select(*kept, F.size(reps).cast("long").alias("n_entities"), reps.alias("surrogates"))

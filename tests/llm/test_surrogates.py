@@ -64,3 +64,13 @@ def test_repeated_rows_clashing_columns_and_nothing(spark):
     got = S.replaced(docs, "k").collect()
     assert len(got) == 3 and len({r.text for r in got}) == 1 and {r.n_entities for r in got} == {3}
     assert S.replaced(docs.limit(0), "k").collect() == []
+
+
+def test_whole_names_and_later_mentions_without_a_title(spark):
+    text = "Mrs. Anna Müller met Dr. O'Brien and Prof. Dr. Anne-Marie von Berg. Later Müller left, Berg too; MÜLLER and O'Brien wrote. Mülleria stays."
+    got = run(spark, {1: text, 2: "Müller has no title here"})
+    out = got[1].text
+    assert not re.search(r"Anna|Müller(?!ia)|MÜLLER|Brien|Anne|Marie|Berg", out) and "Mülleria stays" in out
+    found = re.fullmatch(r"Mrs\. (\w{4}) (\w{6}) met Dr\. (\w'\w{5}) and Prof\. Dr\. \w{4}-\w{5} von (\w{4})\. Later (\w{6}) left, (\w{4}) too; (\w{6}) and (\w'\w{5}) wrote\. Mülleria stays\.", out)
+    assert found and found[2] == found[5] and found[7] == found[2].upper() and found[4] == found[6] and found[3] == found[8]
+    assert got[1].n_entities == 9 and got[2].text == "Müller has no title here"
