@@ -15,12 +15,12 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_AGG = {"max": F.max, "min": F.min, "sum": F.sum}
+_AGG = {"max": F.max, "min": F.min, "sum": F.sum, "xor": F.bit_xor}
 
 
 @dataclass(frozen=True)
 class Fold:
-    """Running ``max``, ``min`` or ``sum`` of ``value`` under the name ``out``."""
+    """Running ``max``, ``min``, ``sum`` or ``xor`` (of whole numbers, bit by bit) of ``value`` under the name ``out``."""
 
     out: str
     kind: str
