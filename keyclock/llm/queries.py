@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyclock.llm import decontamination, line_dedup, line_quality, mixing, simhash, surrogates, token_counts, token_files, toxicity, warc
+from keyclock.llm import byte_bpe, conversation_trie, decontamination, line_dedup, line_quality, mixing, simhash, surrogates, token_counts, token_files, toxicity, warc, whitening
 
 
 #: The key of the surrogates in the registered query; whoever keeps data private passes a secret one.
@@ -62,6 +62,20 @@ def op10_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_block_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.round_trips(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +89,9 @@ QUERIES = {
         op8_simhash_groups,
         op9_surrogates,
         op10_latent_leaks,
+        op11_block_whitening,
+        op12_byte_bpe,
+        op13_conversation_trie,
     )
 }
 _END, _NOTICE = (x.replace("'", "''") for x in (line_quality._CLOSING, line_quality._BOILERPLATE))
