@@ -63,23 +63,6 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
     return majority(shingle_hashes(text, shingle, seed))
 
 
-def shingle_set(text: bytes, shingle: int) -> np.ndarray:
-    """The distinct hashes of the text's word shingles, in order."""
-    return np.unique(shingle_hashes(text, shingle).view(">u8").ravel().astype(np.uint64))
-
-
-def wide_fingerprint(text: bytes, words: int, shingle: int) -> list[int]:
-    """Several fingerprints of the set of shingles as if by independent hashes: every hash is mixed anew for each."""
-    mixed, out = shingle_set(text, shingle), []
-    for _ in range(words):
-        out.append(majority(mixed.astype(">u8").view(np.uint8).reshape(-1, 8)))
-        mixed = mixed * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(31)
-        mixed *= np.uint64(0x94D049BB133111EB)
-        mixed ^= mixed >> np.uint64(29)
-    return out
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and text_hash of every row."""
 
@@ -177,8 +160,7 @@ def linked(home: np.ndarray, every: np.ndarray, radius: int) -> np.ndarray:
     label = np.arange(len(every))
     step = max(1, (1 << 20) // max(1, len(every)))
     for i in range(0, len(home), step):
-        far = sum(distance(every[home[i : i + step], None, w], every[None, :, w]).astype(np.int16) for w in range(every.shape[1]))
-        rows, cols = np.nonzero(far <= radius)
+        rows, cols = np.nonzero(distance(every[home[i : i + step], None], every[None, :]) <= radius)
         cut = np.flatnonzero(np.diff(rows)) + 1
         for near in np.split(cols, cut):
             if len(near) > 1:
@@ -192,66 +174,12 @@ def linked(home: np.ndarray, every: np.ndarray, radius: int) -> np.ndarray:
 def links(fps: DataFrame, radius: int = 4, bands: int = 4, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
     """Links ``a``, ``b`` that connect all of the distinct fingerprints ``fp`` that lie within ``radius`` bits of one another."""
     trees = forest(fps, radius, bands, leaf, sample)
-    return _linked(fps.select("fp"), "fp", ["fp"], [(0, t) for t in trees], radius)
-
-
-def near(home: np.ndarray, every: np.ndarray, radius: int, label: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within ``radius`` of a row of ``home`` and another of ``every``: without labels one for each that has any, the first other;
-    with labels all whose labels differ."""
-    step, left, right = max(1, (1 << 20) // max(1, len(every))), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(0, len(home), step):
-        some = home[i : i + step]
-        close = sum(distance(every[some, None, w], every[None, :, w]).astype(np.int16) for w in range(every.shape[1])) <= radius
-        if label is None:
-            close[np.arange(len(some)), some] = False
-            rows, cols = np.flatnonzero(close.any(axis=1)), close.argmax(axis=1)
-            cols = cols[rows]
-        else:
-            rows, cols = np.nonzero(close & (label[some][:, None] != label[None, :]))
-        left.append(some[rows])
-        right.append(cols)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def wide_trees(prints: DataFrame, key: str, words: list[str], bands: int = 5, leaf: int = LEAF, sample: int = SAMPLE) -> list[tuple[int, Tree]]:
-    """Trees without a share over the bands of every word, cut in two ways: bits that are neighbours, and every ``bands``-th bit."""
-    total = prints.count()
-    some = hash_sample(prints.select(key, *words), key, sample).toPandas()
-    scale = max(1.0, total / max(1, len(some)))
-    masks = [mask for mask, _ in bands_of(bands - 1, bands)] + [sum(1 << b for b in range(i, 64, bands)) for i in range(bands)]
-    return [(w, grow(some[c].to_numpy(dtype=np.int64).view(np.uint64), m, 0, scale, leaf)) for w, c in enumerate(words) for m in masks]
-
-
-def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``a``, ``b`` whose sets (``key``, ``shingles``: hashes in order, eight bytes each) have that Jaccard similarity or more."""
-
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                # equal hashes stand side by side in what both have
-                both = np.sort(np.concatenate((p, q)), kind="stable")
-                common = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok.append(common >= similarity * (len(p) + len(q) - common) - 1e-9)
-            yield pa.record_batch([c.filter(pa.array(ok, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
-
-    one, two = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(checked, "a long, b long")
-
-
-def _linked(prints: DataFrame, key: str, words: list[str], trees: list[tuple[int, Tree]], radius: int, find: str = "groups") -> DataFrame:
-    """Deals fingerprints to the shards of all trees (each with the word it looks at) and links them there: ``groups`` that hang together,
-    or pairs only, the ``first`` of each or all ``across`` different values of the column ``root``."""
-    own_key = [] if words == [key] else [key]
-    fields = [*own_key, *words, *(["root"] if find == "across" else [])]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in fields]
-            keys = columns[0].view(np.uint64)
-            for band, (word, tree) in enumerate(trees):
-                values = columns[len(own_key) + word].view(np.uint64)
+            column = batch.column(0).to_numpy(zero_copy_only=False)
+            values = column.view(np.uint64)
+            for band, tree in enumerate(trees):
                 own = np.zeros(len(values), dtype=np.int64)
                 rows, leaves = tree.leaves(values, 0)
                 own[rows] = leaves
@@ -259,24 +187,18 @@ def _linked(prints: DataFrame, key: str, words: list[str], trees: list[tuple[int
                 count = tree.tasks[leaves]
                 task = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 rows, leaves, count = np.repeat(rows, count), np.repeat(leaves, count), np.repeat(count, count)
-                mixed = (keys[rows] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                mixed = (values[rows] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
                 home = (leaves == own[rows]) & ((mixed % count.astype(np.uint64)).astype(np.int64) == task)
-                made = [np.full(len(rows), band, np.int32), leaves.astype(np.int32), task.astype(np.int32), home, *(c[rows] for c in columns)]
-                yield pa.record_batch([pa.array(c) for c in made], ["band", "leaf", "task", "home", *fields])
+                made = [np.full(len(rows), band, np.int32), leaves.astype(np.int32), task.astype(np.int32), home, column[rows]]
+                yield pa.record_batch([pa.array(c) for c in made], ["band", "leaf", "task", "home", "fp"])
 
     def shard(table: pa.Table) -> pa.Table:
-        every = np.stack([table.column(c).to_numpy().view(np.uint64) for c in words], axis=1)
-        home, keys = np.flatnonzero(table.column("home").to_numpy()), table.column(fields[0]).to_numpy()
-        if find != "groups":
-            order = np.argsort(keys, kind="stable")  # the first is the same in every shard
-            every, home, keys = every[order], np.flatnonzero(table.column("home").to_numpy()[order]), keys[order]
-            one, two = near(home, every, radius, table.column("root").to_numpy()[order] if find == "across" else None)
-            return pa.table({"a": pa.array(np.minimum(keys[one], keys[two])), "b": pa.array(np.maximum(keys[one], keys[two]))})
-        label = linked(home, every, radius)
-        other = np.flatnonzero(label != np.arange(len(every)))
+        keys = table.column("fp").to_numpy()
+        label = linked(np.flatnonzero(table.column("home").to_numpy()), keys.view(np.uint64), radius)
+        other = np.flatnonzero(label != np.arange(len(keys)))
         return pa.table({"a": pa.array(keys[other]), "b": pa.array(keys[label[other]])})
 
-    rows = prints.mapInArrow(dealt, "band int, leaf int, task int, home boolean, " + ", ".join(f"{c} long" for c in fields))
+    rows = fps.select("fp").mapInArrow(dealt, "band int, leaf int, task int, home boolean, fp long")
     return rows.groupBy("band", "leaf", "task").applyInArrow(shard, "a long, b long")
 
 
@@ -296,55 +218,14 @@ def groups(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: s
     return marked.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of ``docs`` of every group of near copies, with all its columns: that of the least id, rows without an id last.
-
-    Near copies share ``similarity`` or more of their word shingles, by exact count. Their fingerprints of 64 bits differ in some ten bits
-    already, so ``words`` of them are taken to search for candidates: no more bits differ than at that similarity, with four standard
-    deviations to spare, and one of 50 bands of about 13 bits agrees in full, as it does for about 996 of 1000 pairs at the very threshold
-    and for nearly all above it. Every text is checked against the first candidate of each shard; the links that hold make groups, and then
-    all candidates of different groups are checked. So nothing below the threshold links two texts; texts of one shingle set are one."""
-
-    from xxhash import xxh64_intdigest
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in slices(batch, 1):
-                texts = rows.column(1).to_pylist()
-                got = np.array([wide_fingerprint(t, words, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-                keys = pa.array(np.array([xxh64_intdigest(shingle_set(t, shingle).tobytes()) for t in texts], dtype=np.uint64).view(np.int64))
-                yield pa.record_batch([rows.column(0), rows.column(2), keys, *(pa.array(np.ascontiguousarray(got[:, w])) for w in range(words))], ["doc_id", "text_hash", "fp", *prints])
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in slices(batch, 1):
-                got = [shingle_set(t, shingle).tobytes() for t in rows.column(1).to_pylist()]
-                yield pa.record_batch([rows.column(0), pa.array(got, pa.binary())], ["key", "shingles"])
-
-    prints = [f"f{w}" for w in range(words)]
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("text_hash"))
-    marked = written(read.mapInArrow(hashed, "doc_id long, text_hash long, fp long, " + ", ".join(f"{c} long" for c in prints)))
-    apart = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    radius = int(64 * words * apart + 4 * np.sqrt(64 * words * apart * (1 - apart)))
-    distinct = marked.groupBy("fp").agg(*[F.first(c).alias(c) for c in prints], F.min(F.struct("text_hash", "doc_id")).alias("m"))
-    distinct = written(distinct.select("fp", *prints, F.col("m.text_hash").alias("text_hash"), F.col("m.doc_id").alias("doc_id")))
-    trees = wide_trees(distinct, "fp", prints)
-    pairs = written(_linked(distinct, "fp", prints, trees, radius, "first").distinct())
-    # only texts with candidates go on, one row each
-    some = distinct.join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp")
-    wanted = some.select("fp", F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
-    found = read.join(wanted, read.doc_id.eqNullSafe(wanted.i) & (read.text_hash == wanted.h)).select("fp", "text")
-    sets = written(found.mapInArrow(sets_of, "key long, shingles binary").dropDuplicates(["key"]))
-    held = written(alike(pairs, sets, similarity))
-    roots = components(held)
-    rooted = some.join(roots, some.fp == roots.node, "left").select("fp", *prints, F.coalesce("root", "fp").alias("root"))
-    across = _linked(written(rooted), "fp", prints, trees, radius, "across").distinct().join(pairs, ["a", "b"], "left_anti")
-    roots = components(held.unionAll(alike(across, sets, similarity)))
-    named = marked.join(roots, marked.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp"))
+def one_of_each(docs: DataFrame, radius: int = 4, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """One row of ``docs`` of every component of fingerprints that :func:`groups` finds, with all its columns: that of the least id, rows
+    without an id last; of several rows with that id the one whose text has the least hash."""
+    marked = written(fingerprints(docs, id_col, text_col, shingle))
+    named = marked.join(_rooted(marked, radius).select("fp", "root"), "fp")
     first = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("m"))
     keys = [f"{name}_{uuid.uuid4().hex}" for name in ("id", "hash")]
-    rows = docs.withColumns({keys[0]: F.col(id_col).cast("long"), keys[1]: F.xxhash64(text)})
+    rows = docs.withColumns({keys[0]: F.col(id_col).cast("long"), keys[1]: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
     first = first.select(F.col("m.doc_id").alias("i"), F.col("m.text_hash").alias("h"))
     kept = rows.join(first, rows[keys[0]].eqNullSafe(first.i) & (rows[keys[1]] == first.h), "left_semi")
     return kept.dropDuplicates(keys).drop(*keys)
