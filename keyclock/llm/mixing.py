@@ -9,7 +9,7 @@ a choice near the target.
 
 Rows are (id, size, chance) only. A source of any share of the rows is dealt to blocks by a hash of id and text, so that the result does
 not depend on partitions. Nulls: a null text has size 0, the null source is a source of its own and comes last, null ids are documents
-like others. Repeated rows are taken each on its own; where ids, sizes and sources are equal, which is which does not matter. A source
+like others. Rows of equal id, text and source are dealt as one, with their number; each of them gets its part of the copies. A source
 without words has target 0. An empty table gives an empty one. Only the three named columns are read.
 """
 
@@ -29,6 +29,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 BLOCK = 4096
 STAY = 32  # documents of a block that are left to the next level on purpose
 LAND = 128  # documents of a source that are left to land
+REPEATS = 4096  # rows that one row becomes within a task
 _EPS = 1e-9
 
 
@@ -136,28 +137,50 @@ def _level(rows: DataFrame, last: bool) -> DataFrame:
     return rows.groupBy("number", "block").applyInArrow(fly, rows.schema)
 
 
-def _row_hash(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))
+def _identity(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    """128 bits of what makes rows equal: id, text and source."""
+    i, t, s = F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")), F.col(source_col).cast("string")
+    return [F.xxhash64(F.lit(n), i, i.isNull(), t, s, s.isNull()) for n in (1, 2)]
 
 
-def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words, repeats counted), copies and a hash of id and text, of every row."""
+def repeated(rows: DataFrame, times: Column, place: str, many: bool) -> DataFrame:
+    """Every row as often as ``times`` says, numbered from 0 in ``place``. With ``many``, rows of very many repeats are spread over tasks."""
+    chunk, n = f"chunk_{uuid.uuid4().hex}", f"n_{uuid.uuid4().hex}"
+    zero = F.lit(0).cast("long")
+    rows = rows.withColumn(n, times.cast("long")).where(F.col(n) > 0)
+    few = rows.where(F.col(n) <= REPEATS) if many else rows
+    out = few.withColumn(place, F.explode(F.sequence(zero, F.col(n) - 1)))
+    if many:
+        some = rows.where(F.col(n) > REPEATS).withColumn(chunk, F.explode(F.sequence(zero, F.floor((F.col(n) - 1) / REPEATS))))
+        some = some.repartition(chunk).withColumn(place, F.explode(F.sequence(F.col(chunk) * REPEATS, F.least((F.col(chunk) + 1) * REPEATS, n) - 1)))
+        out = out.unionByName(some.drop(chunk))
+    return out.drop(n)
+
+
+def plan_of(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row for each set of equal rows (``h`` and ``h2`` stand for ``doc_id``, text and ``source``): ``size`` of one, how many there are
+    (``rows``), ``source_size``, ``target``, and how often all of them together are taken (``copies``).
+
+    Equal rows are added up before anything is dealt, so they never fill a block: whole copies of all of them, and the chance of one more."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), _row_hash(id_col, text_col).alias("h"))
-    rows = written(rows)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    h, h2 = _identity(id_col, text_col, source_col)
+    size = F.regexp_count(text, F.lit(WORD)).cast("long").alias("size")
+    each = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), h.alias("h"), h2.alias("h2"), size)
+    rows = written(each.groupBy("h", "h2").agg(*[F.first(c).alias(c) for c in ("doc_id", "source", "size")], F.count("*").alias("rows")))
+    sizes = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n"))
     plan = targets(sizes.select("source", "source_size"), weights, share, most)
     times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     plan = plan.join(sizes.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = plan.withColumns({"whole": F.floor(times + _EPS), "number": F.xxhash64("source", F.col("source").isNull())})
-    plan = plan.withColumn("chance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), times - F.col("whole"))))
-    plan = written(plan.withColumn("due", F.col("target") - F.col("whole") * F.col("source_size")))
-    open_ = rows.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    fields = ["doc_id", "source", "size", "source_size", "target", "whole", "number", "chance", "due", "n", "h"]
-    now = open_.select(*fields).withColumn("round", F.lit(0))
+    plan = plan.select(F.col("source").alias("s"), "source_size", "target", "n", times.alias("times"), F.xxhash64("source", F.col("source").isNull()).alias("number"))
+    open_ = rows.join(plan, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    open_ = open_.withColumn("whole", F.floor(F.col("times") * F.col("rows") + _EPS))
+    open_ = open_.withColumn("chance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("times") * F.col("rows") - F.col("whole"))))
+    open_ = written(open_.drop("times"))
+    due = open_.groupBy("number").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("due"))
+    now = open_.join(due, "number").withColumn("round", F.lit(0))
     settled = []
     while True:
-        now = now.withColumn("block", F.pmod(F.xxhash64("h", "doc_id", "round"), F.ceil(F.col("n") / block).cast("long")))
+        now = now.withColumn("block", F.pmod(F.xxhash64("h", "h2", "round"), F.ceil(F.col("n") / block).cast("long")))
         many = now.where(F.col("n") > block)
         if not many.limit(1).count():
             settled.append(_level(now, last=True))
@@ -172,15 +195,24 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    copies = (F.col("whole") + F.round("chance")).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"), F.col("h").alias("row_hash"))
+    return written(out.select("doc_id", "source", "h", "h2", "size", "rows", "source_size", "target", (F.col("whole") + F.round("chance")).cast("long").alias("copies")))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words, repeats counted) and copies of every row."""
+    plan = plan_of(docs, weights, share, most, block, id_col, text_col, source_col)
+    # the copies of equal rows are dealt evenly among them
+    copies = (F.floor(F.col("copies") / F.col("rows")) + (F.col("place") < F.col("copies") % F.col("rows")).cast("long")).cast("long")
+    every = repeated(plan, F.col("rows"), "place", many=bool(plan.where(F.col("rows") > REPEATS).limit(1).count()))
+    return every.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def applied(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as it is taken, with all its columns. Rows with equal ids and texts count as copies
-    of one, taken as often as they are together."""
-    key, many = f"hash_{uuid.uuid4().hex}", f"copies_{uuid.uuid4().hex}"
-    plan = mixed(docs, weights, share, most, BLOCK, id_col, text_col, source_col)
-    plan = plan.groupBy(F.col("row_hash").alias(key)).agg(F.sum("copies").alias(many)).where(F.col(many) > 0)
-    rows = docs.withColumn(key, _row_hash(id_col, text_col)).dropDuplicates([key])
-    return rows.join(plan, key).withColumn(many, F.explode(F.sequence(F.lit(1), F.col(many).cast("int")))).drop(key, many)
+    """The mix itself: every row of ``docs`` as often as it is taken, with all its columns. Rows with equal ids, texts and sources count as
+    copies of one, taken as often as they are together; of further columns that differ one row's values are kept."""
+    h, h2, copies, place = (f"{name}_{uuid.uuid4().hex}" for name in ("h", "h2", "copies", "place"))
+    plan = plan_of(docs, weights, share, most, BLOCK, id_col, text_col, source_col).where("copies > 0")
+    many = bool(plan.where(F.col("copies") > REPEATS).limit(1).count())
+    plan = plan.select(F.col("h").alias(h), F.col("h2").alias(h2), F.col("copies").alias(copies))
+    rows = docs.withColumns(dict(zip((h, h2), _identity(id_col, text_col, source_col)))).dropDuplicates([h, h2])
+    return repeated(rows.join(plan, [h, h2]), F.col(copies), place, many).drop(h, h2, copies, place)

@@ -74,3 +74,28 @@ def test_repeated_rows_nulls_and_nothing(spark):
     assert {r.source: r.target for r in got}["t"] == 0
     assert all(r.taken <= 2 * r.size for r in got)
     assert mixing.mixed(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_equal_rows_of_two_sources_stay_with_their_source(spark):
+    rows = [(1, "a b c d", "p", 1, ""), (1, "a b c d", "q", 1, ""), (2, "e f g", "p", 1, ""), (3, "h i j", "q", 1, "")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    plan = {(r.doc_id, r.source): r.copies for r in mixing.mixed(docs).collect()}
+    got = [(r.doc_id, r.source) for r in mixing.applied(docs).collect()]
+    assert {k: got.count(k) for k in plan} == plan and len(got) == sum(plan.values())
+    assert plan[1, "q"] > 0
+
+
+def test_twenty_thousand_equal_rows_fill_no_block(spark):
+    rows = [(7, "the same words", "hot", 1, "")] * 20_000 + [(i, "w " * (i % 50), "hot", 1, "") for i in range(100, 400)] + [(i, "v " * 30, "b", 1, "") for i in range(400, 500)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    plan = mixing.plan_of(docs)
+    assert plan.count() == 401
+    got = mixing.mixed(docs).collect()
+    assert len(got) == len(rows)
+    equal = [r.copies for r in got if r.doc_id == 7]
+    assert len(equal) == 20_000 and max(equal) - min(equal) <= 1
+    for s in ("hot", "b"):
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 50
+        assert all(r.taken <= 2 * r.size for r in mine)
+    assert mixing.applied(docs).count() == sum(r.copies for r in got)
