@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from math import gcd
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,6 +101,27 @@ class Sliding(WindowAssigner):
     def step(self):
         return self.slide_ms
 
+    @property
+    def slice_ms(self) -> int:
+        """Windows begin and end on multiples of this, so what lies between two of them is in the same windows."""
+        return gcd(self.size_ms, self.slide_ms)
+
+    @property
+    def overlaps(self) -> bool:
+        return self.slide_ms < self.size_ms
+
+    def slice_start(self, ts: str) -> Column:
+        return F.expr(f"`{ts}` - pmod(`{ts}` - {self.offset_ms}L, {self.slice_ms}L)")
+
+    def first_end(self, ts: str) -> Column:
+        """The end of the oldest window that a time (or the slice that begins there) is in."""
+        phase = (self.offset_ms + self.size_ms) % self.slide_ms
+        return F.expr(f"{floor_div_sql(f'`{ts}` - {phase}L', self.slide_ms)} * {self.slide_ms}L + {phase + self.slide_ms}L")
+
+    def last_end(self, ts: str) -> Column:
+        """The end of the newest one."""
+        return F.expr(f"`{ts}` - pmod(`{ts}` - {self.offset_ms}L, {self.slide_ms}L) + {self.size_ms}L")
+
     def covers_every_row(self) -> bool:
         return self.slide_ms <= self.size_ms
 

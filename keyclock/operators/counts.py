@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyclock.functions.assigners import WindowAssigner
 from keyclock.model import KeyedStream
 from keyclock.operators.scan import Fold, running
-from keyclock.operators.windows import Measure, _MERGE, classify_lateness, count
+from keyclock.operators.windows import Measure, _MERGE, classify_lateness, count, expanded, merge_aggs, plain_aggs
 from keyclock.functions.timeunits import floor_div
 from keyclock.strategy import WatermarkStrategy
 
@@ -36,23 +38,44 @@ def count_windows(ks: KeyedStream, size: int, *aggs: Column) -> DataFrame:
     )
 
 
-def sliding_count_windows(ks: KeyedStream, size: int, slide: int, *aggs: Column) -> DataFrame:
-    """After every ``slide`` rows of a key, the last ``size`` of them; ``window_no`` counts the firings from 0."""
+def sliding_count_windows(ks: KeyedStream, size: int, slide: int, *aggs: Column | Measure) -> DataFrame:
+    """After every ``slide`` rows of a key, the last ``size`` of them; ``window_no`` counts the firings from 0.
+
+    Given measures, rows are added up per slice of the greatest common divisor of both, and only slices go to the
+    firings they are in. Other aggregates (Columns) cannot be put together from parts, and copy rows instead."""
     if size <= 0 or slide <= 0:
         raise ValueError("window size and slide must be positive")
+    measures, results = expanded([a for a in aggs if isinstance(a, Measure)])
+    if len(results) < len(aggs) and results:
+        raise ValueError("either measures or Columns")
     n, step = F.col("__n"), F.lit(slide).cast("bigint")
-    # a row belongs to the firings at multiples of slide in [n, n + size)
-    first = floor_div(n + slide - 1, slide) * slide
-    last = floor_div(n + size - 1, slide) * slide
-    rows = numbered(ks).where(first <= last)
-    return (
-        rows.select("*", F.explode(F.sequence(first, last, step)).alias("__end"))
+    if len(results) < len(aggs):
+        rows, merged = numbered(ks).withColumn("__upto", n), [F.count("*").alias("elements"), *aggs]
+        width, merged_names = 1, None
+    else:
+        width = gcd(size, slide)
+        measures = [count("elements"), *measures]
+        rows = (
+            numbered(ks)
+            .groupBy(*ks.keys, (floor_div(n - 1, width) * width + width).alias("__upto"))
+            .agg(*plain_aggs(measures), F.max(n).alias("__n"))
+        )
+        merged, merged_names = merge_aggs(measures, rows), ["elements", *[c.alias(m) for m, c in results.items()]]
+    # a slice that ends at position e is in the firings at multiples of slide from e on, and less than size after its begin
+    upto = F.col("__upto")
+    first = floor_div(upto + slide - 1, slide) * slide
+    last = floor_div(upto - width + size, slide) * slide
+    fired = (
+        rows.where(first <= last)
+        .select("*", F.explode(F.sequence(first, last, step)).alias("__end"))
         .groupBy(*ks.keys, "__end")
-        .agg(F.count("*").alias("elements"), F.max("__n").alias("__seen"), *aggs)
+        .agg(F.max("__n").alias("__seen"), *merged)
         .where(F.col("__seen") == F.col("__end"))
         .withColumn("window_no", floor_div("__end", slide) - 1)
-        .drop("__end", "__seen")
     )
+    if merged_names is None:
+        return fired.drop("__end", "__seen")
+    return fired.select(*ks.keys, "window_no", *merged_names)
 
 
 def count_triggered(
@@ -74,7 +97,7 @@ def count_triggered(
     items = classify_lateness(ks, strategy, assigner, lateness_ms).where("window_status <> 'late'")
     group = [*ks.keys, "window_start", "window_end"]
     order = [F.col(ks.arrival), F.col(ks.tie)]
-    cut = floor_div(ks.arrival, ks.bucket_ms)
+    cut = ks.bucket()
     folds = [Fold("__n", "sum", _one())]
     if not purging:
         folds += [Fold(f"__r{i}", m.fold_kind(), m.item()) for i, m in enumerate(measures)]

@@ -34,7 +34,7 @@ def clocked_rows(ks: KeyedStream, strategy: WatermarkStrategy) -> DataFrame:
     order = [F.col(ks.arrival), F.col(ks.tie)]
     if strategy.emit == "record":
         return running(rows, keys, order, ks.bucket(), [fold], inclusive=False)
-    return running(rows, keys, order, floor_div(ks.arrival, ks.bucket_ms), [fold], unit=tick_of(ks, strategy))
+    return running(rows, keys, order, ks.bucket(), [fold], unit=tick_of(ks, strategy))
 
 
 def assign_watermarks(ks: KeyedStream, strategy: WatermarkStrategy) -> DataFrame:
@@ -54,6 +54,10 @@ def assign_watermarks(ks: KeyedStream, strategy: WatermarkStrategy) -> DataFrame
 def progress_rows(ks: KeyedStream, strategy: WatermarkStrategy, rows: DataFrame | None = None) -> DataFrame:
     """Clock steps: (clock keys, ``arrival``, ``wm_before`` or null, ``wm``), one per strict increase."""
     keys = clock_keys(ks, strategy)
+    if strategy.kind == "class" and strategy.emit == "tick":
+        from keyclock.streaming.process import clock_by_class
+
+        return clock_by_class(ks.timed(strategy).valid(), strategy, steps=True)
     if strategy.emit == "record":
         rows = clocked_rows(ks, strategy) if rows is None else rows
         return rows.where(F.col("__cand").isNotNull() & (F.col("__wm").isNull() | (F.col("__cand") > F.col("__wm")))).select(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyclock.functions.arrow import batch_of, records
-from keyclock.functions.assigners import WindowAssigner
+from keyclock.functions.assigners import Sliding, WindowAssigner
 from keyclock.functions.timeunits import floor_div, max_wm, min_wm
 from keyclock.model import KeyedStream
 from keyclock.operators.scan import Fold, running
@@ -87,6 +87,16 @@ def expanded(measures: list[Measure]) -> tuple[list[Measure], dict[str, Column]]
     return plain, results
 
 
+def plain_aggs(measures: list[Measure]) -> list[Column]:
+    return [_MERGE[m.kind](m.item()).alias(m.name) for m in measures]
+
+
+def merge_aggs(measures: list[Measure], partial: DataFrame) -> list[Column]:
+    """The same over partial results, in the type that one level of them has."""
+    how = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+    return [how[m.kind](m.name).cast(partial.schema[m.name].dataType).alias(m.name) for m in measures]
+
+
 def _check_lateness(lateness_ms: int) -> None:
     if lateness_ms < 0:
         raise ValueError("the allowed lateness must not be negative")
@@ -186,55 +196,92 @@ def late_counts(ks: KeyedStream, strategy: WatermarkStrategy, assigner: WindowAs
     )
 
 
+def _of_slices(partial: DataFrame, keys: list[str], assigner: Sliding, measures: list[Measure], first_end: str, *carried: str) -> DataFrame:
+    """Windows from partial results per slice: each goes to the windows from ``first_end`` to the newest that has the slice.
+
+    Rows are added up once, however many windows overlap; only what is left of a slice is copied. Items without a slice
+    (``carried`` columns, with a window end) pass through. ``carried`` columns are merged by their minimum.
+    """
+    ends = F.sequence(F.col(first_end), assigner.last_end("__slice"), F.lit(assigner.slide_ms).cast("bigint"))
+    ends = F.when(F.col("__slice").isNull(), F.array(first_end)).otherwise(ends)
+    spread = partial.select("*", F.explode(ends).alias("window_end"))
+    start = F.when(F.col("__slice").isNotNull(), F.col("window_end") - F.lit(assigner.size_ms).cast("bigint"))
+    aggs = merge_aggs(measures, partial) + [F.min(c).alias(c) for c in carried]
+    return spread.withColumn("window_start", start).groupBy(*keys, "window_start", "window_end").agg(*aggs)
+
+
+def open_from(assigner: Sliding, ts: str, delay_ms: int) -> Column:
+    """The end of the oldest window that takes a row, given the clock ``__wm`` before it; beyond the newest one if none does."""
+    # a window that a clock value leaves open ends beyond the last end it completes
+    still = assigner.end_reached(f"(__wm - {delay_ms}L)") + F.lit(assigner.slide_ms).cast("bigint")
+    return F.greatest(assigner.first_end(ts), F.when(F.col("__wm").isNotNull(), still))
+
+
+def _entry(assigner: WindowAssigner, delay_ms: int, lead: tuple[str, str], wm_before: str, wm_now: str, arrival: str) -> tuple[Column, Column]:
+    """(is this a clock step into a new cell, the step as a window-like item)"""
+    end = assigner.end_reached(f"({wm_now} - {delay_ms}L)")
+    rises = F.expr(f"{wm_now} is not null and ({wm_before} is null or {wm_now} > {wm_before})")
+    fresh = rises & (F.col(wm_before).isNull() | (end > assigner.end_reached(f"({wm_before} - {delay_ms}L)")))
+    no_time = F.lit(None).cast("bigint")
+    return fresh, F.struct(no_time.alias(lead[0]), end.alias(lead[1]), F.col(wm_now).alias("wm"), F.col(arrival).alias("fired_at"))
+
+
+def fired_by_clock(ks: KeyedStream, strategy: WatermarkStrategy, assigner: WindowAssigner, grouped: DataFrame, delay_ms: int = 0) -> DataFrame:
+    """Windows (keys, ``window_start``, ``window_end``, further columns) with the clock step that reached them: ``wm`` and ``fired_at``."""
+    if strategy.kind == "none":
+        return grouped.withColumns({"wm": max_wm(), "fired_at": F.lit(None).cast("bigint")})
+    fresh, item = _entry(assigner, delay_ms, ("window_start", "window_end"), "wm_before", "__now", "arrival")
+    steps = progress_rows(ks, strategy).withColumnRenamed("wm", "__now").where(fresh)
+    steps = steps.select(*clock_keys(ks, strategy), item.alias("__i")).select("*", "__i.*").drop("__i")
+    if strategy.scope == "stream":
+        return _fire_by_stream_clock(grouped, steps, ks.bucket_ms)
+    return _fire_by_key_clock(ks, grouped.unionByName(steps, allowMissingColumns=True), assigner)
+
+
 def panes(
     ks: KeyedStream,
     strategy: WatermarkStrategy,
     assigner: WindowAssigner,
-    aggs: list[Column],
+    measures: list[Measure],
     delay_ms: int = 0,
 ) -> DataFrame:
     """Rows accepted before the clock reached ``window_end - 1 + delay``, aggregated per (keys, window).
 
     Adds ``wm``, the watermark that reached it (end of event time if none did), and ``fired_at``, its arrival (null then).
     The clock steps that matter are those entering a new grid cell; they travel through the same explode and the same
-    aggregation as the rows, so a keyed run reads and shuffles the rows once.
+    aggregation as the rows, so a keyed run reads and shuffles the rows once. Overlapping windows are put together from
+    slices: the windows that still take a row are those from some end on, so rows are added up per slice and that end.
     """
-    rows = windowed(ks, strategy, assigner)
+    sliced = isinstance(assigner, Sliding) and assigner.overlaps
+    rows = clocked_rows(ks, strategy) if sliced else windowed(ks, strategy, assigner)
     wm, keys = F.col("__wm"), list(ks.keys)
     no_time = F.lit(None).cast("bigint")
     fused = strategy.scope == "key" and strategy.emit == "record" and strategy.kind != "none"
-
-    def step(wm_before: str, wm_now: str, arrival: str) -> tuple[Column, Column]:
-        """(is this a step into a new cell, the step as a window-like item)"""
-        end = assigner.end_reached(f"({wm_now} - {delay_ms}L)")
-        rises = F.expr(f"{wm_now} is not null and ({wm_before} is null or {wm_now} > {wm_before})")
-        fresh = rises & (F.col(wm_before).isNull() | (end > assigner.end_reached(f"({wm_before} - {delay_ms}L)")))
-        return fresh, F.struct(
-            no_time.alias("window_start"), end.alias("window_end"), F.col(wm_now).alias("wm"), F.col(arrival).alias("fired_at")
+    lead = ("__slice", "__first") if sliced else ("window_start", "window_end")
+
+    if sliced:
+        if not assigner.event_time:
+            raise ValueError("arrival-clock windows have no watermark; use window_aggregate")
+        first = open_from(assigner, ks.ts, delay_ms)
+        item = F.struct(assigner.slice_start(ks.ts).alias("__slice"), first.alias("__first"), no_time.alias("wm"), no_time.alias("fired_at"))
+        accepted = F.array(F.when(first <= assigner.last_end(ks.ts), item))
+    else:
+        accepted = _items(
+            ks,
+            assigner,
+            lambda w: ~passed(wm, _last(w), delay_ms),
+            lambda w: F.struct(w["window_start"], w["window_end"], no_time.alias("wm"), no_time.alias("fired_at")),
         )
-
-    accepted = _items(
-        ks,
-        assigner,
-        lambda w: ~passed(wm, _last(w), delay_ms),
-        lambda w: F.struct(w["window_start"], w["window_end"], no_time.alias("wm"), no_time.alias("fired_at")),
-    )
     fired = [F.min("wm").alias("wm"), F.min("fired_at").alias("fired_at")]
-    group = [*keys, "window_start", "window_end"]
     if fused:
-        fresh, item = step("__wm", "__cand", ks.arrival)
+        fresh, item = _entry(assigner, delay_ms, lead, "__wm", "__cand", ks.arrival)
         accepted = F.concat(accepted, F.array(F.when(fresh, item)))
-    grouped = _spread(rows, accepted, "*").groupBy(*group).agg(*aggs, *fired)
-    if strategy.kind == "none":
-        return grouped.withColumn("wm", max_wm())
-    if not fused:
-        fresh, item = step("wm_before", "__now", "arrival")
-        steps = progress_rows(ks, strategy).withColumnRenamed("wm", "__now").where(fresh)
-        steps = steps.select(*clock_keys(ks, strategy), item.alias("__i")).select("*", "__i.*").drop("__i")
-        if strategy.scope == "stream":
-            return _fire_by_stream_clock(grouped.drop("wm", "fired_at"), steps, ks.bucket_ms)
-        grouped = grouped.unionByName(steps, allowMissingColumns=True)
-    return _fire_by_key_clock(ks, grouped, assigner)
+    grouped = _spread(rows, accepted, "*").groupBy(*keys, *lead).agg(*plain_aggs(measures), *fired)
+    if sliced:
+        grouped = _of_slices(grouped, keys, assigner, measures, "__first", "wm", "fired_at")
+    if fused:
+        return _fire_by_key_clock(ks, grouped, assigner)
+    return fired_by_clock(ks, strategy, assigner, grouped.drop("wm", "fired_at"), delay_ms)
 
 
 def _fire_by_key_clock(ks: KeyedStream, grouped: DataFrame, assigner: WindowAssigner) -> DataFrame:
@@ -285,8 +332,7 @@ def window_firings(
     """
     _check_lateness(lateness_ms)
     measures, results = expanded(measures or [count()])
-    aggs = [_MERGE[m.kind](m.item()).alias(m.name) for m in measures]
-    first = panes(ks, strategy, assigner, aggs)
+    first = panes(ks, strategy, assigner, measures)
     named = [c.alias(n) for n, c in results.items()]
     out = [*ks.keys, "window_start", "window_end", "firing_no", *named, "wm", "fired_at", "result_ts"]
     result_ts = F.col("window_end") - 1
@@ -320,9 +366,21 @@ def window_firings(
     return done.withColumn("result_ts", result_ts).select(*out)
 
 
-def window_aggregate(ks: KeyedStream, assigner: WindowAssigner, *aggs: Column) -> DataFrame:
-    """Batch mode: every row counts, one result per (keys, window). Also serves arrival-clock windows."""
-    return assign_windows(ks, assigner).groupBy(*ks.keys, "window_start", "window_end").agg(*aggs)
+def window_aggregate(ks: KeyedStream, assigner: WindowAssigner, *aggs: Column | Measure) -> DataFrame:
+    """Batch mode: every row counts, one result per (keys, window). Also serves arrival-clock windows.
+
+    Given measures instead of Columns, overlapping windows are put together from slices and no row is copied."""
+    if not all(isinstance(a, Measure) for a in aggs):
+        return assign_windows(ks, assigner).groupBy(*ks.keys, "window_start", "window_end").agg(*aggs)
+    measures, results = expanded(list(aggs))
+    named, keys = [c.alias(n) for n, c in results.items()], list(ks.keys)
+    if isinstance(assigner, Sliding) and assigner.overlaps:
+        time = ks.ts if assigner.event_time else ks.arrival
+        partial = ks.valid().df.withColumn("__slice", assigner.slice_start(time)).groupBy(*keys, "__slice").agg(*plain_aggs(measures))
+        grouped = _of_slices(partial.withColumn("__first", assigner.first_end("__slice")), keys, assigner, measures, "__first")
+    else:
+        grouped = assign_windows(ks, assigner).groupBy(*keys, "window_start", "window_end").agg(*plain_aggs(measures))
+    return grouped.select(*keys, "window_start", "window_end", *named)
 
 
 def global_window(ks: KeyedStream, *aggs: Column) -> DataFrame:
@@ -336,9 +394,9 @@ def pane_rows(ks: KeyedStream, strategy: WatermarkStrategy, assigner: WindowAssi
     rows = _spread(windowed(ks, strategy, assigner), on_time, *ks.df.columns)
     pane = [*ks.keys, "window_start", "window_end"]
     order = [F.col(ks.arrival), F.col(ks.tie)]
-    cut = floor_div(ks.arrival, ks.bucket_ms)
+    cut = ks.bucket()
     placed = running(rows, pane, order, cut, [Fold("position", "sum", F.lit(1).cast("bigint"))])
-    fired = panes(ks, strategy, assigner, [F.count("*").alias("elements")]).select(*pane, "elements", "wm", "fired_at")
+    fired = panes(ks, strategy, assigner, [count()]).select(*pane, "elements", "wm", "fired_at")
     a, b = placed.alias("a"), fired.alias("b")
     same = None
     for c in pane:

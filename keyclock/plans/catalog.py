@@ -13,13 +13,14 @@ from keyclock.functions.timeunits import MAX_WM, MIN_WM, floor_div
 from keyclock.model import key_by
 from keyclock.operators import counts, joins, multisource, rolling, sessions, watermark
 from keyclock.operators import windows as W
+from keyclock.operators.aggregates import Aggregate, aggregate_firings
 from keyclock.operators.scan import Fold, running
 from keyclock.plans import reports
 from keyclock.plans.scenarios import HOUR, SCENARIOS, all_scenarios, arriving_events, replay
 from keyclock.sources import logs
 from keyclock.sources.replay import SideOutputs, declare, transform
 from keyclock.strategy import WatermarkStrategy
-from keyclock.streaming.process import IntervalJoinStream, KeyedProcessFunction, process_keyed
+from keyclock.streaming.process import KeyedProcessFunction, process_keyed
 from keyclock.streaming.triggers import CONTINUE, FIRE, EventTimeTrigger, TriggeredWindows
 
 QUERIES: dict = {}
@@ -251,7 +252,7 @@ SELECT k, s AS window_start, s + {3 * HOUR} AS window_end, count(*) AS elements
 FROM (SELECT k, arrival - arrival % {HOUR} - o.i * {HOUR} AS s FROM r, range(0, 3) o(i)) GROUP BY 1, 2, 3""",
 )
 def processing_time_sliding(spark, sf_dir):
-    return W.window_aggregate(replay(spark, sf_dir), A.processing_sliding(3 * HOUR, HOUR), F.count("*").alias("elements"))
+    return W.window_aggregate(replay(spark, sf_dir), A.processing_sliding(3 * HOUR, HOUR), W.count())
 
 
 @query(
@@ -419,6 +420,23 @@ def alignment_report(spark, sf_dir):
     return multisource.alignment_report(ks, CLOCK.with_alignment("sensors", HOUR, HOUR), "source")
 
 
+@query(
+    "alignment_changes",
+    _source_sql("global5")
+    + f""",
+h AS (SELECT source, tick, wm FROM g WHERE wm IS NOT NULL),
+m AS (SELECT tick, min(wm) AS group_wm FROM h GROUP BY tick),
+p AS (SELECT source, tick, wm, group_wm, wm - group_wm > {HOUR} AS paused FROM h JOIN m USING (tick)),
+l AS (SELECT *, lag(paused) OVER (PARTITION BY source ORDER BY tick) AS was FROM p)
+SELECT 'sensors' AS "group", source, tick, wm, group_wm, paused FROM l WHERE paused <> coalesce(was, false)""",
+)
+def alignment_changes(spark, sf_dir):
+    """When a source that runs ahead is paused, and when it is let go."""
+    ks = replay(spark, sf_dir, "global5")
+    ks = ks.with_df(ks.df.withColumn("source", F.col("event_id") % 4))
+    return multisource.alignment_changes(ks, CLOCK.with_alignment("sensors", HOUR, HOUR), "source")
+
+
 # --- lateness ---------------------------------------------------------------------------------------------------------
 
 _LATE = 2 * HOUR
@@ -539,7 +557,7 @@ def count_tumbling(spark, sf_dir):
 SELECT k, n // 4 - 1 AS window_no, elements, CAST(cents AS BIGINT) AS cents FROM s WHERE n % 4 = 0""",
 )
 def count_sliding(spark, sf_dir):
-    return counts.sliding_count_windows(replay(spark, sf_dir), 10, 4, F.sum(cents()).alias("cents"))
+    return counts.sliding_count_windows(replay(spark, sf_dir), 10, 4, W.total("cents", cents()))
 
 
 _TRIGGERED = f"""WITH {sql_clock()}, {sql_windows(24 * HOUR)},
@@ -581,38 +599,44 @@ def session_batch(spark, sf_dir):
     return sessions.sessions(replay(spark, sf_dir), _GAP, [W.count(), W.total("cents", cents())])
 
 
+#: (cents, id) as one number
+_PAIR = 1_000_000_000_000
+
+
 def _sql_sessions(late: int, bound: int = 1000) -> str:
-    """CTE ``s``: a row per step of every key, with the live sessions after it (``live``: from, to, n, fired) and what the step let out
-    (``fired``: sessions the clock passed, ``again``: a session fired once more, ``refused``). A last step without a row ends each key."""
+    """CTE ``s``: a row per step of every key, with the live sessions after it (``live``: from, to, n, cents, least (cents, id), fired) and
+    what the step let out (``fired``: sessions the clock passed, ``again``: a session fired once more, ``refused``). A last step without a
+    row ends each key."""
     touching = "[x for x in lv if x.a <= t + {g} AND x.z >= t]".format(g=_GAP)
+    kind = "STRUCT(a BIGINT, z BIGINT, n BIGINT, s BIGINT, lo BIGINT, f BOOLEAN)"
     return f"""{sql_rows("global50")},
-q AS (SELECT k, t_ms AS t, event_id AS id, row_number() OVER o AS n, max(t_ms - {bound + 1}) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm
+q AS (SELECT k, t_ms AS t, event_id AS id, cents AS c, row_number() OVER o AS n, max(t_ms - {bound + 1}) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wm
 FROM r WINDOW o AS (PARTITION BY k ORDER BY arrival, event_id)
-UNION ALL SELECT k, NULL, NULL, count(*) + 1, max(t_ms) - {bound + 1} FROM r GROUP BY k),
+UNION ALL SELECT k, NULL, NULL, NULL, count(*) + 1, max(t_ms) - {bound + 1} FROM r GROUP BY k),
 s(k, n, id, wm, live, fired, again, refused) AS (
-SELECT DISTINCT k, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS STRUCT(a BIGINT, z BIGINT, n BIGINT, f BOOLEAN)[]),
-CAST([] AS STRUCT(a BIGINT, z BIGINT, n BIGINT, f BOOLEAN)[]), CAST(NULL AS STRUCT(a BIGINT, z BIGINT, n BIGINT, f BOOLEAN)), false FROM r
+SELECT DISTINCT k, CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST([] AS {kind}[]),
+CAST([] AS {kind}[]), CAST(NULL AS {kind}), false FROM r
 UNION ALL
 SELECT k, n, id, wm, CASE WHEN t IS NULL OR refused THEN lv ELSE list_append([x for x in lv if NOT (x.a <= t + {_GAP} AND x.z >= t)], m) END,
 fired, CASE WHEN t IS NOT NULL AND NOT refused AND m.f AND wm >= m.z - 1 THEN m END, t IS NOT NULL AND refused
 FROM (SELECT *, coalesce(wm >= m0.z - 1 + {late}, false) AS refused,
-{{'a': m0.a, 'z': m0.z, 'n': m0.n, 'f': coalesce(wm >= m0.z - 1, false) OR m0.f}} AS m
+{{'a': m0.a, 'z': m0.z, 'n': m0.n, 's': m0.s, 'lo': m0.lo, 'f': coalesce(wm >= m0.z - 1, false) OR m0.f}} AS m
 FROM (SELECT *, {{'a': least(t, list_min([x.a for x in tc])), 'z': greatest(t + {_GAP}, list_max([x.z for x in tc])), 'n': 1 + CAST(coalesce(list_sum([x.n for x in tc]), 0) AS BIGINT),
+'s': c + CAST(coalesce(list_sum([x.s for x in tc]), 0) AS BIGINT), 'lo': least(c * {_PAIR} + id, list_min([x.lo for x in tc])),
 'f': len(tc) = 1 AND coalesce(tc[1].f AND tc[1].a <= t AND tc[1].z >= t + {_GAP}, false)}} AS m0
 FROM (SELECT *, {touching} AS tc
-FROM (SELECT q.k, q.n, q.t, q.id, q.wm, [x for x in s.live if NOT x.f AND coalesce(q.wm >= x.z - 1, false)] AS fired,
-[{{'a': x.a, 'z': x.z, 'n': x.n, 'f': x.f OR coalesce(q.wm >= x.z - 1, false)}} for x in s.live if NOT coalesce(q.wm >= x.z - 1 + {late}, false)] AS lv
+FROM (SELECT q.k, q.n, q.t, q.id, q.c, q.wm, [x for x in s.live if NOT x.f AND coalesce(q.wm >= x.z - 1, false)] AS fired,
+[{{'a': x.a, 'z': x.z, 'n': x.n, 's': x.s, 'lo': x.lo, 'f': x.f OR coalesce(q.wm >= x.z - 1, false)}} for x in s.live if NOT coalesce(q.wm >= x.z - 1 + {late}, false)] AS lv
 FROM s JOIN q ON q.k = s.k AND q.n = s.n + 1)))))"""
 
 
-@query(
-    "session_keyed",
-    f"""WITH RECURSIVE {_sql_sessions(HOUR)},
+_SESSION_ROWS = f"""WITH RECURSIVE {_sql_sessions(HOUR)},
 o AS (SELECT k, wm, false AS refired, unnest(fired) AS x FROM s
 UNION ALL SELECT k, wm, true, again FROM s WHERE again IS NOT NULL
-UNION ALL SELECT k, {MAX_WM}, false, unnest([x for x in live if NOT x.f]) FROM (SELECT *, max(n) OVER (PARTITION BY k) AS last FROM s) WHERE n = last)
-SELECT k, x.a AS window_start, x.z AS window_end, x.n AS elements, CAST(wm AS BIGINT) AS wm, refired FROM o""",
-)
+UNION ALL SELECT k, {MAX_WM}, false, unnest([x for x in live if NOT x.f]) FROM (SELECT *, max(n) OVER (PARTITION BY k) AS last FROM s) WHERE n = last)"""
+
+
+@query("session_keyed", _SESSION_ROWS + " SELECT k, x.a AS window_start, x.z AS window_end, x.n AS elements, CAST(wm AS BIGINT) AS wm, refired FROM o")
 def session_keyed(spark, sf_dir):
     return sessions.session_firings(replay(spark, sf_dir, "global50"), CLOCK, _GAP, lateness_ms=HOUR)
 
@@ -622,6 +646,19 @@ def session_keyed_late(spark, sf_dir):
     return sessions.session_firings(replay(spark, sf_dir, "global50"), CLOCK, _GAP, lateness_ms=HOUR, late=True)
 
 
+@query(
+    "session_measures",
+    _SESSION_ROWS
+    + f""" SELECT k, x.a AS window_start, x.z AS window_end, x.n AS elements, x.s AS cents, round(x.s / x.n, 6) AS mean,
+(x.lo % {_PAIR} + {_PAIR}) % {_PAIR} AS cheapest, CAST(wm AS BIGINT) AS wm, refired FROM o""",
+)
+def session_measures(spark, sf_dir):
+    """Sums, averages and the rows of least money in sessions against a clock: bridged sessions put them together."""
+    measures = [W.count(), W.total("cents", cents()), W.average("mean", cents()), W.value_of_smallest("cheapest", F.col("event_id"), cents())]
+    fired = sessions.session_firings(replay(spark, sf_dir, "global50"), CLOCK, _GAP, HOUR, measures=measures)
+    return fired.withColumn("mean", F.round("mean", 6))
+
+
 # --- user code --------------------------------------------------------------------------------------------------------
 
 _PANE_SQL = ",\n".join([sql_clock(), sql_steps(), sql_windows(6 * HOUR)])
@@ -663,6 +700,60 @@ def window_process_function(spark, sf_dir):
     return W.window_process(ks, CLOCK, A.tumbling(6 * HOUR), _swing, shape)
 
 
+class Scatter(Aggregate):
+    """How many, and how far they lie apart: count times the sum of squares less the square of the sum, in whole numbers."""
+
+    def __init__(self):
+        long = T.LongType()
+        super().__init__(
+            T.StructType([T.StructField(n, long) for n in ("n", "total", "squares")]),
+            T.StructType([T.StructField(n, long) for n in ("elements", "scatter")]),
+        )
+
+    def add(self, acc, row):
+        c, acc = row["cents"], acc or {"n": 0, "total": 0, "squares": 0}
+        return {"n": acc["n"] + 1, "total": acc["total"] + c, "squares": acc["squares"] + c * c}
+
+    def merge(self, a, b):
+        return {n: a[n] + b[n] for n in a}
+
+    def result(self, acc):
+        return {"elements": acc["n"], "scatter": acc["n"] * acc["squares"] - acc["total"] ** 2}
+
+
+_SCATTER = "CAST(count(*) * sum(cents * cents) - sum(cents) * sum(cents) AS BIGINT) AS scatter"
+
+
+def _scatter_rows(spark, sf_dir):
+    ks = _cents(replay(spark, sf_dir, "global50"))
+    return ks.with_df(ks.df.select("k", "t_ms", "arrival", "event_id", "cents"))
+
+
+@query(
+    "own_merge_firings",
+    _firing_sql(size=6 * HOUR, slide=2 * HOUR, scenario="global50", aggs=f"count(*) AS elements, {_SCATTER}", names="elements, scatter"),
+)
+def own_merge_firings(spark, sf_dir):
+    """An aggregate written by the user, merged by a function of its own, in windows that overlap."""
+    fired = aggregate_firings(_scatter_rows(spark, sf_dir), CLOCK, A.sliding(6 * HOUR, 2 * HOUR), Scatter())
+    return _fired(fired, "elements", "scatter")
+
+
+@query(
+    "own_merge_refirings",
+    _AVERAGED[: _AVERAGED.index("o AS (")]
+    + f"""o AS (SELECT v.k, v.window_start, v.window_end, v.step, any_value(v.wm) AS own_wm, any_value(v.at) AS own_at, count(*) AS elements, {_SCATTER.replace("cents", "y.cents")}
+FROM v JOIN y ON v.k = y.k AND v.window_start = y.window_start AND v.window_end = y.window_end AND y.step <= v.step GROUP BY 1, 2, 3, 4)
+SELECT o.k, o.window_start, o.window_end, row_number() OVER (PARTITION BY o.k, o.window_start, o.window_end ORDER BY o.step) AS firing_no, elements, scatter,
+CASE WHEN step > 0 THEN own_wm ELSE coalesce(p.pwm, {MAX_WM}) END AS wm, CASE WHEN step > 0 THEN own_at ELSE p.at END AS fired_at
+FROM o ASOF LEFT JOIN p ON o.k = p.k AND o.window_end - 1 <= p.pwm""",
+)
+def own_merge_refirings(spark, sf_dir):
+    """The same, continued by late rows."""
+    _, clock, assigner = _late_case(spark, sf_dir)
+    return aggregate_firings(_scatter_rows(spark, sf_dir), clock, assigner, Scatter(), _LATE).drop("result_ts")
+
+
 class DayReport(KeyedProcessFunction):
     """A timer at the end of every row's day; when the user's clock gets there, report the rows seen so far."""
 
@@ -728,6 +819,34 @@ def user_trigger_windows(spark, sf_dir):
     return process_keyed(ks, CLOCK, TriggeredWindows(_day, EarlyOnPurchase(), _count_up, _day_result, "t_ms"), shape).drop("tag")
 
 
+class LatestClick:
+    """A clock of one's own that speaks at the end of a tick: just before the latest click so far."""
+
+    def __init__(self):
+        self.top = None
+
+    def on_event(self, row, key, ts, out):
+        if row["event_type"] == "click":
+            self.top = ts if self.top is None else max(self.top, ts)
+
+    def on_periodic_emit(self, out):
+        if self.top is not None:
+            out.emit(self.top - 1)
+
+
+@query(
+    "generator_class_ticks",
+    sql_firings(_tick_sql()[5:].replace("max(t_ms - 1001) AS cand", "max(CASE WHEN event_type = 'click' THEN t_ms - 1 END) AS cand").replace(
+        "WHERE wm IS NULL OR cand > wm", "WHERE cand IS NOT NULL AND (wm IS NULL OR cand > wm)") + ",\n" + sql_windows(HOUR))
+    + "\nSELECT k, window_start, window_end, elements, wm, fired_at FROM f",
+)
+def generator_class_ticks(spark, sf_dir):
+    """A generator class whose periodic callback runs once a tick."""
+    ks = replay(spark, sf_dir)
+    ks = ks.with_df(ks.df.select("k", "t_ms", "arrival", "event_id", "event_type"))
+    return _fired(W.window_firings(ks, S.generator(LatestClick).every_tick(_TICK), A.tumbling(HOUR)))
+
+
 class EveryTenth:
     """A clock of one's own: after every tenth row of a key, the largest time so far."""
 
@@ -909,11 +1028,17 @@ UNION ALL SELECT 'late_left', event_id, NULL FROM z WHERE late AND event_type =
 UNION ALL SELECT 'late_right', NULL, event_id FROM z WHERE late AND event_type = 'purchase'""",
 )
 def connected_streams(spark, sf_dir):
-    """Two streams in one process function: the interval join with buffers and late outputs, per user."""
+    """Two streams with a clock per user and side: the pairs within a day, and the late rows of either."""
     left, right = [key_by(s.df, "user_id", ts="t_ms", arrival="arrival", tie="event_id") for s in _two_streams(spark, sf_dir, "global50", "user_id")]
-    shape = T.StructType([T.StructField("left_id", T.LongType()), T.StructField("right_id", T.LongType())])
-    join = IntervalJoinStream(-24 * HOUR, 24 * HOUR, 1000, "t_ms", "event_id")
-    return process_keyed(joins.connect(left, right), CLOCK, join, shape)
+    join = joins.interval_join(left, right, -24 * HOUR, 24 * HOUR, strategy=CLOCK)
+    nothing = F.lit(None).cast("bigint")
+
+    def ids(df, tag, one, two):
+        return df.select(F.lit(tag).cast("string").alias("tag"), one.alias("left_id"), two.alias("right_id"))
+
+    pairs = ids(join.joined, None, F.col("left.event_id"), F.col("right.event_id"))
+    late = ids(join.late_left, "late_left", F.col("event_id"), nothing).unionByName(ids(join.late_right, "late_right", nothing, F.col("event_id")))
+    return pairs.unionByName(late)
 
 
 class LatestOther(KeyedProcessFunction):

@@ -23,7 +23,7 @@ from keyclock.functions.arrow import batch_of, records
 from keyclock.functions.timeunits import MAX_WM, MIN_WM
 from keyclock.model import KeyedStream
 from keyclock.strategy import WatermarkStrategy
-from keyclock.streaming.windows import use_state_store
+from keyclock.streaming.windows import Emitted, use_state_store
 
 
 class KeyedProcessFunction:
@@ -271,37 +271,60 @@ class IntervalJoinStream(KeyedProcessFunction):
             buffers["right"] = [e for e in buffers["right"] if e[0] - self.lower >= wm]
 
 
-def clock_by_class(ks: KeyedStream, strategy: WatermarkStrategy) -> DataFrame:
+def clock_by_class(ks: KeyedStream, strategy: WatermarkStrategy, steps: bool = False) -> DataFrame:
     """Rows with ``__wm`` and ``__cand`` from a generator class with ``on_event`` and ``on_periodic_emit``.
 
     One instance serves one key; both callbacks get an object whose ``emit(wm)`` proposes a watermark. The periodic
-    callback runs after every row.
+    callback runs after every row, or in tick mode at the end of every tick that has rows of the key; what was emitted until
+    then counts from the next tick on. ``steps=True`` gives (keys, ``arrival``, ``wm_before``, ``wm``) of every increase instead.
     """
-    if strategy.emit != "record" or strategy.scope != "key":
-        raise ValueError("generator classes run per key and record by record")
-    keys, ts, make = list(ks.keys), ks.ts, strategy.generator_class
+    if strategy.scope != "key":
+        raise ValueError("generator classes run per key")
+    keys, ts, at, make = list(ks.keys), ks.ts, ks.arrival, strategy.generator_class
+    tick_ms = strategy.tick_ms if strategy.emit == "tick" else None
     long = T.LongType()
     schema = T.StructType([*ks.df.schema.fields, T.StructField("__cand", long), T.StructField("__wm", long)])
+    risen = T.StructType([*[ks.df.schema[k] for k in keys], *[T.StructField(n, long) for n in ("arrival", "wm_before", "wm")]])
 
-    class Out:
-        wm = None
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, gen, out, seen, tick = None, None, Emitted(), None, None
 
-        def emit(self, wm):
-            self.wm = wm if self.wm is None else max(self.wm, wm)
+        def ended(found) -> int | None:
+            """The tick is over: the periodic callback, and what counts from now on."""
+            gen.on_periodic_emit(out)
+            if out.wm is not None and (seen is None or out.wm > seen):
+                found.append({**dict(zip(keys, current)), "arrival": (tick + 1) * tick_ms, "wm_before": seen, "wm": out.wm})
+            return out.wm
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, gen, out = None, None, Out()
         for batch in batches:
-            before, after = [], []
+            before, after, found = [], [], []
             for row in batch.to_pylist():
                 key = tuple(row[k] for k in keys)
+                now = None if tick_ms is None else row[at] // tick_ms
                 if gen is None or key != current:
-                    current, gen, out = key, make(), Out()
-                before.append(out.wm)
+                    if gen is not None and tick_ms is not None:
+                        ended(found)
+                    current, gen, out, seen = key, make(), Emitted(), None
+                elif now != tick:
+                    seen = ended(found)
+                tick = now
+                before.append(seen)
                 gen.on_event(row, key[0] if len(key) == 1 else key, row[ts], out)
-                gen.on_periodic_emit(out)
+                if tick_ms is None:
+                    gen.on_periodic_emit(out)
+                    if out.wm is not None and (seen is None or out.wm > seen):
+                        found.append({**dict(zip(keys, key)), "arrival": row[at], "wm_before": seen, "wm": out.wm})
+                    seen = out.wm
                 after.append(out.wm)
-            columns = [*batch.columns, pa.array(after, pa.int64()), pa.array(before, pa.int64())]
-            yield pa.record_batch(columns, [*batch.schema.names, "__cand", "__wm"])
-
-    return ks.df.repartition(*keys).sortWithinPartitions(*keys, ks.arrival, ks.tie).mapInArrow(fold, schema)
+            if steps:
+                yield batch_of(found, risen)
+            else:
+                columns = [*batch.columns, pa.array(after, pa.int64()), pa.array(before, pa.int64())]
+                yield pa.record_batch(columns, [*batch.schema.names, "__cand", "__wm"])
+        if steps and gen is not None and tick_ms is not None:
+            found = []
+            ended(found)
+            yield batch_of(found, risen)
+
+    rows = ks.df.repartition(*keys).sortWithinPartitions(*keys, ks.arrival, ks.tie)
+    return rows.mapInArrow(fold, risen if steps else schema)

@@ -7,19 +7,25 @@ mode. Spark's own stream-wide watermark is never set here, a key's clock only mo
 
 from __future__ import annotations
 
+import pickle
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from keyclock.functions.arrow import batch_of
 from keyclock.functions.assigners import WindowAssigner
+from keyclock.functions.merging import merge
 from keyclock.functions.timeunits import MAX_WM
 from keyclock.model import KeyedStream
+from keyclock.operators.aggregates import Aggregate, with_results
 from keyclock.operators.windows import Measure, expanded
 from keyclock.strategy import WatermarkStrategy
 
@@ -32,53 +38,78 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def _merge(kind: str, a, b):
-    if a is None or b is None:
-        return b if a is None else a
-    return a + b if kind in ("count", "sum") else (min if kind == "min" else max)(a, b, key=_rank)
-
-
-def _rank(v):
-    """Pairs compare as Spark compares structs, nulls first."""
-    parts = v.values() if isinstance(v, dict) else v if isinstance(v, tuple) else (v,)
-    return tuple((x is not None, x) for x in parts)
-
-
 @dataclass(frozen=True)
 class WindowSpec:
     """What the processor needs to know; the window columns are computed before it, by Spark."""
 
     keys: tuple[str, ...]
-    kinds: tuple[str, ...]
+    kinds: tuple
     types: tuple[T.DataType, ...]
     lateness_ms: int
     tick: bool
     state_ttl_ms: int | None = None
+    generator: Any = None
+
+
+class Emitted:
+    """What a generator class emits to; the highest counts."""
+
+    def __init__(self, wm: int | None = None):
+        self.wm = wm
+
+    def emit(self, wm: int) -> None:
+        self.wm = wm if self.wm is None else max(self.wm, wm)
+
+
+def _flat(v):
+    """Pairs and accumulators as plain tuples, as the state store takes them."""
+    if isinstance(v, dict):
+        return tuple(_flat(x) for x in v.values())
+    return tuple(_flat(x) for x in v) if isinstance(v, tuple) else v
 
 
 class KeyClockProcessor(StatefulProcessor):
-    """Input rows: keys, ``cand``, ``ts``, ``at``, ``tie``, ``n``, ``wins`` (array of start/end), measures ``m0``, ``m1``, ..."""
+    """Input rows: keys, ``cand``, ``ts``, ``at``, ``tie``, ``n``, ``wins`` (array of start/end), measures ``m0``, ``m1``, ...
+
+    Kept per key: the clock with a list of the open windows in order of their ends, and the contents of each window on its
+    own. A batch reads and writes the windows its rows are in and those the clock reaches, however many are open."""
 
     def __init__(self, spec: WindowSpec, out: T.StructType):
         self.spec, self.out = spec, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         ttl = self.spec.state_ttl_ms
-        self._clock = handle.getValueState("clock", T.StructType([T.StructField("wm", _LONG)]), ttl)
+        clock = [T.StructField("wm", _LONG), T.StructField("open", T.ArrayType(_LONG)), T.StructField("generator", T.BinaryType())]
+        self._clock = handle.getValueState("clock", T.StructType(clock), ttl)
         window = T.StructType([T.StructField("window_start", _LONG), T.StructField("window_end", _LONG)])
         pane = [T.StructField("firing_no", _LONG), T.StructField("elements", _LONG)]
         pane += [T.StructField(f"m{i}", t) for i, t in enumerate(self.spec.types)]
         self._panes = handle.getMapState("panes", window, T.StructType(pane), ttl)
 
+    def _pane(self, w: tuple[int, int]) -> list:
+        """The contents of a window, read when they are first asked for."""
+        if w not in self._read:
+            stored = self._panes.getValue(w) if (w[1], w[0]) in self._known else None
+            values = [v.asDict(recursive=True) if isinstance(v, Row) else v for v in stored] if stored else [0, 0] + [None] * len(self.spec.kinds)
+            self._read[w] = values
+        return self._read[w]
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         spec = self.spec
         stored = self._clock.get() if self._clock.exists() else None
-        wm = stored[0] if stored else None
-        panes = {tuple(w): list(p) for w, p in self._panes.iterator()}
-        dirty, gone = set(), set()
-        ahead = wm
-
-        if not spec.tick:
+        wm, flat, kept = stored if stored else (None, [], None)
+        self._open = list(zip(flat[::2], flat[1::2]))  # (end, start), sorted
+        self._known, self._read, self._dirty, self._gone = set(self._open), {}, set(), set()
+        known = set(self._open)
+        ahead, before = wm, (wm, list(flat))
+        generator, told = None, Emitted(wm)
+        if spec.generator is not None:
+            generator = spec.generator()
+            if kept is not None:
+                generator.__dict__.update(pickle.loads(kept))
+        who = key[0] if len(key) == 1 else tuple(key)
+
+        if not spec.tick or generator is not None:
             rows = sorted(rows, key=lambda r: (r.at, r.tie))
         for r in rows:
             skipped = True
@@ -87,40 +118,60 @@ class KeyClockProcessor(StatefulProcessor):
                 if wm is not None and w[1] - 1 + spec.lateness_ms <= wm:
                     continue
                 skipped = False
-                pane = panes.setdefault(w, [0, 0] + [None] * len(spec.kinds))
+                pane = self._pane(w)
+                if (w[1], w[0]) not in known:
+                    known.add((w[1], w[0]))
+                    insort(self._open, (w[1], w[0]))
                 pane[1] += r.n
                 for i, kind in enumerate(spec.kinds):
-                    pane[2 + i] = _merge(kind, pane[2 + i], r[f"m{i}"])
-                dirty.add(w)
+                    own = r[f"m{i}"]
+                    pane[2 + i] = merge(kind, pane[2 + i], own.asDict(recursive=True) if isinstance(own, Row) else own)
+                self._dirty.add(w)
                 if wm is not None and w[1] - 1 <= wm:
                     pane[0] += 1
                     yield self._fired(key, w, pane, wm, r.at)
             if skipped and wm is not None and r.ts + spec.lateness_ms <= wm:
                 yield self._late(key, r, wm)
-            if r.cand is not None and (ahead is None or r.cand > ahead):
-                ahead = r.cand
+            if generator is None:
+                cand = r.cand
+            else:
+                generator.on_event(r.row.asDict(recursive=True), who, r.ts, told)
                 if not spec.tick:
-                    yield from self._advance(key, panes, dirty, gone, wm, ahead, r.at)
+                    generator.on_periodic_emit(told)
+                cand = told.wm
+            if cand is not None and (ahead is None or cand > ahead):
+                ahead = cand
+                if not spec.tick:
+                    yield from self._advance(key, known, wm, ahead, r.at)
                     wm = ahead
+        if spec.tick and generator is not None:
+            generator.on_periodic_emit(told)
+            ahead = told.wm
         if spec.tick and ahead != wm:
-            yield from self._advance(key, panes, dirty, gone, wm, ahead, None)
-        if ahead is not None and (stored is None or ahead != stored[0]):
-            self._clock.update((ahead,))
-        for w in gone:
-            if self._panes.containsKey(w):
+            yield from self._advance(key, known, wm, ahead, None)
+        flat = [x for w in self._open for x in w]
+        if generator is not None or (ahead, flat) != before:
+            self._clock.update((ahead, flat, None if generator is None else pickle.dumps(generator.__dict__)))
+        for w in self._gone:
+            if (w[1], w[0]) in self._known:
                 self._panes.removeKey(w)
-        for w in dirty - gone:
-            self._panes.updateValue(w, tuple(panes[w]))
-
-    def _advance(self, key, panes, dirty, gone, old, new, at):
-        for w in sorted(panes, key=lambda w: w[1]):
-            if w[1] - 1 <= new and (old is None or w[1] - 1 > old):
-                panes[w][0] += 1
-                dirty.add(w)
-                yield self._fired(key, w, panes[w], new, at)
-        for w in [w for w in panes if w[1] - 1 + self.spec.lateness_ms <= new]:
-            del panes[w]
-            gone.add(w)
+        for w in self._dirty - self._gone:
+            self._panes.updateValue(w, tuple(_flat(v) for v in self._read[w]))
+
+    def _advance(self, key, known, old, new, at):
+        """Fire what the clock reaches and drop what it leaves behind: both are stretches of the list of open windows."""
+        low = 0 if old is None else bisect_right(self._open, (old + 1, MAX_WM))
+        for end, start in self._open[low : bisect_right(self._open, (new + 1, MAX_WM))]:
+            w = (start, end)
+            pane = self._pane(w)
+            pane[0] += 1
+            self._dirty.add(w)
+            yield self._fired(key, w, pane, new, at)
+        past = bisect_right(self._open, (new + 1 - self.spec.lateness_ms, MAX_WM))
+        for w in self._open[:past]:
+            known.discard(w)
+            self._gone.add((w[1], w[0]))
+        del self._open[:past]
 
     def _fired(self, key, w, pane, wm, at) -> Row:
         return self._row(key, "firing", w, pane[0], pane[1], wm, at, None, None, pane[2:])
@@ -145,7 +196,7 @@ def _output_type(ks: KeyedStream, measures: list[Measure], types) -> T.StructTyp
 
 def measure_type(df: DataFrame, m: Measure) -> T.DataType:
     """The measure's own type; sums take the type that Spark's sum gives."""
-    value = df.select((F.sum(m.value) if m.kind == "sum" else m.value).alias("v"))
+    value = df.select((F.sum(m.value) if m.kind == "sum" else m.item()).alias("v"))
     return value.schema["v"].dataType
 
 
@@ -174,11 +225,15 @@ def stream_windows(
     use_state_store(ks.df.sparkSession)
     ks = ks.timed(strategy).valid()
     types = tuple(measure_type(ks.df, m) for m in measures)
-    spec = WindowSpec(ks.keys, tuple(m.kind for m in measures), types, lateness_ms, strategy.emit == "tick", state_ttl_ms)
+    own = strategy.kind == "class"
+    if own and combine:
+        raise ValueError("a generator class sees every row")
+    spec = WindowSpec(ks.keys, tuple(m.kind for m in measures), types, lateness_ms, strategy.emit == "tick", state_ttl_ms, strategy.generator_class)
     ts = F.col(ks.ts)
     rows = ks.df.select(
         *ks.keys,
-        strategy.proposes(ts).alias("cand"),
+        *([F.struct(*ks.df.columns).alias("row")] if own else []),
+        (F.lit(None).cast("bigint") if own else strategy.proposes(ts)).alias("cand"),
         ts.alias("ts"),
         F.col(ks.arrival).alias("at"),
         F.col(ks.tie).alias("tie"),
@@ -194,6 +249,31 @@ def stream_windows(
     return done.select(*[n for n in out.fieldNames() if n not in own], *[c.alias(n) for n, c in results.items()])
 
 
+def stream_aggregates(
+    ks: KeyedStream,
+    strategy: WatermarkStrategy,
+    assigner: WindowAssigner,
+    aggregate: Aggregate,
+    lateness_ms: int = 0,
+    combine: bool = False,
+    state_ttl_ms: int | None = None,
+) -> DataFrame:
+    """The same with an aggregate of one's own: every row becomes an accumulator, and accumulators are merged, with ``combine`` also
+    before the shuffle."""
+    own = aggregate.state
+    shape = T.StructType([*ks.df.schema.fields, T.StructField("__acc", own)])
+    kind = to_arrow_schema(T.StructType([T.StructField("__acc", own)])).field(0).type
+
+    def begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            accs = pa.array([aggregate.add(None, r) for r in b.to_pylist()], kind)
+            yield pa.record_batch([*b.columns, accs], [*b.schema.names, "__acc"])
+
+    rows = ks.with_df(ks.df.mapInArrow(begun, shape))
+    done = stream_windows(rows, strategy, assigner, [Measure("acc", aggregate.merge, F.col("__acc"))], lateness_ms, combine, state_ttl_ms)
+    return with_results(done, aggregate)
+
+
 def _combined(rows: DataFrame, keys, kinds) -> DataFrame:
     """Partial sums of an input partition: one row per key and list of windows goes on.
 
@@ -211,7 +291,7 @@ def _combined(rows: DataFrame, keys, kinds) -> DataFrame:
         for r in b.to_pylist():
             own = found.setdefault(tuple(r[c] for c in by), r)
             if own is not r:
-                own.update({c: _merge(kind, own[c], r[c]) for c, kind in how.items()})
+                own.update({c: merge(kind, own[c], r[c]) for c, kind in how.items()})
         return batch_of(list(found.values()), shape)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
