@@ -104,8 +104,8 @@ def merged(partial: DataFrame, by: list[str], aggregate: Aggregate) -> DataFrame
 
 
 def with_results(rows: DataFrame, aggregate: Aggregate) -> DataFrame:
-    """``acc`` replaced by the fields of the result."""
-    names = [c for c in rows.columns if c != "acc"]
+    """``acc`` replaced by the fields of the result, which also replace columns of the same names."""
+    names = [c for c in rows.columns if c not in ("acc", *aggregate.out.fieldNames())]
     shape = T.StructType([*[rows.schema[c] for c in names], *aggregate.out.fields])
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

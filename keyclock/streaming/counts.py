@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from keyclock.functions.merging import merge
 from keyclock.model import KeyedStream
 from keyclock.operators.windows import Measure, expanded
-from keyclock.streaming.windows import _flat, measure_type, use_state_store
+from keyclock.streaming.windows import _flat, as_dict, measure_type, time_mode, use_state_store
 
 _LONG = T.LongType()
 
@@ -44,7 +44,7 @@ class CountProcessor(StatefulProcessor):
             if place not in held:
                 # only what earlier batches can have left
                 stored = self._ring.getValue((place,)) if began and self._ring.containsKey((place,)) else None
-                held[place] = [v.asDict(recursive=True) if isinstance(v, Row) else v for v in stored] if stored else None
+                held[place] = [as_dict(v) for v in stored] if stored else None
             found = held[place]
             return found if found is not None and found[0] == number else None
 
@@ -56,8 +56,7 @@ class CountProcessor(StatefulProcessor):
                 if found is None:
                     found = held[number % many] = [number, *[None] * len(self.kinds)]
                 for i, kind in enumerate(self.kinds):
-                    own = r[f"m{i}"]
-                    found[1 + i] = merge(kind, found[1 + i], own.asDict(recursive=True) if isinstance(own, Row) else own)
+                    found[1 + i] = merge(kind, found[1 + i], as_dict(r[f"m{i}"]))
                 dirty.add(number % many)
             if n == fires_at:
                 values = [None] * len(self.kinds)
@@ -98,5 +97,5 @@ def stream_count_windows(ks: KeyedStream, size: int, slide: int | None = None, m
         ]
     )
     runner = CountProcessor(size, slide, tuple(m.kind for m in measures), types, out, state_ttl_ms)
-    done = rows.groupBy(*ks.keys).transformWithState(runner, out, "Append", "None")
+    done = rows.groupBy(*ks.keys).transformWithState(runner, out, "Append", time_mode(state_ttl_ms))
     return done.select(*ks.keys, "window_no", "elements", *[c.alias(n) for n, c in results.items()])

@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from keyclock.model import KeyedStream
 from keyclock.strategy import WatermarkStrategy
-from keyclock.streaming.windows import _flat, use_state_store
+from keyclock.streaming.windows import _flat, time_mode, use_state_store
 
 _LONG = T.LongType()
 _SIDES = ("left", "right")
@@ -133,4 +133,4 @@ def stream_pairs(
     shapes = {s: rows.schema[s].dataType for s in _SIDES}
     out = T.StructType([*[rows.schema[k] for k in left.keys], T.StructField("tag", T.StringType()), *[T.StructField(s, shapes[s]) for s in _SIDES]])
     runner = PairProcessor(lower, upper, shapes, out, state_ttl_ms)
-    return rows.groupBy(*left.keys).transformWithState(runner, out, "Append", "None")
+    return rows.groupBy(*left.keys).transformWithState(runner, out, "Append", time_mode(state_ttl_ms))

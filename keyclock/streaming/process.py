@@ -23,7 +23,7 @@ from keyclock.functions.arrow import batch_of, records
 from keyclock.functions.timeunits import MAX_WM, MIN_WM
 from keyclock.model import KeyedStream
 from keyclock.strategy import WatermarkStrategy
-from keyclock.streaming.windows import Emitted, use_state_store
+from keyclock.streaming.windows import Emitted, time_mode, use_state_store
 
 
 class KeyedProcessFunction:
@@ -201,7 +201,7 @@ def process_stream(
     ks, rows = _prepared(ks, strategy)
     full = _with_tag(schema)
     runner = FunctionProcessor(function, full, ks.ts, ks.arrival, ks.tie, strategy.emit == "tick", state_ttl_ms)
-    return rows.groupBy(*ks.keys).transformWithState(runner, full, "Append", "ProcessingTime" if processing_timers else "None")
+    return rows.groupBy(*ks.keys).transformWithState(runner, full, "Append", time_mode(state_ttl_ms, processing_timers))
 
 
 # --- ready-made functions -----------------------------------------------------------------------------------------------

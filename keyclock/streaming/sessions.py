@@ -14,7 +14,7 @@ from keyclock.model import KeyedStream
 from keyclock.operators.sessions import session_step
 from keyclock.operators.windows import Measure, count, expanded
 from keyclock.strategy import WatermarkStrategy
-from keyclock.streaming.windows import measure_type, use_state_store
+from keyclock.streaming.windows import _flat, as_dict, measure_type, time_mode, use_state_store
 
 _LONG = T.LongType()
 
@@ -34,7 +34,7 @@ class SessionProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         wm = self._clock.get()[0] if self._clock.exists() else None
-        stored = {(w[0], w[1]): tuple(v) for w, v in self._live.iterator()}
+        stored = {(w[0], w[1]): tuple(as_dict(x) for x in v) for w, v in self._live.iterator()}
         live = [[*w, list(v[1:]), v[0]] for w, v in stored.items()]
         names, ahead, values = self.out.fieldNames(), wm, [f"m{i}" for i in range(len(self.kinds))]
 
@@ -42,7 +42,7 @@ class SessionProcessor(StatefulProcessor):
             return Row(**dict(zip(names, [*key, tag, s[0], s[1], at_wm, tie, *s[2]])))
 
         for r in sorted(rows, key=lambda r: (r.at, r.tie)):
-            fired, again, live = session_step(live, r.ts, r.ts, [r[v] for v in values], wm, self.gap, self.lateness, self.kinds)
+            fired, again, live = session_step(live, r.ts, r.ts, [as_dict(r[v]) for v in values], wm, self.gap, self.lateness, self.kinds)
             yield from (row("firing", s, wm) for s in fired)
             if again is None:
                 yield row("late", (None, None, [r[v] for v in values]), wm, r.tie)
@@ -63,7 +63,7 @@ class SessionProcessor(StatefulProcessor):
             self._live.removeKey(w)
         for w, v in now.items():
             if stored.get(w) != v:
-                self._live.updateValue(w, v)
+                self._live.updateValue(w, _flat(v))
 
     def close(self) -> None:
         pass
@@ -87,7 +87,8 @@ def stream_sessions(
 ) -> DataFrame:
     """``firing``, ``refiring`` and ``late`` rows: (keys, ``tag``, window, ``wm``, ``tie``, measures; of a late row: its own).
 
-    ``state_ttl_ms`` lets the sessions and the clock of long silent keys expire; such a key starts anew."""
+    ``state_ttl_ms`` lets the sessions and the clock of long silent keys expire; such a key starts anew, and the query runs until
+    it is stopped."""
     use_state_store(ks.df.sparkSession)
     ks = ks.timed(strategy).valid()
     ts = F.col(ks.ts)
@@ -105,7 +106,7 @@ def stream_sessions(
         ]
     )
     runner = SessionProcessor(gap_ms, lateness_ms, strategy.emit == "tick", tuple(m.kind for m in measures), types, out, state_ttl_ms)
-    done = rows.groupBy(*ks.keys).transformWithState(runner, out, "Append", "None")
+    done = rows.groupBy(*ks.keys).transformWithState(runner, out, "Append", time_mode(state_ttl_ms))
     return done.select(*ks.keys, "tag", "window_start", "window_end", "wm", "tie", *[c.alias(n) for n, c in results.items()])
 
 

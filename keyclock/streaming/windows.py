@@ -51,6 +51,11 @@ class WindowSpec:
     generator: Any = None
 
 
+def time_mode(ttl_ms: int | None, timers: bool = False) -> str:
+    """Expiry and processing-time timers need Spark's processing time; a query that has it runs until it is stopped."""
+    return "ProcessingTime" if timers or ttl_ms is not None else "None"
+
+
 class Emitted:
     """What a generator class emits to; the highest counts."""
 
@@ -61,6 +66,11 @@ class Emitted:
         self.wm = wm if self.wm is None else max(self.wm, wm)
 
 
+def as_dict(v):
+    """Structs come as rows from the state, and as dicts from the input."""
+    return v.asDict(recursive=True) if isinstance(v, Row) else v
+
+
 def _flat(v):
     """Pairs and accumulators as plain tuples, as the state store takes them."""
     if isinstance(v, dict):
@@ -90,7 +100,7 @@ class KeyClockProcessor(StatefulProcessor):
         """The contents of a window, read when they are first asked for."""
         if w not in self._read:
             stored = self._panes.getValue(w) if (w[1], w[0]) in self._known else None
-            values = [v.asDict(recursive=True) if isinstance(v, Row) else v for v in stored] if stored else [0, 0] + [None] * len(self.spec.kinds)
+            values = [as_dict(v) for v in stored] if stored else [0, 0] + [None] * len(self.spec.kinds)
             self._read[w] = values
         return self._read[w]
 
@@ -124,8 +134,7 @@ class KeyClockProcessor(StatefulProcessor):
                     insort(self._open, (w[1], w[0]))
                 pane[1] += r.n
                 for i, kind in enumerate(spec.kinds):
-                    own = r[f"m{i}"]
-                    pane[2 + i] = merge(kind, pane[2 + i], own.asDict(recursive=True) if isinstance(own, Row) else own)
+                    pane[2 + i] = merge(kind, pane[2 + i], as_dict(r[f"m{i}"]))
                 self._dirty.add(w)
                 if wm is not None and w[1] - 1 <= wm:
                     pane[0] += 1
@@ -135,7 +144,7 @@ class KeyClockProcessor(StatefulProcessor):
             if generator is None:
                 cand = r.cand
             else:
-                generator.on_event(r.row.asDict(recursive=True), who, r.ts, told)
+                generator.on_event(as_dict(r.row), who, r.ts, told)
                 if not spec.tick:
                     generator.on_periodic_emit(told)
                 cand = told.wm
@@ -213,7 +222,8 @@ def stream_windows(
 
     ``combine`` (tick mode, no lateness) adds up the rows of a window inside every input partition before the shuffle, so
     a busy key sends a few partial rows instead of all its events; refused rows are then counted, not listed. Measures keep
-    their type. ``state_ttl_ms`` lets the state of long silent keys expire; such a key starts with no clock again.
+    their type. ``state_ttl_ms`` lets the state of long silent keys expire; such a key starts with no clock again, and the query runs
+    until it is stopped.
     """
     if not ks.df.isStreaming:
         raise ValueError("these are windows of a stream; a batch goes to window_firings")
@@ -244,7 +254,7 @@ def stream_windows(
     if combine:
         rows = _combined(rows, ks.keys, spec.kinds)
     out = _output_type(ks, measures, types)
-    done = rows.groupBy(*ks.keys).transformWithState(KeyClockProcessor(spec, out), out, "Append", "None")
+    done = rows.groupBy(*ks.keys).transformWithState(KeyClockProcessor(spec, out), out, "Append", time_mode(state_ttl_ms))
     own = {m.name for m in measures}
     return done.select(*[n for n in out.fieldNames() if n not in own], *[c.alias(n) for n, c in results.items()])
 
