@@ -2,13 +2,19 @@
 
 A text is its lines with a word, each known by a hash of the line without white space at its ends. From every line on a window reaches as
 far as ``least_words`` words take; what a window holds depends on its lines alone, so a run of at least that many words has the same
-windows wherever it stands. The least line hash of a window is its fingerprint (the same for most neighbouring windows). Positions are
-joined by fingerprint and window hash with the first place, by (id, text hash, line), that has them: one join partner each, however many
-copies there are. Neighbouring matches with the same shift make a run, which is extended both ways line by line, and all its lines go from the
-later place. So every line that lies in a run of ``least_words`` words or more of which a copy stands earlier is deleted, and no first
-window ever loses to its own copy. A line of 50 words is a run like any other.
+windows wherever it stands, and the same least line in each. These minima are selected, a few lines of each text; nothing else is joined.
 
-Only hashes are shuffled, never texts. A fingerprint in a third of all rows is summed up before the shuffle, and its join is one
+1. Every selected line is joined with the first place, by (id, text hash, line), where that line is selected: one partner each, however
+   many copies there are. Neighbours with the same shift are taken together, and extended both ways line by line. If the run has
+   ``least_words`` words, it is a repeat.
+2. A line that is selected in three places or more can stand elsewhere in other company first. Its windows that no run of step 1 covers
+   are looked up once more by all their lines; no other window is.
+
+All lines of a run go from the later place. So every line that lies in a run of ``least_words`` words or more of which a copy stands
+earlier is deleted, and no first window ever loses to its own copy. A line of 50 words is a run like any other. Only whole lines can be
+equal: a passage inside longer lines, or broken differently, is not seen.
+
+Only hashes are shuffled, never texts. A line in a third of all rows is summed up before the shuffle, and its join is one
 that adaptive execution splits. Nulls: null and wordless texts have no lines; null ids come last. Rows with equal ids and texts count as
 one document and get the same result. Very long texts are more rows of lines. Empty tables give empty results.
 """
@@ -38,8 +44,48 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return rows.select("d", "h", F.col("x.h").alias("hs"), F.col("x.n").alias("ns"), F.col("x.i").alias("at")).dropDuplicates(["d", "h"])
 
 
-def runs(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """Runs of lines ``begin`` to ``end`` (places in the arrays) of document (``d``, ``h``) that stand at an earlier place, too."""
+def _alike(a: Column, b: Column) -> Column:
+    """How many of the first entries are equal."""
+    equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    stop = F.array_position(equal, F.lit(False))
+    return F.when(stop > 0, stop - 1).otherwise(F.size(equal)).cast("int")
+
+
+def _extended(matched: DataFrame, lines: DataFrame) -> DataFrame:
+    """``matched`` (``d``, ``h``, ``fd``, ``fh``, ``shift``, ``ms``: places that are equal in both documents, in order) with ``begin`` and
+    ``end``, where the equal lines around them reach. Places with unequal lines between them are parted, each with its own."""
+    own = lines.select("d", "h", "hs", "ns")
+    first = lines.select(F.col("d").alias("fd"), F.col("h").alias("fh"), F.col("hs").alias("fs"))
+    both = matched.join(own, ["d", "h"]).join(first, ["fd", "fh"])
+    b, e = F.array_min("ms"), F.array_max("ms")
+    solid = F.slice("hs", b + 1, e - b + 1) == F.slice("fs", b - F.col("shift") + 1, e - b + 1)
+    parts = F.when(solid, F.array(F.col("ms"))).otherwise(F.transform("ms", lambda m: F.array(m)))
+    both = both.withColumn("ms", F.explode(parts)).withColumns({"b": F.array_min("ms"), "e": F.array_max("ms")})
+
+    def after(x: str, end: Column) -> Column:
+        return F.slice(F.col(x), end + 2, F.greatest(F.lit(0), F.size(x) - end - 1))
+
+    def ahead(x: str, begin: Column) -> Column:
+        return F.reverse(F.slice(F.col(x), F.lit(1), begin))
+
+    shift = F.col("shift")
+    begin = F.col("b") - _alike(ahead("hs", F.col("b")), ahead("fs", F.col("b") - shift))
+    end = F.col("e") + _alike(after("hs", F.col("e")), after("fs", F.col("e") - shift))
+    both = both.withColumns({"begin": begin, "end": end})
+    words = F.aggregate(F.slice("ns", F.col("begin") + 1, F.col("end") - F.col("begin") + 1), F.lit(0), lambda x, y: x + y)
+    return both.withColumn("words", words).drop("hs", "ns", "fs", "b", "e")
+
+
+def _together(found: DataFrame, place: str) -> DataFrame:
+    """Neighbouring matches (``d``, ``h``, place, ``fd``, ``fh``, ``shift``) with one shift to one document as one row, with all its ``ms``."""
+    order = Window.partitionBy("d", "h").orderBy(place)
+    same = (F.lag("fd").over(order) == F.col("fd")) & (F.lag("fh").over(order) == F.col("fh")) & (F.lag("shift").over(order) == F.col("shift"))
+    found = found.withColumn("run", F.sum(F.when(same, 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return found.groupBy("d", "h", "run", "fd", "fh", "shift").agg(F.sort_array(F.collect_list(place)).alias("ms")).drop("run")
+
+
+def selected_windows(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Windows of ``least_words`` words: ``d``, ``h``, ``i`` (first line), ``e`` (last), and the least of its lines: ``m`` (place), ``line``."""
     flat = lines.select("d", "h", F.posexplode(F.arrays_zip("hs", "ns")).alias("i", "x")).select("d", "h", "i", F.col("x.hs").alias("line"), F.col("x.ns").alias("n"))
     before = Window.partitionBy("d", "h").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     flat = flat.withColumn("c", F.coalesce(F.sum("n").over(before), F.lit(0)))
@@ -48,38 +94,35 @@ def runs(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
         "d",
         "h",
         "i",
-        F.min("line").over(reach).alias("fingerprint"),
-        F.xxhash64(F.collect_list("line").over(reach)).alias("content"),
+        F.min(F.struct("line", "i")).over(reach).alias("least"),
         F.last("i").over(reach).alias("e"),
         ((F.max(F.col("c") + F.col("n")).over(reach) - F.col("c")) >= least_words).alias("whole"),
     )
-    windows = written(windows.where("whole").drop("whole"))
-    firsts = windows.groupBy("fingerprint", "content").agg(F.min(F.struct("d", "h", "i", "e")).alias("f"), F.count("*").alias("places")).where("places > 1")
-    found = windows.join(firsts, ["fingerprint", "content"]).select("d", "h", "i", "e", "f")
-    found = found.where(F.struct("d", "h", "i") > F.struct("f.d", "f.h", "f.i"))
-    # neighbouring windows with the same shift to the same document belong to one run
-    order = Window.partitionBy("d", "h").orderBy("i")
-    same = (F.lag("i").over(order) == F.col("i") - 1) & (F.lag("f.d").over(order) == F.col("f.d")) & (F.lag("f.h").over(order) == F.col("f.h")) & (F.lag("f.i").over(order) == F.col("f.i") - 1)
-    found = found.withColumn("new", F.when(same, 0).otherwise(1)).withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = found.groupBy("d", "h", "run").agg(F.min("i").alias("b"), F.max("e").alias("e"), F.min(F.struct("i", "f")).alias("x"), F.max(F.struct("i", "f.e")).alias("y"))
-    joined = joined.select("d", "h", "b", "e", F.col("x.f.d").alias("fd"), F.col("x.f.h").alias("fh"), F.col("x.f.i").alias("fb"), F.col("y.e").alias("fe"))
-    # both ways: lines next to the run, as long as they are equal in both documents
-    own = lines.select("d", "h", "hs")
-    first = lines.select(F.col("d").alias("fd"), F.col("h").alias("fh"), F.col("hs").alias("fs"))
-    both = joined.join(own, ["d", "h"]).join(first, ["fd", "fh"])
+    return windows.where("whole").select("d", "h", "i", "e", F.col("least.i").alias("m"), F.col("least.line").alias("line"))
 
-    def alike(a: Column, b: Column) -> Column:
-        equal = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-        stop = F.array_position(equal, F.lit(False))
-        return F.when(stop > 0, stop - 1).otherwise(F.size(equal)).cast("int")
 
-    def after(x: str, e: str) -> Column:
-        return F.slice(F.col(x), F.col(e) + 2, F.greatest(F.lit(0), F.size(x) - F.col(e) - 1))
-
-    def ahead(x: str, b: str) -> Column:
-        return F.reverse(F.slice(F.col(x), F.lit(1), F.col(b)))
-
-    return both.select("d", "h", (F.col("b") - alike(ahead("hs", "b"), ahead("fs", "fb"))).alias("begin"), (F.col("e") + alike(after("hs", "e"), after("fs", "fe"))).alias("end"))
+def runs(lines: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """Runs of lines ``begin`` to ``end`` (places in the arrays) of document (``d``, ``h``) that stand at an earlier place, too."""
+    windows = written(selected_windows(lines, least_words))
+    chosen = windows.select("d", "h", "m", "line").distinct()
+    firsts = chosen.groupBy("line").agg(F.min(F.struct("d", "h", "m")).alias("f"), F.count("*").alias("places")).where("places > 1")
+    found = chosen.join(firsts, "line").where(F.struct("d", "h", "m") > F.col("f"))
+    found = found.select("d", "h", "m", F.col("f.d").alias("fd"), F.col("f.h").alias("fh"), (F.col("m") - F.col("f.m")).alias("shift"))
+    around = written(_extended(_together(found, "m"), lines))
+
+    # windows that a line's first place does not explain, where there are other places
+    reached = around.select("d", "h", F.explode("ms").alias("m"), "begin", "end")
+    often = firsts.where("places > 2").select("line")
+    rest = windows.join(often, "line", "left_semi").join(reached, ["d", "h", "m"]).where("i < begin or e > end")
+    rest = written(rest.select("d", "h", "i", "e", "line"))
+    content = F.xxhash64(F.slice("hs", F.col("i") + 1, F.col("e") - F.col("i") + 1)).alias("content")
+    pool = windows.join(rest.select("line").distinct(), "line", "left_semi").join(lines.select("d", "h", "hs"), ["d", "h"]).select("d", "h", "i", "e", "line", content)
+    pool = written(pool)
+    firsts = pool.groupBy("line", "content").agg(F.min(F.struct("d", "h", "i")).alias("f"), F.count("*").alias("places")).where("places > 1")
+    again = pool.join(rest.select("d", "h", "i"), ["d", "h", "i"], "left_semi").join(firsts, ["line", "content"]).where(F.struct("d", "h", "i") > F.col("f"))
+    again = again.select("d", "h", "i", F.col("f.d").alias("fd"), F.col("f.h").alias("fh"), (F.col("i") - F.col("f.i")).alias("shift"))
+    more = _extended(_together(again, "i"), lines)
+    return around.unionByName(more).where(F.col("words") >= least_words).select("d", "h", "begin", "end")
 
 
 def removals(docs: DataFrame, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
