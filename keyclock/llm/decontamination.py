@@ -4,15 +4,18 @@
 2. The TF-IDF matrix of the benchmark's passages is factored by a randomised SVD whose passes over the rows run on Spark; only matrices of
    (terms x rank) size, bounded by ``TERMS`` and ``RANK``, meet on the driver.
 3. Every document is cut in half-overlapping windows of ``2 * STRIDE`` words; windows are folded into the latent space and searched for
-   items by cosine. The cosine's denominator holds the window's whole norm, words outside the benchmark too. Few directions keep little
-   of many items, so an index of the items' rarest words is searched as well: a window is a candidate for every item of which enough of
-   these words stand around it.
-4. Candidates are checked: the longest common subsequence of words with what stands around the window must cover ``lcs`` of the item, and
-   ``answer`` of the item's rarest words (a quarter of them, where an answer sits) must be there. Whatever passes is a candidate by the
-   index, so neither rank nor block size nor ``cosine`` decides what is found. Items of very few words are found wherever these stand.
+   items by cosine, between what the space holds of the window and of the item. So a small space, or many items in it, does not lower the
+   cosine of a passage with its item. An index of the items' rarest words is searched as well: a window is a candidate for every item of
+   which enough of these words stand around it.
+4. Candidates are checked by the longest common subsequence of words with what stands around the window, and by answer words, the
+   rarest quarter of the item's words. A quotation must have ``lcs`` of the item and ``answer`` of these words. A rewording (a candidate of the
+   latent search) may have lost more of them, ``PARAPHRASE`` says how many, but must have more of the item in order. The index finds all
+   quotations, whatever the rank; rewordings of rare words only the latent search finds. Items of very few words are found wherever
+   these stand.
 
 The benchmark is the stated query set, searched in blocks of ``ITEMS`` items against all windows of all documents; per block the broadcast
-is bounded by ``ITEMS``, ``TERMS`` and ``RANK``. Documents are not shuffled. Nulls: null or wordless texts and items match nothing, null ids
+is bounded by ``ITEMS``, ``TERMS`` and ``RANK``. The documents are read twice for every ``PASS`` blocks (frequencies, search), and not shuffled.
+Above ``TERMS`` words in a block, its rarer words share columns of the latent space, which moves cosines a little. Nulls: null or wordless texts and items match nothing, null ids
 are carried along. Repeated rows give repeated results; of one document and item the best place is told. Empty tables give an empty
 result. Very long texts are worked off in full, window by window. Only the named columns are read.
 """
@@ -24,7 +27,7 @@ import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -38,9 +41,13 @@ STRIDE = 16
 RANK = 128
 TERMS = 1 << 15
 ITEMS = 4096
-COSINE = 0.25
+COSINE = 0.5
 LCS = 0.6
 ANSWER = 0.5
+#: least shares of the item's words in order, and of its rarest words, of a rewording
+PARAPHRASE = (0.75, 0.25)
+#: blocks of items that are searched for in one pass over the documents
+PASS = 16
 #: Most places of rare words that are looked at together.
 PLACES = 1 << 20
 _WORD = re.compile(r"[^\W_]+")
@@ -60,10 +67,11 @@ class Items:
     idf: np.ndarray
     folded: np.ndarray  # per word its idf times its row of the latent basis; float32
     latent: np.ndarray  # per item, of unit length; float32
-    other: float  # idf of words that no item has
 
-    def searcher(self, cosine: float, lcs: float, answer: float) -> Callable[[list[str]], list[list[tuple]]]:
+    def searcher(self, cosine: float, lcs: float, answer: float, paraphrase: tuple[float, float] | None = None) -> Callable[[list[str]], list[list[tuple]]]:
         """A function from texts to their matches (item id, cosine, share of the LCS, share of rare words, first word of the window)."""
+        loose = min(lcs, paraphrase[0]) if paraphrase else lcs
+        fewest = min(answer, paraphrase[1]) if paraphrase else answer
         masks, rare = [], []
         for words in self.words:
             own: dict[str, int] = {}
@@ -108,7 +116,6 @@ class Items:
                 pairs.append(np.unique(window * len(size) + np.repeat(item, count)))
             return np.divmod(np.concatenate(pairs), max(1, len(size)))
 
-        squares = np.append(self.idf**2, self.other**2)
         # words that no item has are the last row, which is zero
         folded, ones = np.vstack((self.folded, np.zeros((1, self.folded.shape[1]), np.float32))), np.ones((1, STRIDE), np.float32)
 
@@ -116,7 +123,7 @@ class Items:
             size, own = len(self.words[item]), masks[item]
             around = words[max(0, window * STRIDE - size) : (window + 2) * STRIDE + size]
             told = len(rare[item].intersection(around)) / len(rare[item])
-            if told < answer or sum(map(own.__contains__, around)) / size < lcs:
+            if told < fewest or sum(map(own.__contains__, around)) / size < loose:
                 return 0.0, told
             # bit-parallel longest common subsequence: a zero bit for every word of the item that is in it
             full = (1 << size) - 1
@@ -140,8 +147,6 @@ class Items:
             grid = np.full(base[-1] * STRIDE, -1, dtype=np.int64)
             spot = np.repeat(base[:-1] * STRIDE, lengths) + inside
             grid[spot] = place
-            mass = np.where(grid < 0, 0.0, squares[grid]).reshape(-1, STRIDE).sum(axis=1)
-            mass += (np.bincount(base[:-1].repeat(lengths) + inside // STRIDE, place < 0, minlength=base[-1])) * squares[-1]
             grid, sums = grid.reshape(-1, STRIDE), np.zeros((base[-1] + 1, folded.shape[1]), dtype=np.float32)
             for i in range(0, len(grid), 256):
                 sums[i : min(i + 256, len(grid))] = np.matmul(ones, folded[grid[i : i + 256]])[:, 0]
@@ -149,19 +154,20 @@ class Items:
             follows = np.ones(base[-1], dtype=bool)
             follows[base[1:][np.array(blocks) > 0] - 1] = False
             vectors = sums[:-1] + np.where(follows[:, None], sums[1:], np.float32(0))
-            norms = np.sqrt(mass + np.where(follows, np.append(mass[1:], 0.0), 0.0))
+            norms = np.maximum(np.linalg.norm(vectors, axis=1), np.float32(1e-12))
             near = vectors @ self.latent.T
             close = np.flatnonzero(near >= (cosine * norms)[:, None].astype(np.float32))
             shared, having = by_words(place, spot, base)
-            windows, items = np.divmod(np.union1d(close, shared * len(size) + having), len(size))
+            every = np.union1d(close, shared * len(size) + having)
+            latent = np.isin(every, close, assume_unique=True)
+            windows, items = np.divmod(every, len(size))
             owner = np.searchsorted(base, windows, side="right") - 1
             best: dict[tuple[int, int], tuple] = {}
-            for w, i, d in zip(windows.tolist(), items.tolist(), owner.tolist()):
+            for w, i, d, folds in zip(windows.tolist(), items.tolist(), owner.tolist(), latent.tolist()):
                 window = w - int(base[d])
-                if norms[w] <= 0:
-                    continue
                 share, told = check(lists[d], window, i)
-                if share >= lcs and told >= answer:
+                reworded = paraphrase and folds and share >= paraphrase[0] and told >= paraphrase[1]
+                if reworded or (share >= lcs and told >= answer):
                     found = (share, told, float(near[w, i] / norms[w]), -window)
                     if (d, i) not in best or found > best[d, i]:
                         best[d, i] = found
@@ -233,19 +239,22 @@ def factored(rows: DataFrame, terms: int, rank: int, rounds: int = 2, seed: int
     return basis @ vectors[:, strong[values[strong] > 1e-9 * max(values.max(), 1e-30)]]
 
 
-def prepared(docs: DataFrame, items: list[tuple[int | None, str]], rank: int = RANK, text_col: str = "text") -> Items:
-    """The block of items with frequencies from all documents and their latent space."""
+def prepared(docs: DataFrame, items: list[tuple[int | None, str]], rank: int = RANK, text_col: str = "text", counted: tuple[dict[str, int], int] | None = None) -> Items:
+    """The block of items with frequencies from all documents (those ``counted``, or counted now) and their latent space."""
     spark = docs.sparkSession
     kept = [(i, words_of(t or "")) for i, t in items]
     kept = [(i, w) for i, w in kept if w]
     vocabulary = sorted({w for _, words in kept for w in words})
     place = {w: k for k, w in enumerate(vocabulary)}
-    found, total = frequencies(docs, set(vocabulary), text_col) if kept else ({}, 0)
+    found, total = counted or (frequencies(docs, set(vocabulary), text_col) if kept else ({}, 0))
     idf = np.array([np.log((total + 1) / (found.get(w, 0) + 1)) + 0.05 for w in vocabulary])
-    term = np.array([k if len(vocabulary) <= TERMS else zlib.crc32(w.encode("utf-8")) % TERMS for k, w in enumerate(vocabulary)], dtype=np.int64)
+    # the most frequent words have columns of their own
+    rank_of = np.argsort(np.argsort(idf, kind="stable"), kind="stable") if len(vocabulary) > TERMS else None
+    own = TERMS // 2
+    term = np.array([k if rank_of is None else int(rank_of[k]) if rank_of[k] < own else own + zlib.crc32(w.encode("utf-8")) % (TERMS - own) for k, w in enumerate(vocabulary)], dtype=np.int64)
     terms = min(len(vocabulary), TERMS)
     if not kept:
-        return Items([], [], {}, idf, np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32), 1.0)
+        return Items([], [], {}, idf, np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32))
 
     def vector(words: list[str]) -> tuple[list[int], list[float]]:
         weights: dict[int, float] = {}
@@ -260,7 +269,19 @@ def prepared(docs: DataFrame, items: list[tuple[int | None, str]], rank: int = R
     latent = np.stack([np.array(x) @ basis[p] for p, x in vectors])
     latent /= np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
     folded = basis[term] * idf[:, None]
-    return Items([i for i, _ in kept], [w for _, w in kept], place, idf, folded.astype(np.float32), latent.astype(np.float32), 0.7 * float(np.log(total + 1)))
+    return Items([i for i, _ in kept], [w for _, w in kept], place, idf, folded.astype(np.float32), latent.astype(np.float32))
+
+
+def passes(docs: DataFrame, benchmark: DataFrame, rank: int, text_col: str = "text") -> Iterator[list]:
+    """For every pass over the documents its blocks of items, broadcast as plain values: workers need no class to read them."""
+    context, every = docs.sparkSession.sparkContext, blocks(benchmark)
+    while True:
+        some = list(islice(every, PASS))
+        if not some:
+            return
+        vocabulary = {w for block in some for _, t in block for w in words_of(t or "")}
+        counted = frequencies(docs, vocabulary, text_col) if vocabulary else ({}, 0)
+        yield [context.broadcast(list(vars(prepared(docs, block, rank, text_col, counted)).values())) for block in some]
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = ITEMS) -> Iterator[list[tuple[int | None, str]]]:
@@ -275,19 +296,19 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield held
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, rank: int = RANK) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, rank: int = RANK, paraphrase: tuple[float, float] | None = PARAPHRASE) -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, answer_share and first_word (of the window) of every document and item that it contains."""
     schema = "doc_id long, item_id long, cosine double, lcs_share double, answer_share double, first_word long"
     out = docs.sparkSession.createDataFrame([], schema)
     rows = docs.select(F.col("doc_id").cast("long").alias("d"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
-    for number, block in enumerate(blocks(benchmark)):
-        shared = docs.sparkSession.sparkContext.broadcast(prepared(docs, block, rank))
+    for number, shared in enumerate(passes(docs, benchmark, rank)):
 
         def found(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            search = shared.value.searcher(cosine, lcs, answer)
+            searches = [Items(*s.value).searcher(cosine, lcs, answer, paraphrase) for s in shared]
             for batch in batches:
                 for part in slices(batch, 1, 1 << 20):
-                    got = [(d, *m) for d, own in zip(part.column(0).to_pylist(), search(part.column(1).to_pylist())) for m in own]
+                    texts = part.column(1).to_pylist()
+                    got = [(d, *m) for search in searches for d, own in zip(part.column(0).to_pylist(), search(texts)) for m in own]
                     kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
                     columns = [pa.array([g[i] for g in got], t) for i, t in enumerate(kinds)]
                     yield pa.record_batch(columns, ["doc_id", "item_id", "cosine", "lcs_share", "answer_share", "first_word"])
@@ -297,19 +318,23 @@ def matches(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs:
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: Column, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, rank: int = RANK) -> Column:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: Column, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, rank: int = RANK, paraphrase: tuple[float, float] | None = PARAPHRASE) -> Column:
     """Whether the text contains an item of the benchmark, as a column of ``docs``."""
     def hit(shared) -> Column:
         @F.pandas_udf("boolean")
         def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            search = shared.value.searcher(cosine, lcs, answer)
+            searches = [Items(*s.value).searcher(cosine, lcs, answer, paraphrase) for s in shared]
             for texts in batches:
-                parts = [[bool(m) for m in search(texts.iloc[i : i + 200].tolist())] for i in range(0, len(texts), 200)]
-                yield pd.Series([x for p in parts for x in p], dtype=bool)
+                out = np.zeros(len(texts), dtype=bool)
+                for i in range(0, len(texts), 200):
+                    some = texts.iloc[i : i + 200].tolist()
+                    for search in searches:
+                        out[i : i + 200] |= np.array([bool(m) for m in search(some)], dtype=bool)
+                yield pd.Series(out)
 
         return found(F.coalesce(text, F.lit("")))
 
     any_ = F.lit(False)
-    for block in blocks(benchmark):
-        any_ = any_ | hit(docs.sparkSession.sparkContext.broadcast(prepared(docs, block, rank)))
+    for shared in passes(docs, benchmark, rank):
+        any_ = any_ | hit(shared)
     return any_

@@ -112,3 +112,65 @@ def test_thousands_of_items_against_the_longest_common_subsequence_of_all_pairs(
     assert got == want
     few = D.prepared(frame, items, rank=4).searcher(D.COSINE, D.LCS, D.ANSWER)([t for _, t, _, _ in docs])
     assert {(d, m[0]) for d, own in enumerate(few) for m in own} == want
+
+
+def reworded():
+    """Items of which just over half of the rarest words, and few others, are other words in a document."""
+    rnd = random.Random(21)
+    common, rare = [f"c{i}" for i in range(300)], [f"r{i}" for i in range(4000)]
+    items, docs = [], []
+    for i in range(200):
+        n = rnd.randint(30, 59)
+        own = [rnd.choice(rare) if k % 4 == 0 else rnd.choice(common) for k in range(n)]
+        items.append((i, " ".join(own)))
+        if i % 5 == 0:
+            docs.append((i, own))
+    return rnd, common, items, docs
+
+
+def test_rewordings_that_only_the_latent_search_finds(spark):
+    rnd, common, items, docs = reworded()
+    plain = spark.createDataFrame([(1000 + i, " ".join(rnd.choices(common, k=120)), "x", 1) for i in range(100)], SCHEMA)
+    block = D.prepared(plain, items)
+    texts, want = [], set()
+    for i, own in docs:
+        ranked = sorted(set(own), key=lambda w: (-block.idf[block.place[w]], w))
+        gone = set(ranked[: max(1, len(ranked) // 4)][: len(ranked) // 8 + 1])  # just over half of a quarter
+        body = [rnd.choice(common) if w in gone else w for w in own]
+        assert sum(a == b for a, b in zip(body, own)) >= 0.75 * len(own)
+        texts.append((i, " ".join(rnd.choices(common, k=40) + body + rnd.choices(common, k=40)), "x", 1))
+        want.add((i, i))
+    frame = spark.createDataFrame(texts, SCHEMA).union(plain)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.matches(frame, bench).collect()}
+    off = {(r.doc_id, r.item_id) for r in D.matches(frame, bench, cosine=2.0).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want)
+    assert len(off) <= 0.1 * len(want)  # without the latent search they are missed
+    from pyspark.sql import functions as F
+
+    kept = {r.doc_id for r in frame.where(~D.contaminated(frame, bench, F.col("text"))).collect()}
+    assert kept == {r.doc_id for r in frame.select("doc_id").collect()} - {d for d, _ in got}
+
+
+def test_many_items_share_a_small_space(spark):
+    """Recall of rewordings against all pairs, with two thousand items in few directions, over blocks and passes."""
+    rnd = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(6000)]
+    pick = lambda n: [vocabulary[int(6000 * rnd.random() ** 2)] for _ in range(n)]
+    items = [(i, " ".join(pick(rnd.randint(25, 59)))) for i in range(2000)]
+    docs, want = [], set()
+    for d in range(60):
+        i, text = items[rnd.randrange(2000)]
+        own = text.split()
+        for k in rnd.sample(range(len(own)), len(own) // 6):
+            own[k] = rnd.choice(vocabulary)
+        docs.append((d, " ".join(pick(30) + own + pick(30)), "x", 1))
+        want.add((d, i))
+    frame, bench = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    # only what the latent search proposes, with no index: nothing shares all rarest words
+    block = D.prepared(frame, items)
+    latent = block.searcher(D.COSINE, 2.0, 2.0, D.PARAPHRASE)([t for _, t, _, _ in docs])
+    got = {(d, m[0]) for d, own in enumerate(latent) for m in own}
+    assert got <= want and len(got) >= 0.9 * len(want)
+    both = {(r.doc_id, r.item_id) for r in D.matches(frame, bench).collect()}
+    assert got <= both <= want
