@@ -111,7 +111,27 @@ CAST(coalesce(v.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost, 0) AS BI
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT *, NOT base_failed AND lost_chars <= 0.5 * word_chars AS kept FROM b"""
 
+# the CRC-32 of an id, bit by bit; then every prefix by the digests of its turns
+_TRIE_SQL = r"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, md5(length(role) || ':' || role || text) AS g, CAST(len(regexp_extract_all(text, '[^ 	-]+')) AS BIGINT) AS w,
+row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, text) AS pos FROM t),
+h AS (SELECT c, xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten([[CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] for x in string_split(CAST(c AS VARCHAR), '')]),
+lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+r AS (SELECT h.c, pos, g, w FROM h JOIN o ON o.c = h.c - h.c % 20 AND o.pos <= h.h UNION ALL SELECT h.c, pos, g, w FROM h JOIN o ON o.c = h.c AND o.pos > h.h),
+p AS (SELECT c, w, row_number() OVER (PARTITION BY c ORDER BY pos) AS d, string_agg(g, '') OVER (PARTITION BY c ORDER BY pos) AS k FROM r),
+m AS (SELECT c, 0 AS d, '' AS k, 0 AS w FROM h UNION ALL SELECT c, d, md5(k), w FROM p),
+m2 AS (SELECT *, lag(k) OVER (PARTITION BY c ORDER BY d) AS up, max(d) OVER (PARTITION BY c) = d AS last FROM m),
+n AS (SELECT d, k, min(c) AS conv_id, count(*) AS n, any_value(w) AS w, any_value(up) AS up, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE last), '') AS ends FROM m2 GROUP BY d, k),
+f AS (SELECT d - 1 AS d, up AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+u AS (SELECT a.d, a.k, sum((n.n - 1) * n.w) AS saved, count(*) FILTER (WHERE f.n_children IS NULL) AS leaves
+FROM n LEFT JOIN f ON f.d = n.d AND f.k = n.k JOIN m a ON a.c = n.conv_id AND a.d <= n.d GROUP BY 1, 2)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, n.n AS n_convs, coalesce(f.n_children, 0) AS n_children, u.leaves AS n_leaves,
+CAST(u.saved AS BIGINT) AS saved_tokens, sha256(n.ends) AS ends_sha256
+FROM n JOIN u ON u.d = n.d AND u.k = n.k LEFT JOIN f ON f.d = n.d AND f.k = n.k LEFT JOIN n q ON q.d = n.d - 1 AND q.k = n.up"""
+
 ORACLE: dict[str, str] = {
+    "op13_conversation_trie": _TRIE_SQL,
     "op5_line_quality": _LINE_QUALITY_SQL,
     "op1_warc_chunks": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS n, sha256(coalesce(html, '')) AS d FROM pages),

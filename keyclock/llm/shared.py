@@ -18,9 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``. Only where that is unset (a local session) a temporary one is made."""
+    """A fresh folder under ``spark.checkpoint.dir``. Only a session on one machine that has none gets a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="keyclock-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/keyclock-{uuid.uuid4().hex}"
