@@ -18,7 +18,7 @@ from keyclock.operators.scan import Fold, running
 from keyclock.plans import reports
 from keyclock.plans.scenarios import HOUR, SCENARIOS, all_scenarios, arriving_events, replay
 from keyclock.sources import logs
-from keyclock.sources.replay import SideOutputs, declare, transform
+from keyclock.sources.replay import SideOutputs, declare, shared_folder, transform
 from keyclock.strategy import WatermarkStrategy
 from keyclock.streaming.process import KeyedProcessFunction, process_keyed
 from keyclock.streaming.triggers import CONTINUE, FIRE, EventTimeTrigger, TriggeredWindows
@@ -1363,6 +1363,39 @@ def system_times(spark, sf_dir):
     return running(times.withColumn("log", F.lit(0)), ["log"], order, cut, [Fold("place", "sum", F.lit(1).cast("bigint"))]).drop("log")
 
 
+def _logged(spark, directory, schema, both):
+    """START and END records written as CSV files, one experiment per folder, and read again."""
+    for role, df in both.items():
+        name = f"keyed_50median_{role}_4c" if "key" in df.columns else f"base_50median_4c_{role}_latency"
+        logs.write_logs(df.withColumn("type", F.lit(role.upper())), directory, name, schema)
+    return logs.label_experiments(logs.read_logs(spark, f"{directory}/*", schema, by_folder=True))
+
+
+@query("csv_latency_keyed", _KEYED_LATENCY + " SELECT 'keyed_50median_4c' AS experiment, '50median' AS scenario, watermark, key, round(latency, 6) AS latency FROM lk")
+def csv_latency_keyed(spark, sf_dir):
+    """Keyed logs through CSV files whose names tell experiment and role."""
+    end = _end_log(spark, sf_dir).where("system_time is not null")
+    read = _logged(spark, shared_folder(spark), logs.KEYED_LATENCY, {"start": _start_log(spark, sf_dir), "end": end})
+    start, end = [read.where((F.col("role") == role) & (F.col("type") == role.upper())) for role in ("start", "end")]
+    latency = reports.latency_keyed(start, end, "experiment", "scenario")
+    return latency.withColumn("latency", F.round("latency", 6))
+
+
+@query(
+    "csv_latency_stream",
+    _STREAM_LATENCY + " SELECT 'base_50median_4c' AS experiment, watermark, system_time, round(latency, 6) AS latency, row_number() OVER (ORDER BY system_time, watermark) AS place FROM ls",
+)
+def csv_latency_stream(spark, sf_dir):
+    """Stream-level logs through CSV files, in the order of their wall clock."""
+    start, end = _stream_logs(spark, sf_dir)
+    read = _logged(spark, shared_folder(spark), logs.STREAM_LATENCY, {"start": start, "end": end.where("system_time is not null")})
+    latency = reports.latency_stream(*[read.where(F.col("role") == role) for role in ("start", "end")], "experiment")
+    order = [F.col("system_time"), F.col("watermark")]
+    cut = floor_div("system_time", 24 * HOUR * _NS)
+    placed = running(latency, ["experiment"], order, cut, [Fold("place", "sum", F.lit(1).cast("bigint"))])
+    return placed.withColumn("latency", F.round("latency", 6)).orderBy(*order)
+
+
 _SIZES = f"""SELECT k, t_ms // {HOUR} AS ts, count(*) AS size_keyed, count(*) FILTER (cents % 2 = 0) AS size_stream FROM r GROUP BY 1, 2"""
 
 

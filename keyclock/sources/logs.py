@@ -15,14 +15,21 @@ STATE_LOG = "key bigint, ts bigint, size int"
 STATE_PAIR = "ts bigint, size_keyed bigint, size_stream bigint"
 
 
-def read_logs(spark: SparkSession, directory: str, schema: str, header: bool = False) -> DataFrame:
+def read_logs(spark: SparkSession, directory: str, schema: str, header: bool = False, by_folder: bool = False) -> DataFrame:
     """All CSV files of a directory in one DataFrame, columns by position, plus the file's ``name``.
 
-    ``name`` is the file name up to its first dot. Say ``header=True`` only for files that have one, otherwise their
-    first record would be lost.
+    ``name`` is the file name up to its first dot; ``by_folder`` takes the folder's instead, for logs that several tasks
+    wrote. Say ``header=True`` only for files that have one, otherwise their first record would be lost.
     """
     df = spark.read.schema(schema).option("enforceSchema", True).csv(directory, header=header)
-    return df.withColumn("name", F.split(F.col("_metadata.file_name"), r"\.")[0])
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2) if by_folder else F.col("_metadata.file_name")
+    return df.withColumn("name", F.split(name, r"\.")[0])
+
+
+def write_logs(df: DataFrame, directory: str, name: str, schema: str) -> None:
+    """One experiment's log as CSV files without a header in a folder of its name, columns in the order of the schema."""
+    columns = [part.split()[0] for part in schema.split(", ")]
+    df.select(*columns).write.mode("append").csv(f"{directory.rstrip('/')}/{name}")
 
 
 def label_experiments(df: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +35,18 @@ def read_replay(
     return reader.load(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder under ``spark.checkpoint.dir``, which driver and executors share. Only a session on one machine that has none gets a
+    temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="keyclock-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/keyclock-{uuid.uuid4().hex}"
+
+
 def transform(df: DataFrame, *, where: Column | None = None, **columns: Column) -> DataFrame:
     """One-input step: optional filter, then new or replaced columns."""
     if where is not None:
