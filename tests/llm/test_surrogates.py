@@ -74,3 +74,40 @@ def test_whole_names_and_later_mentions_without_a_title(spark):
     found = re.fullmatch(r"Mrs\. (\w{4}) (\w{6}) met Dr\. (\w'\w{5}) and Prof\. Dr\. \w{4}-\w{5} von (\w{4})\. Later (\w{6}) left, (\w{4}) too; (\w{6}) and (\w'\w{5}) wrote\. Mülleria stays\.", out)
     assert found and found[2] == found[5] and found[7] == found[2].upper() and found[4] == found[6] and found[3] == found[8]
     assert got[1].n_entities == 9 and got[2].text == "Müller has no title here"
+
+
+def test_full_forms_get_longer(spark):
+    """All names of two letters, and 26 users on 16 hosts of one letter: no original is a surrogate, so some must be longer."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = {i: "Mr. " + a.upper() + b for i, (a, b) in enumerate((a, b) for a in letters for b in letters)}
+    texts |= {1000 + i: f"write to {u}@{h}.io" for i, (u, h) in enumerate((u, h) for u in letters for h in letters[:16])}
+    texts[5000] = "Mr. Ab and Mr. AB"
+    got = run(spark, texts)
+    names = {texts[i][4:].lower(): r.surrogates[0][4:].lower() for i, r in got.items() if i < 1000}
+    assert len(names) == 676 and len(set(names.values())) == 676 and not set(names) & set(names.values())
+    mails = {texts[i].split()[-1]: r.surrogates[0] for i, r in got.items() if 1000 <= i < 5000}
+    assert len(set(mails.values())) == len(mails) == 416 and not set(mails) & set(mails.values())
+    hosts = {}
+    for a, b in mails.items():
+        assert hosts.setdefault(a.split("@")[1], b.split("@")[1]) == b.split("@")[1]
+    assert len(set(hosts.values())) == 16 and not set(hosts) & set(hosts.values())
+    one, two = got[5000].surrogates
+    assert one.lower() == two.lower() and two[4:] == two[4:].upper()
+
+
+def test_accounts_numbers_and_scripts(spark):
+    texts = {
+        1: "pay DE89 3704 0044 0532 0130 00 or GB29NWBK60161331926819, SSN 123-45-6789, phone +1 319 555 5132",
+        2: "Mr. 王小明 wrote; 王小明说好. version 1.2.3.4 and v10.0.0.1 stay, host 10.0.0.1 goes",
+        3: "Ask Dr. The answer is here. The answer stays, Dr. Who-Knows too",
+    }
+    got = run(spark, texts)
+    out = got[1].text
+    found = re.fullmatch(r"pay (DE\d\d \d{4} \d{4} \d{4} \d{4} \d\d) or (GB\d\d[A-Z]{4}\d{14}), SSN (\d{3}-\d{2}-\d{4}), phone \+1 \d{3} \d{3} \d{4}", out)
+    assert found and found[3] != "123-45-6789" and "3704 0044" not in out and "NWBK" not in out
+    for account in (found[1].replace(" ", ""), found[2]):
+        assert int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+    assert "王小明" not in got[2].text and "version 1.2.3.4 and v10.0.0.1 stay" in got[2].text and "host 10.0.0.1" not in got[2].text
+    name = got[2].surrogates[0][4:]
+    assert got[2].text.count(name) == 2 and len(name) == 3
+    assert got[3].text.startswith("Ask Dr. The answer is here. The answer stays")
