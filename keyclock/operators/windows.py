@@ -143,9 +143,20 @@ def _spread(rows: DataFrame, items: Column, *columns) -> DataFrame:
     return rows.select(*columns, F.explode(items).alias("__i")).where(F.col("__i").isNotNull()).select("*", "__i.*").drop("__i")
 
 
+def _overlapping(assigner: WindowAssigner) -> bool:
+    return isinstance(assigner, Sliding) and assigner.overlaps and assigner.event_time
+
+
+def _for_counting(ks: KeyedStream, strategy: WatermarkStrategy, assigner: WindowAssigner) -> DataFrame:
+    """Clocked rows; windows that overlap are counted by their ends and need no list."""
+    return clocked_rows(ks, strategy) if _overlapping(assigner) else windowed(ks, strategy, assigner)
+
+
 def element_late(ks: KeyedStream, assigner: WindowAssigner, lateness_ms: int) -> Column:
     """No window takes the row, and its own time has passed as well."""
     wm = F.col("__wm")
+    if _overlapping(assigner):  # the newest window is the last to go
+        return passed(wm, assigner.last_end(ks.ts) - 1, lateness_ms)
     own = passed(wm, F.col(ks.ts), lateness_ms)
     listed = assigner.candidates(ks.ts)
     if listed is None:
@@ -155,6 +166,28 @@ def element_late(ks: KeyedStream, assigner: WindowAssigner, lateness_ms: int) ->
     return own
 
 
+def accepted_windows(ks: KeyedStream, assigner: WindowAssigner, lateness_ms: int) -> Column:
+    """How many windows take the row."""
+    wm, one = F.col("__wm"), F.lit(1).cast("bigint")
+    if _overlapping(assigner):
+        open_ = assigner.last_end(ks.ts) - open_from(assigner, ks.ts, lateness_ms)
+        return F.when(open_ >= 0, floor_div(open_, assigner.slide_ms) + one).otherwise(F.lit(0).cast("bigint"))
+    listed = assigner.candidates(ks.ts)
+    if listed is None:
+        return F.size(F.filter("__wins", lambda w: ~passed(wm, _last(w), lateness_ms))).cast("bigint")
+    out = F.lit(0).cast("bigint")
+    for w, mine in listed:
+        out = out + F.when(mine & ~passed(wm, _last(w), lateness_ms), one).otherwise(F.lit(0))
+    return out
+
+
+def entries(ks: KeyedStream, strategy: WatermarkStrategy, assigner: WindowAssigner, lateness_ms: int = 0) -> DataFrame:
+    """Every row once, with the number of windows that take it (``entered``)."""
+    _check_lateness(lateness_ms)
+    rows = _for_counting(ks, strategy, assigner)
+    return rows.withColumn("entered", accepted_windows(ks, assigner, lateness_ms)).drop("__wins", "__wm", "__cand")
+
+
 def classify_lateness(
     ks: KeyedStream, strategy: WatermarkStrategy, assigner: WindowAssigner, lateness_ms: int = 0
 ) -> DataFrame:
@@ -177,7 +210,7 @@ def late_rows(ks: KeyedStream, strategy: WatermarkStrategy, assigner: WindowAssi
     """Late side output: the rows no window accepted, with the clock that refused them in ``wm_before``."""
     _check_lateness(lateness_ms)
     return (
-        windowed(ks, strategy, assigner)
+        _for_counting(ks, strategy, assigner)
         .where(element_late(ks, assigner, lateness_ms))
         .withColumn("wm_before", F.col("__wm"))
         .drop("__wins", "__wm", "__cand")
@@ -189,7 +222,7 @@ def late_counts(ks: KeyedStream, strategy: WatermarkStrategy, assigner: WindowAs
     _check_lateness(lateness_ms)
     late = F.sum(element_late(ks, assigner, lateness_ms).cast("bigint"))
     return (
-        windowed(ks, strategy, assigner)
+        _for_counting(ks, strategy, assigner)
         .groupBy(*ks.keys)
         .agg(F.count("*").alias("total"), late.alias("late"))
         .withColumn("kept", F.col("total") - F.col("late"))

@@ -10,7 +10,7 @@ from keyclock.functions.assigners import WindowAssigner
 from keyclock.functions.timeunits import floor_div
 from keyclock.model import KeyedStream
 from keyclock.operators.quantiles import exact_quantiles
-from keyclock.operators.windows import classify_lateness, count, panes
+from keyclock.operators.windows import count, entries, panes
 from keyclock.strategy import WatermarkStrategy
 
 QUANTILES = {"p90": 0.9, "p95": 0.95, "p99": 0.99}
@@ -142,11 +142,8 @@ def state_timeline(
     lateness. Windows still open at the end of input stay in the log.
     """
     tick = F.lit(tick_ms).cast("bigint")
-    entered = (
-        classify_lateness(ks, strategy, assigner, lateness_ms)
-        .where("window_status <> 'late'")
-        .select(*ks.keys, floor_div(ks.arrival, tick_ms).alias("__t"), F.lit(1).cast("bigint").alias("__d"))
-    )
+    entered = entries(ks, strategy, assigner, lateness_ms).where("entered > 0")
+    entered = entered.select(*ks.keys, floor_div(ks.arrival, tick_ms).alias("__t"), F.col("entered").alias("__d"))
     cleared = panes(ks, strategy, assigner, [count("__n")], delay_ms=lateness_ms).where("fired_at is not null")
     left = cleared.select(*ks.keys, floor_div("fired_at", tick_ms).alias("__t"), (-F.col("__n")).alias("__d"))
     changes = entered.unionByName(left).groupBy(*ks.keys, "__t").agg(F.sum("__d").alias("__d"))

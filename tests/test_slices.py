@@ -59,6 +59,19 @@ def test_tick_and_stream_clocks_of_overlapping_windows(spark):
     assert first == second
 
 
+@pytest.mark.parametrize("assigner", [A.tumbling(30), A.sliding(40, 15), A.sliding(10, 25), A.sliding(60, 3)])
+def test_rows_count_their_windows(spark, assigner):
+    ks = stream(spark, rows_of(random.Random(17), 200), bucket_ms=45)
+    listed = A.custom(lambda ts: assigner.windows(ts))
+    for lateness in (0, 7):
+        status = W.classify_lateness(ks, S.bounded(4), listed, lateness).where("window_status <> 'late'")
+        want = Counter(r["id"] for r in status.select("id").collect())
+        got = {r["id"]: r["entered"] for r in W.entries(ks, S.bounded(4), assigner, lateness).collect()}
+        assert len(got) == 200 and {i: n for i, n in got.items() if n} == dict(want)
+        late = lambda a: sorted(r["id"] for r in W.late_rows(ks, S.bounded(4), a, lateness).select("id").collect())
+        assert late(assigner) == late(listed) and (lateness or late(assigner))
+
+
 def test_no_row_is_copied(spark):
     ks = stream(spark, [("a", t, t, 1) for t in range(1000)])
     plan = W.window_firings(ks, S.bounded(0), A.sliding(1000, 1))._jdf.queryExecution().executedPlan().toString()
