@@ -9,7 +9,8 @@ there is compared in all 64 bits with all that is there. Shares are small (1 and
 tree over all 64 bits would show nearly every fingerprint to most of them.
 
 Trees are fitted to a sample of at most ``SAMPLE`` distinct fingerprints (their vantage values only; every fingerprint is indexed and
-searched). A leaf that stays larger than ``LEAF`` is dealt to several tasks, and shown to each of them. Equal fingerprints are one, with
+searched). A leaf that cannot be split is dealt in parts of about ``4 * LEAF``, and every two parts meet in a tile of their own, so no task
+holds more than two parts; such a group's comparisons, not its memory, grow with its square. Equal fingerprints are one, with
 its documents beside it, so copies make no pairs; a shard tells which of its fingerprints hang together, not all their pairs.
 
 Nulls: a null text is empty and has fingerprint zero; fingerprint zero is linked like any other. Null ids are no component's least id
@@ -91,7 +92,7 @@ class Tree:
     within: np.ndarray
     inner: np.ndarray
     outer: np.ndarray
-    tasks: np.ndarray  # of each leaf
+    tasks: np.ndarray  # parts of each leaf
 
     def leaves(self, values: np.ndarray, share: int) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``values`` and the leaves that a ball of radius ``share`` around them reaches."""
@@ -155,16 +156,18 @@ def forest(fps: DataFrame, radius: int = 4, bands: int = 4, leaf: int = LEAF, sa
     return [grow(some, mask, share, max(1.0, total / max(1, len(some))), leaf) for mask, share in bands_of(radius, bands)]
 
 
-def linked(home: np.ndarray, every: np.ndarray, radius: int) -> np.ndarray:
-    """For each row of ``every`` the place of one that stands for all it hangs together with; ``home`` are the places of those compared."""
+def linked(every: np.ndarray, meetings: list[tuple[np.ndarray, np.ndarray]], radius: int) -> np.ndarray:
+    """For each row of ``every`` the place of one that stands for all it hangs together with, comparing the places of each meeting: all of
+    the first with all of the second."""
     label = np.arange(len(every))
-    step = max(1, (1 << 20) // max(1, len(every)))
-    for i in range(0, len(home), step):
-        rows, cols = np.nonzero(distance(every[home[i : i + step], None], every[None, :]) <= radius)
-        cut = np.flatnonzero(np.diff(rows)) + 1
-        for near in np.split(cols, cut):
-            if len(near) > 1:
-                labels = label[near]
+    for these, those in meetings:
+        step = max(1, (1 << 20) // max(1, len(those)))
+        for i in range(0, len(these), step):
+            some = these[i : i + step]
+            rows, cols = np.nonzero(distance(every[some, None], every[None, those]) <= radius)
+            cut = np.flatnonzero(np.diff(rows)) + 1
+            for row, near in zip(rows[np.append(0, cut)] if len(rows) else (), np.split(cols, cut)):
+                labels = label[np.append(those[near], some[row])]
                 least = labels.min()
                 if (labels != least).any():
                     label[np.isin(label, labels)] = least
@@ -185,21 +188,27 @@ def links(fps: DataFrame, radius: int = 4, bands: int = 4, leaf: int = LEAF, sam
                 own[rows] = leaves
                 rows, leaves = tree.leaves(values, tree.share)
                 count = tree.tasks[leaves]
-                task = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                # a row meets its own part of the leaf and each of the others, in a tile of the two
+                other = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 rows, leaves, count = np.repeat(rows, count), np.repeat(leaves, count), np.repeat(count, count)
                 mixed = (values[rows] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                home = (leaves == own[rows]) & ((mixed % count.astype(np.uint64)).astype(np.int64) == task)
-                made = [np.full(len(rows), band, np.int32), leaves.astype(np.int32), task.astype(np.int32), home, column[rows]]
-                yield pa.record_batch([pa.array(c) for c in made], ["band", "leaf", "task", "home", "fp"])
+                part = (mixed % count.astype(np.uint64)).astype(np.int64)
+                tile = np.minimum(part, other) * count + np.maximum(part, other)
+                made = [np.full(len(rows), band, np.int32), leaves.astype(np.int32), tile, part.astype(np.int32), leaves == own[rows], column[rows]]
+                yield pa.record_batch([pa.array(c) for c in made], ["band", "leaf", "tile", "part", "home", "fp"])
 
     def shard(table: pa.Table) -> pa.Table:
-        keys = table.column("fp").to_numpy()
-        label = linked(np.flatnonzero(table.column("home").to_numpy()), keys.view(np.uint64), radius)
+        keys, part, home = (table.column(c).to_numpy() for c in ("fp", "part", "home"))
+        low, high = (np.flatnonzero(part == p) for p in (part.min(), part.max()))
+        meetings = [(low[home[low]], high)]
+        if part.min() < part.max():
+            meetings.append((high[home[high]], low))
+        label = linked(keys.view(np.uint64), meetings, radius)
         other = np.flatnonzero(label != np.arange(len(keys)))
         return pa.table({"a": pa.array(keys[other]), "b": pa.array(keys[label[other]])})
 
-    rows = fps.select("fp").mapInArrow(dealt, "band int, leaf int, task int, home boolean, fp long")
-    return rows.groupBy("band", "leaf", "task").applyInArrow(shard, "a long, b long")
+    rows = fps.select("fp").mapInArrow(dealt, "band int, leaf int, tile long, part int, home boolean, fp long")
+    return rows.groupBy("band", "leaf", "tile").applyInArrow(shard, "a long, b long")
 
 
 def _rooted(marked: DataFrame, radius: int) -> DataFrame:
