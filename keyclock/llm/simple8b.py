@@ -68,13 +68,23 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, offsets, values[first[escaped]]
 
 
-def unpack(words: np.ndarray, exceptions: np.ndarray) -> np.ndarray:
-    """The numbers of whole blocks, in order."""
+def unpack(words: np.ndarray, exceptions: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The numbers of whole blocks, in order. Every block is decoded from its offset; offsets that do not fit the words are an error."""
+    if not len(words):
+        return np.zeros(0, dtype=np.uint64)
     selectors = (words >> np.uint64(60)).astype(np.int64)
     counts = np.where(selectors == 0, 1, COUNTS[np.maximum(selectors - 2, 0)])
-    ends = np.cumsum(counts)
-    out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint64)
-    begins = ends - counts
+    first = offsets.astype(np.int64)
+    if not len(first) or first[0] != 0 or (np.diff(first) <= 0).any() or first[-1] >= len(words):
+        raise ValueError("block offsets do not fit the words")
+    held = np.add.reduceat(counts, first)
+    if (held[:-1] != BLOCK).any() or held[-1] > BLOCK:
+        raise ValueError("block offsets do not fit the words")
+    # where a word's numbers go: its block's place, and what stands before it in the block
+    block = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(words))))
+    upto = np.cumsum(counts) - counts
+    begins = block * BLOCK + upto - upto[first][block]
+    out = np.zeros((len(first) - 1) * BLOCK + int(held[-1]), dtype=np.uint64)
     for selector, (count, bits) in enumerate(zip(COUNTS.tolist(), BITS.tolist()), start=2):
         mine = np.flatnonzero(selectors == selector)
         if len(mine):

@@ -86,8 +86,11 @@ def test_simple8b_with_escapes(n):
         values = rng.integers(0, high, n, dtype=np.uint64, endpoint=True)
         values = np.where(rng.random(n) < 0.5, values, values >> np.uint64(20))
         words, offsets, exceptions = simple8b.pack(values)
-        assert (simple8b.unpack(words, exceptions) == values).all()
+        assert (simple8b.unpack(words, exceptions, offsets) == values).all()
         assert len(offsets) == -(-n // simple8b.BLOCK)
         if n:
             second = np.append(offsets, len(words))[1]
-            assert (simple8b.unpack(words[:second], exceptions) == values[: simple8b.BLOCK]).all()
+            assert (simple8b.unpack(words[:second], exceptions, offsets[:1]) == values[: simple8b.BLOCK]).all()
+            for wrong in (offsets[:-1], offsets + np.uint32(1), np.sort(np.append(offsets[1:], 1)).astype(np.uint32)):
+                with pytest.raises(ValueError, match="offsets"):
+                    simple8b.unpack(words, exceptions, wrong)
