@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from keyclock.llm.shared import Memo, byte_letters, once, shared_folder, slices
 
 PART_IDS = 1 << 17
-MEMO = 200_000
+MEMO = 150_000
 _MAGIC = b"KCS8"
 _PARTS = "shard int, part int, first_id long, n_ids long, body binary"
 
@@ -107,6 +107,8 @@ def encoder(tokenizer_path: str) -> Callable[[list[str]], list[bytes]]:
             out[i] = ids
         return out
 
+    # words are forgotten between tasks: a worker goes on to other work, next to others on its machine
+    encode.forget = seen.forget
     return encode
 
 
@@ -132,7 +134,7 @@ def unpack_part(body: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
         got.append(np.frombuffer(body, kind, count, at))
         at += got[-1].nbytes
     docs = [None if null else int(d) for d, null in zip(got[0], got[1])]
-    return docs, got[2].astype(np.int64), simple8b.unpack(got[4], got[5])
+    return docs, got[2].astype(np.int64), simple8b.unpack(got[4], got[5], got[3])
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -162,6 +164,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
                     size += len(got) // 4
         if docs_:
             yield flush()
+        encode.forget()
 
     order = (F.col("d").asc_nulls_last(), F.col("h"))
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
