@@ -85,9 +85,6 @@ class Memo:
     def __init__(self, most: int) -> None:
         self.most, self.young, self.old = most, {}, {}
 
-    def forget(self) -> None:
-        self.young, self.old = {}, {}
-
     def of(self, keys: set, learn) -> dict:
         """A mapping that has all the keys; ``learn`` gives the values of a list of new ones."""
         if len(self.young) > self.most:

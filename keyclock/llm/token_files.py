@@ -17,7 +17,6 @@ import json
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,21 +25,56 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyclock.llm.shared import Memo, byte_letters, once, shared_folder, slices
+from keyclock.llm.shared import once, shared_folder, slices
 
 PART_IDS = 1 << 17
-MEMO = 150_000
+#: Words a worker holds, with their ids, as Arrow and numpy arrays.
+MEMO = 200_000
 _MAGIC = b"KCS8"
 _PARTS = "shard int, part int, first_id long, n_ids long, body binary"
 
 
-def encoder(tokenizer_path: str) -> Callable[[list[str]], list[bytes]]:
+def _bounds(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each string of a large_string array begins and ends, and the bytes, with two more at the end so that empty strings have some, too."""
+    at = np.frombuffer(strings.buffers()[1], "<i8", len(strings) + 1, 8 * strings.offset) if len(strings) else np.zeros(1, np.int64)
+    data = strings.buffers()[2]
+    return at[:-1], at[1:], np.append(np.frombuffer(data or b"", np.uint8), np.zeros(2, np.uint8))
+
+
+class _Words:
+    """The ids of words as one array, and where each word's begin and how many there are."""
+
+    def __init__(self) -> None:
+        self.names, self.ids = pa.array([], pa.large_string()), np.zeros(0, "<u4")
+        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, ids: np.ndarray, counts: np.ndarray, names: pa.Array | None = None) -> None:
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(counts) - counts)
+        self.counts, self.ids = np.append(self.counts, counts), np.append(self.ids, ids)
+        if names is not None:
+            self.names = pa.concat_arrays([self.names, names])
+
+    def of(self, places: np.ndarray) -> np.ndarray:
+        """All ids of the words at these places, in order; a place of -1 has none."""
+        out = []
+        for i in range(0, len(places), 1 << 18):
+            some = places[i : i + (1 << 18)]
+            some = some[some >= 0]
+            n = self.counts[some]
+            ends = np.cumsum(n)
+            out.append(self.ids[np.repeat(self.starts[some] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
+        return np.concatenate(out) if out else np.zeros(0, "<u4")
+
+
+def encoder(tokenizer_path: str) -> Callable[[list[str] | pa.Array], list[bytes]]:
     """A function from texts to their ids (uint32, little-endian) as the tokenizers library gives them.
 
-    A plain byte-level vocabulary never joins what stands before a single space or line break between words with it, so texts are cut
-    there and every distinct word goes to the library once: words of letters straight to its BPE model, all others through its whole path. Texts with odd spacing, and all texts of any other vocabulary, are encoded whole.
+    A plain byte-level vocabulary never joins what stands before a single space or line break between words with it, nor a Latin letter or
+    digit with the marks after it, so texts are cut there and every distinct word goes to the library once, many in one text: their first
+    tokens tell them apart. Texts with odd spacing, and all texts of any other vocabulary, are encoded whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import pyarrow.compute as pc
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)
@@ -49,66 +83,113 @@ def encoder(tokenizer_path: str) -> Callable[[list[str]], list[bytes]]:
     strict = any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or t["content"].isalpha() or " " in t["content"] for t in shape["added_tokens"])
     plain = model["type"] == "BPE" and not model.get("dropout") and not shape.get("normalizer") and not strict
     separable = plain and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
-    table = {b: c for c, b in byte_letters().items()}
-    words, seen = tokenizer.model, Memo(MEMO)
+    marks = "".join(m for m in ".,;:!?$%&*#" if not any(m in t["content"] for t in shape["added_tokens"]))
+    # tokens that begin with a space or a line break: in words with one of them in front, the first
+    firsts = np.zeros(1 + max(tokenizer.get_vocab().values(), default=0), dtype=bool)
+    firsts[[i for t, i in tokenizer.get_vocab().items() if t[0] in "\u0120\u010a"]] = True
+    seen = _Words()
 
-    def raw(ids: list[int]) -> bytes:
-        return array("I", ids).tobytes()
+    def raw(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def whole(texts: list[str]) -> list[bytes]:
-        return [raw(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def letters(word: str, space: bool) -> bytes:
-        """A word of letters, after a space or a line break."""
-        if not word.isascii():
-            word = word.encode("utf-8").decode("latin-1").translate(table)
-        return raw([t.id for t in words.tokenize("\u0120" + word if space else word)])
-
-    marks = {m: raw([t.id for t in words.tokenize(m)]) for m in ".,;:!?"} if separable else {}
-    broken = raw([t.id for t in words.tokenize("\u010a")]) if separable else b""
-
-    def learn(new: list[str]) -> dict[str, bytes | None]:
-        """Ids of each word with the space or line break before it; None of what is empty or has more white space at an end."""
-        got: dict[str, bytes | None] = {}
-        others = []
-        for x in new:
-            space = x[:1] != "\n"
-            body, ids = (x, b"") if space else (x[1:], broken)
-            if body.isalpha():
-                got[x] = ids + letters(body, space)
-            elif body[-1:] in marks and body[:-1].isalpha():
-                base = got.get(x[:-1]) or seen.young.get(x[:-1]) or seen.old.get(x[:-1]) or ids + letters(body[:-1], space)
-                got[x] = base + marks[body[-1]]
-            elif not body or body[0].isspace() or body[-1].isspace():
-                got[x] = None
-            else:
-                others.append(x)
-        got.update(zip(others, whole([" " + x if x[0] != "\n" else x for x in others])))
-        return got
-
-    def encode(texts: list[str]) -> list[bytes]:
+        return [ids.tobytes() for ids in raw(texts)]
+
+    def learn(new: pa.Array) -> None:
+        """Adds words. A line break belongs to the word after it; all others have a space in front."""
+        words = pc.if_else(pc.starts_with(new, "\n"), new, pc.binary_join_element_wise(pa.scalar(" ", new.type), new, pa.scalar("", new.type)))
+        found, counts = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 1 << 12):
+            some = words[i : i + (1 << 12)]
+            lots = pa.array([*range(0, len(some), 64), len(some)], pa.int32())
+            ids = np.concatenate(raw(pc.binary_join(pa.ListArray.from_arrays(lots, some), pa.scalar("", new.type)).to_pylist()))
+            begin = np.flatnonzero(firsts[ids])
+            if len(begin) != len(some):
+                apart = raw(some.to_pylist())
+                ids, begin = np.concatenate(apart), np.cumsum([0, *map(len, apart[:-1])])
+            found.append(ids)
+            counts.append(np.diff(np.append(begin, len(ids))))
+        seen.add(np.concatenate(found), np.concatenate(counts), new)
+
+    def cut(words: pa.Array) -> tuple[pa.Array, np.ndarray, list[str]]:
+        """The words without the marks after their last letter or digit, and for each word which marks these are: a place in a list, or -1."""
+        short = pc.ascii_rtrim(words, characters=marks)
+        (_, end, data), (start, stop, kept) = _bounds(words), _bounds(short)
+        n = end - _bounds(words)[0] - (stop - start)
+        last, before = kept[stop - 1], kept[stop - 2]
+        plain_end = (last - 48 < 10) | ((last | 32) - 97 < 26)  # unsigned: what is less wraps around
+        latin = (before >= 0xC3) & (before <= 0xC9) & (last >= 0x80) & (last <= 0xBF) & ~((before == 0xC3) & ((last == 0x97) | (last == 0xB7)))
+        mine = (n > 0) & (n <= 8) & (stop > start) & (plain_end | latin & (stop - start > 1))
+        at, code = np.flatnonzero(mine), np.zeros(int(mine.sum()), np.uint64)
+        for k in range(8):  # up to eight marks are the bytes of a number
+            code |= np.where(k < n[at], data[np.maximum(end[at] - 1 - k, 0)].astype(np.uint64) << np.uint64(8 * k), np.uint64(0))
+        kinds, place = np.unique(code, return_inverse=True)
+        tail = np.full(len(words), -1)
+        tail[at] = place
+        return pc.if_else(pa.array(mine), short, words), tail, [int(c).to_bytes(8, "big").lstrip(b"\0").decode() for c in kinds]
+
+    def odd(words: pa.Array) -> np.ndarray:
+        """Which words are empty, or have more white space at an end than the line break in front."""
+        start, end, data = _bounds(words)
+        start = start + ((end > start) & (data[start] == 10))
+        first, last, before = data[start], data[end - 1], data[end - 2]
+        # printable ASCII and letters of two bytes are sure to be none
+        sure = (end > start) & ((first > 32) & (first < 127) | (first >= 0xC3) & (first <= 0xDF))
+        sure &= (last > 32) & (last < 127) | (last >= 0x80) & (last <= 0xBF) & (before >= 0xC3) & (before <= 0xDF)
+        out = ~sure
+        for i in np.flatnonzero(out).tolist():
+            body = words[i].as_py().removeprefix("\n")
+            out[i] = not body or body[0].isspace() or body[-1].isspace()
+        return out
+
+    def places(words: pa.Array) -> np.ndarray:
+        """Where ``seen`` has each of some distinct words, new ones learned; -1 for odd ones."""
+        if len(seen.names) > MEMO:
+            seen.__init__()
+        at = pc.fill_null(pc.index_in(words, value_set=seen.names), -1).to_numpy().astype(np.int64)
+        new = at < 0
+        new[new] = ~odd(words.filter(pa.array(new)))
+        known = len(seen.names)
+        learn(words.filter(pa.array(new)))
+        at[new] = known + np.arange(int(new.sum()))
+        return at
+
+    def encode(texts: list[str] | pa.Array) -> list[bytes]:
         if not separable:
-            return whole(texts)
+            return whole(texts if isinstance(texts, list) else texts.to_pylist())
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if not len(texts):
+            return []
         # a break belongs to the word after it, as a space does
-        parts = [t.replace("\n", " \n").split(" ") for t in texts]
-        first = [p.pop(0) for p in parts]
-        known = seen.of(set().union(*parts), learn)
-        out, odd = [], []
-        for i, (head, ids, p) in enumerate(zip(first, whole(first), parts)):
-            try:
-                out.append(ids + b"".join(map(known.__getitem__, p)))
-            except TypeError:  # a None: odd spacing
-                out.append(b"")
-                odd.append(i)
-            else:
-                if p and (not head or head[-1].isspace()):
-                    odd.append(i)
-        for i, ids in zip(odd, whole([texts[i] for i in odd])):
-            out[i] = ids
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        bounds, coded = parts.offsets.to_numpy(), parts.flatten().dictionary_encode()
+        bounds, which, words = bounds - bounds[0], coded.indices.to_numpy(), coded.dictionary
+        heads = words.take(pa.array(which[bounds[:-1]])).to_pylist()
+        kinds = {h: i for i, h in enumerate(dict.fromkeys(heads))}
+        bases, tail, tails = cut(words)
+        coded = bases.dictionary_encode()
+        base = places(coded.dictionary)[coded.indices.to_numpy()]
+        # words of this batch, then its heads, each from what was learned and the marks after it
+        extra, batch = raw([*tails, *kinds]), _Words()
+        held = len(seen.counts)
+        both = _Words()
+        both.ids, both.starts, both.counts = seen.ids, seen.starts, seen.counts
+        both.add(np.concatenate(extra), np.array([len(x) for x in extra]))
+        pairs = np.column_stack([base, np.where((tail >= 0) & (base >= 0), held + tail, -1)])
+        pairs = np.concatenate([pairs, np.column_stack([held + len(tails) + np.arange(len(kinds)), np.full(len(kinds), -1)])])
+        batch.add(both.of(pairs.ravel()), np.where(pairs >= 0, both.counts[pairs], 0).sum(axis=1))
+        which = which.astype(np.int64)
+        which[bounds[:-1]] = len(words) + np.array([kinds[h] for h in heads])
+        ids = batch.of(which).tobytes()
+        ends = 4 * np.append(0, np.cumsum(batch.counts[which]))[bounds]
+        out = [ids[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        bad = np.append(0, np.cumsum(pairs[:, 0][which] < 0))[bounds]
+        blank = np.array([not h or h[-1].isspace() for h in heads]) & (np.diff(bounds) > 1)
+        again = np.flatnonzero(blank | (np.diff(bad) > 0))
+        for i, x in zip(again.tolist(), whole(texts.take(pa.array(again)).to_pylist())):
+            out[i] = x
         return out
 
-    # words are forgotten between tasks: a worker goes on to other work, next to others on its machine
-    encode.forget = seen.forget
     return encode
 
 
@@ -153,8 +234,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
             return pa.record_batch([pa.array(r, t) for r, t in zip(rows, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["shard", "part", "first_id", "n_ids", "body"])
 
         for batch in batches:
-            for rows in slices(batch, 1, 1 << 20):
-                for doc, got in zip(rows.column(0).to_pylist(), encode(rows.column(1).to_pylist())):
+            for rows in slices(batch, 1, 2 << 20):
+                for doc, got in zip(rows.column(0).to_pylist(), encode(rows.column(1))):
                     got += end
                     if size and size + len(got) // 4 > PART_IDS:
                         yield flush()
@@ -164,7 +245,6 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int | None =
                     size += len(got) // 4
         if docs_:
             yield flush()
-        encode.forget()
 
     order = (F.col("d").asc_nulls_last(), F.col("h"))
     rows = docs.select(F.col(id_col).cast("long").alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))

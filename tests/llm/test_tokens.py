@@ -79,6 +79,53 @@ def test_a_vocabulary_that_cannot_be_cut_is_encoded_whole():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in some]
 
 
+def test_words_cut_at_marks_equal_the_library(library, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_files, "MEMO", 60)
+    rnd = random.Random(4)
+    ends = ["", "", ".", ",%%%", "$$$", "!?!?!?!?!", "'s,", "''.", "|>", "<|endoftext|>", "<|endoftext|>.", "\u00a0", "\x1c", "\u3000", ")", "»."]
+    word = lambda: "".join(rnd.choice("aZé×÷ɏɐñ日ßü19'.$\u0301") for _ in range(rnd.randrange(4))) + rnd.choice(ends)
+    some = ["a", "", "é", "x.", *("".join(word() + rnd.choice([" ", " ", " ", "\n"]) for _ in range(rnd.randrange(9))) + "end" for _ in range(3000))]
+    want = [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+    encode, told = token_files.encoder(vocabulary()), []
+    for i in range(0, len(some), 50):
+        told += encode(pa.array(["skipped", *some[i : i + 50]])[1:])
+    assert [np.frombuffer(x, "<u4").tolist() for x in told] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in token_files.encoder(vocabulary())(some)] == want
+    assert encode([]) == []
+
+
+def test_distinct_words_go_to_the_library_together(library, monkeypatch):
+    import tokenizers
+
+    calls = []
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def __getattr__(self, name):
+            got = getattr(self.inner, name)
+            return Counted(got) if name == "model" else got
+
+        def tokenize(self, word):
+            calls.append(word)
+            return self.inner.tokenize(word)
+
+        def encode_batch_fast(self, texts, **how):
+            calls.extend(texts)
+            return self.inner.encode_batch_fast(texts, **how)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("T", (), {"from_file": lambda path: Counted(library)}))
+    rnd = random.Random(6)
+    words = sorted({"".join(rnd.choice("abcdeé") for _ in range(9)) for _ in range(3000)})
+    text = "so " + " ".join(w + m for w in words for m in ("", ".", "$$$"))
+    (ids,) = token_files.encoder(vocabulary())([text])
+    assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(calls) < 100 and sum(map(len, calls)) < 11 * len(words)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 59, 60, 61, 1023, 1024, 1025, 5000])
 def test_simple8b_with_escapes(n):
     rng = np.random.default_rng(n)
