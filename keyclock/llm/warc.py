@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyclock.llm.shared import shared_folder
+from keyclock.llm.shared import shared_folder, written
 
 CHUNK = 32 << 10
 LEAST = 100
@@ -59,12 +59,14 @@ def write(pages: DataFrame, path: str, least: int = LEAST, chunk: int = CHUNK, i
     keyed = keyed.withColumns({"n": F.octet_length("p").cast("long"), "key": F.sha2("p", 256)})
     # two narrow columns of the records that can be equal; a payload of very many copies is summed up before it is shuffled
     firsts = keyed.where(F.col("n") >= least).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null")
+    # where few pages repeat, Spark sees that this table is small before it plans the join, and no chunk is shuffled for it
+    firsts = written(firsts.select("key", "first"))
     records = keyed.withColumn("record_id", F.monotonically_increasing_id())
     numbers = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.col("n") - 1) / chunk)).cast("int"))
     rows = records.select("record_id", F.explode(numbers).alias("chunk_no"), "p", "page_id", "url", "n", "key")
     rows = rows.select("record_id", "chunk_no", F.substring("p", F.col("chunk_no") * chunk + 1, F.lit(chunk)).alias("chunk"), "page_id", "url", "n", "key")
     rows = rows.mapInArrow(_sealed, "record_id long, chunk_no int, data binary, n_bytes long, digest string, page_id long, url string, n long, key string")
-    rows = rows.join(firsts.select("key", "first"), "key", "left")
+    rows = rows.join(firsts, "key", "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     header = F.concat(

@@ -40,6 +40,21 @@ def test_records_read_back(spark):
     assert warc.archived(docs.limit(0)).collect() == []
 
 
+def test_chunks_are_shuffled_for_copies_only_where_these_are_many(spark):
+    rows = [(i, "u", f"{i % 90} " * 80) for i in range(100)]
+    docs = pages(spark, rows).repartition(5)
+    path = shared_folder(spark)
+    warc.write(docs, path)
+    assert told(warc.read(spark, path)) == expected(rows)
+    assert len(spark.read.parquet(path).inputFiles()) == 5  # as many as read the pages
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert told(warc.archived(docs, chunk=64)) == expected(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+
+
 def test_only_rows_without_ids_and_repeated_rows(spark):
     rows = [(None, "u", "q" * 200)] * 2 + [(4, "u", "w" * 200)] * 2
     got = told(warc.archived(pages(spark, rows)))
