@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from keyclock.llm.shared import once, shared_folder, slices
 
 PART_IDS = 1 << 17
-#: Words a worker holds, with their ids, as Arrow and numpy arrays.
-MEMO = 200_000
+#: Bytes of the words a worker holds and of their ids, without those of the batch that passes it; about 200,000 words of ten letters.
+MEMO = 8 << 20
 _MAGIC = b"KCS8"
 _PARTS = "shard int, part int, first_id long, n_ids long, body binary"
 
@@ -144,7 +144,7 @@ def encoder(tokenizer_path: str) -> Callable[[list[str] | pa.Array], list[bytes]
 
     def places(words: pa.Array) -> np.ndarray:
         """Where ``seen`` has each of some distinct words, new ones learned; -1 for odd ones."""
-        if len(seen.names) > MEMO:
+        if seen.names.nbytes + seen.ids.nbytes > MEMO:
             seen.__init__()
         at = pc.fill_null(pc.index_in(words, value_set=seen.names), -1).to_numpy().astype(np.int64)
         new = at < 0
@@ -166,6 +166,11 @@ def encoder(tokenizer_path: str) -> Callable[[list[str] | pa.Array], list[bytes]
         bounds, which, words = bounds - bounds[0], coded.indices.to_numpy(), coded.dictionary
         heads = words.take(pa.array(which[bounds[:-1]])).to_pylist()
         kinds = {h: i for i, h in enumerate(dict.fromkeys(heads))}
+        # what only begins texts is no word to learn
+        inner, used = np.ones(len(which), dtype=bool), np.zeros(len(words), dtype=bool)
+        inner[bounds[:-1]] = False
+        used[which[inner]] = True
+        words = words.filter(pa.array(used))
         bases, tail, tails = cut(words)
         coded = bases.dictionary_encode()
         base = places(coded.dictionary)[coded.indices.to_numpy()]
@@ -178,7 +183,7 @@ def encoder(tokenizer_path: str) -> Callable[[list[str] | pa.Array], list[bytes]
         pairs = np.column_stack([base, np.where((tail >= 0) & (base >= 0), held + tail, -1)])
         pairs = np.concatenate([pairs, np.column_stack([held + len(tails) + np.arange(len(kinds)), np.full(len(kinds), -1)])])
         batch.add(both.of(pairs.ravel()), np.where(pairs >= 0, both.counts[pairs], 0).sum(axis=1))
-        which = which.astype(np.int64)
+        which = (np.cumsum(used) - 1)[which]
         which[bounds[:-1]] = len(words) + np.array([kinds[h] for h in heads])
         ids = batch.of(which).tobytes()
         ends = 4 * np.append(0, np.cumsum(batch.counts[which]))[bounds]

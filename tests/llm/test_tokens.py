@@ -121,9 +121,15 @@ def test_distinct_words_go_to_the_library_together(library, monkeypatch):
     rnd = random.Random(6)
     words = sorted({"".join(rnd.choice("abcdeé") for _ in range(9)) for _ in range(3000)})
     text = "so " + " ".join(w + m for w in words for m in ("", ".", "$$$"))
-    (ids,) = token_files.encoder(vocabulary())([text])
+    encode = token_files.encoder(vocabulary())
+    calls.clear()
+    (ids,) = encode([text])
     assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
     assert len(calls) < 100 and sum(map(len, calls)) < 11 * len(words)
+    calls.clear()
+    long = "日本" * 500
+    assert [len(x) // 4 for x in encode([long, long, ""])] == [len(library.encode(long).ids)] * 2 + [0]
+    assert sum(map(len, calls)) == 1000
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 59, 60, 61, 1023, 1024, 1025, 5000])
